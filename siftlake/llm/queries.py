@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siftlake.llm import dedup_exact, mixing, packing, token_files
+from siftlake.llm import dedup_exact, mixing, packing, simhash, token_files
 
 
 def queries() -> dict:
     return {
         "op3_token_files": token_files.op3_token_files,
+        "op6_simhash_pigeonring": simhash.op6_simhash_pigeonring,
         "op7_exact_dedup": dedup_exact.op7_exact_dedup,
         "op8_best_two_fit": packing.op8_best_two_fit,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
