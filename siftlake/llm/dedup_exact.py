@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise, ship
+from siftlake.llm.idset import marked, without_ids
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits beyond log2(documents): one in 2**SPARE_BITS single documents is suspected without need.
@@ -30,8 +31,6 @@ SPARE_BITS = 10
 SENDER_ROWS = 1 << 17
 #: Hashes an owner is meant for at most; more documents make more owners.
 OWNER_HASHES = 1 << 18
-#: Bits of the broadcast filter on suspects (4 MB as rows); more suspects than bits only make it less selective.
-FILTER_BITS = 1 << 24
 
 
 def normalised(text: Column) -> Column:
@@ -157,14 +156,11 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def _verified(rows: DataFrame, suspects: DataFrame) -> DataFrame:
     """Groups of two or more byte-equal texts among the suspects: ``text_sha256, keep_id, group_size``.
 
-    A bitmap of ``FILTER_BITS`` bits of the suspects' ids, so of fixed size, is broadcast, and only the texts of
+    A bitmap of fixed size of the suspects' ids is broadcast, and only the texts of
     documents whose bit is set are shuffled; a chance hit is a text alone in its group. The texts are grouped by
     their bytes; Spark combines equal texts before the shuffle, so a task sends a text once for all its copies.
     """
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    word, bit = F.shiftright(spot, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}L) & 63L as int))")
-    words = suspects.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    near = rows.withColumn("word", word).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
+    near = marked(rows, suspects).filter("hit").select("row.*")
     texts = near.select("doc_id", normalised(F.col("text")).alias("text"))
     groups = texts.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.filter("group_size > 1").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
@@ -173,10 +169,9 @@ def _verified(rows: DataFrame, suspects: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops. Only dropped ids are joined back, against ids."""
-    dropped = exact_groups(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"))
-    dropped = materialise(dropped, "dedup-dropped")
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
+    """``docs`` without the rows that ``exact_groups`` drops."""
+    dropped = exact_groups(docs, **options).filter(~F.col("kept")).select("doc_id")
+    return without_ids(docs, materialise(dropped, "dedup-dropped"))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

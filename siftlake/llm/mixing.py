@@ -161,9 +161,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; rows without a copy go."""
     plan = plan_mix(materialise(document_sizes(docs), "mix-sizes"), **options)
-    rows = decide(docs, plan, steps=options.get("steps", STEPS)).filter(F.col("mix_copies") > 0)
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int"))).alias("mix_copy")
-    return rows.select(*docs.columns, copies).drop("mix_copy")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source")
+    taken = decide(rows, plan, steps=options.get("steps", STEPS)).filter(F.col("mix_copies") > 0)
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select("row.*")
 
 
 def op9_pareto_mixing(spark, sf_dir: str) -> DataFrame:

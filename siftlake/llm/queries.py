@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from siftlake.llm import dedup_exact, mixing, packing, simhash, token_files
+import corpus_pipeline
+from siftlake.llm import dedup_exact, mixing, packing, simhash, token_files, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +13,8 @@ def queries() -> dict:
         "op7_exact_dedup": dedup_exact.op7_exact_dedup,
         "op8_best_two_fit": packing.op8_best_two_fit,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
+        "op10_toxicity_cnn": toxicity.op10_toxicity_cnn,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise, ship
 from siftlake.llm.components import connected_components
+from siftlake.llm.idset import without_ids
 
 SEED, SHINGLE, BUDGET = 42, 3, 3
 #: Rows of a key that one task compares; keys with more are dealt over pairs of blocks.
@@ -194,9 +195,8 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, that with the smallest doc_id."""
-    groups = near_components(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("near_id"))
-    groups = materialise(groups, "simhash-dropped")
-    return docs.join(groups, F.col("doc_id").eqNullSafe(F.col("near_id")), "left_anti")
+    others = near_components(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return without_ids(docs, materialise(others, "simhash-dropped"))
 
 
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
