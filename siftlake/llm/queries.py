@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from siftlake.llm import dedup_exact, langid, mixing, packing, simhash, token_files, toxicity
+from siftlake.llm import dedup_exact, langid, licenses, mixing, packing, simhash, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_token_files": token_files.op3_token_files,
         "op4_cross_parsing": langid.op4_cross_parsing,
+        "op5_license_scan": licenses.op5_license_scan,
         "op6_simhash_pigeonring": simhash.op6_simhash_pigeonring,
         "op7_exact_dedup": dedup_exact.op7_exact_dedup,
         "op8_best_two_fit": packing.op8_best_two_fit,
