@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from siftlake.llm import dedup_exact, langid, licenses, mixing, packing, simhash, token_files, toxicity
+from siftlake.llm import bitsliced, dedup_exact, langid, licenses, mixing, packing, simhash, token_files, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_bitsliced_topk": bitsliced.op1_bitsliced_topk,
         "op3_token_files": token_files.op3_token_files,
         "op4_cross_parsing": langid.op4_cross_parsing,
         "op5_license_scan": licenses.op5_license_scan,
@@ -22,6 +23,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_bitsliced_topk": bitsliced.OP1_SQL,
         "op7_exact_dedup": dedup_exact.OP7_SQL,
         "op9_pareto_mixing": mixing.OP9_SQL,
     }
