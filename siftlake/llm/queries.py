@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from siftlake.llm import bitsliced, dedup_exact, langid, licenses, mixing, packing, simhash, token_files, toxicity
+from siftlake.llm import bitsliced, dedup_exact, langid, licenses, lm, mixing, packing, simhash, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_bitsliced_topk": bitsliced.op1_bitsliced_topk,
+        "op2_gru_scores": lm.op2_gru_scores,
         "op3_token_files": token_files.op3_token_files,
         "op4_cross_parsing": langid.op4_cross_parsing,
         "op5_license_scan": licenses.op5_license_scan,
