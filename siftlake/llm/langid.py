@@ -93,7 +93,7 @@ class Parser:
             tables.append(np.where(table >= 0, table, again[None]))
             starts.append((base + apart) * size)
             base += apart + 1
-        self.table = np.concatenate(tables).ravel().astype(np.int32 if base * size < 2**30 else np.int64)
+        self.table = np.concatenate([t.ravel() for t in tables] or [np.zeros(0)]).astype(np.int32 if base * size < 2**30 else np.int64)
         self.starts = np.array(starts, self.table.dtype)
 
     def pieces(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
