@@ -82,6 +82,6 @@ def histogram_distance(df: DataFrame, *, by: list[str], side: str, value: str, b
 
     whole = Window.partitionBy(*by)
     upto = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(whole) - F.sum("b").over(upto) / F.sum("b").over(whole))
+    gap = F.abs(F.try_divide(F.sum("a").over(upto), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(upto), F.sum("b").over(whole)))
     following = F.coalesce(F.lead("bin").over(Window.partitionBy(*by).orderBy("bin")), F.col("bin") + 1)
     return counts.withColumn("part", gap * (following - F.col("bin")) * width).groupBy(*by).agg(F.sum("part").alias("distance"))

@@ -60,7 +60,7 @@ def region_overlap_metrics(df: DataFrame, *, by: Sequence[str], truth: str, pred
 
 
 def threshold_curve(df: DataFrame, *, by: Sequence[str], label: str, score: str, thresholds: Sequence[float]) -> DataFrame:
-    """True and false positive rates at ``score >= threshold``.
+    """True and false positive rates at ``score >= threshold``; null without rows of the class.
 
     Scores are binned by the thresholds they reach and summed from the top; no row meets more than one threshold.
     """
@@ -71,7 +71,7 @@ def threshold_curve(df: DataFrame, *, by: Sequence[str], label: str, score: str,
     keyed = spread.join(bins.withColumnRenamed("reached", "i"), [*by, "i"], "left").fillna(0, ["pos", "neg"])
     above = Window.partitionBy(*by).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*by)
-    rates = keyed.withColumn("tpr", F.sum("pos").over(above) / F.sum("pos").over(whole)).withColumn("fpr", F.sum("neg").over(above) / F.sum("neg").over(whole))
+    rates = keyed.withColumn("tpr", F.try_divide(F.sum("pos").over(above), F.sum("pos").over(whole))).withColumn("fpr", F.try_divide(F.sum("neg").over(above), F.sum("neg").over(whole)))
     value = F.element_at(F.array(*[F.lit(float(t)) for t in ordered]), F.greatest(F.col("i"), F.lit(1)))
     return rates.filter("i > 0").select(*by, value.alias("threshold"), "tpr", "fpr")
 
@@ -96,7 +96,7 @@ def per_region_curve(pixels: DataFrame, regions: DataFrame, thresholds: Sequence
     hit = F.count_if(F.col("prob") >= F.col("threshold"))
     by_region = rows.select("image", "region", "prob", limits).groupBy("threshold", "image", "region").agg(hit.alias("hit"), F.count(F.lit(1)).alias("n"))
     overlap = F.avg(F.when(F.col("region").isNotNull(), F.col("hit") / F.col("n")))
-    clean = F.sum(F.when(F.col("region").isNull(), F.col("hit"))) / F.sum(F.when(F.col("region").isNull(), F.col("n")))
+    clean = F.try_divide(F.sum(F.when(F.col("region").isNull(), F.col("hit"))), F.sum(F.when(F.col("region").isNull(), F.col("n"))))
     return by_region.groupBy("threshold").agg(overlap.alias("pro"), clean.alias("fpr"))
 
 

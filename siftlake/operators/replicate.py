@@ -24,8 +24,8 @@ def macro_mean(df: DataFrame, *, group: str, seed: str, metric: str) -> DataFram
 
 def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Correlation; null without spread on either side."""
-    flat = (F.coalesce(F.stddev_pop(x), F.lit(0.0)) == 0) | (F.coalesce(F.stddev_pop(y), F.lit(0.0)) == 0)
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(~flat, F.corr(x, y)).alias("r"))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), r.alias("r"))
 
 
 def deltas(df: DataFrame, *, group: str, baseline: str, keys: Sequence[str], metric: str) -> DataFrame:

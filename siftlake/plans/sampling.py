@@ -39,15 +39,15 @@ def fewshot_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUOTA = """s AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
-q AS (SELECT lang, n, 500 * n / CAST(sum(n) OVER () AS DOUBLE) AS exact FROM s),
+q AS (SELECT lang, n, 150 * n / CAST(sum(n) OVER () AS DOUBLE) AS exact FROM s),
 f AS (SELECT lang, n, least(CAST(floor(exact) AS BIGINT), n) AS base, round(exact - floor(exact), 9) AS fraction FROM q),
-quota AS (SELECT lang, n, base + CASE WHEN row_number() OVER (ORDER BY fraction DESC, lang) <= 500 - CAST(sum(base) OVER () AS BIGINT) THEN 1 ELSE 0 END AS quota FROM f)"""
+quota AS (SELECT lang, n, base + CASE WHEN row_number() OVER (ORDER BY fraction DESC, lang) <= 150 - CAST(sum(base) OVER () AS BIGINT) THEN 1 ELSE 0 END AS quota FROM f)"""
 
 
 @query(f"WITH {_QUOTA} SELECT lang, n, quota FROM quota")
 def quota_largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    return sampling.largest_remainder(sizes, total=500, key="lang", size="n")
+    return sampling.largest_remainder(sizes, total=150, key="lang", size="n")
 
 
 @query(
@@ -56,7 +56,7 @@ SELECT lang, doc_id FROM r WHERE i <= quota"""
 )
 def stratified_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("lang", "doc_id")
-    return sampling.stratified(docs, strata=["lang"], key="doc_id", count=500, seed=SEED).select("lang", "doc_id")
+    return sampling.stratified(docs, strata=["lang"], key="doc_id", count=150, seed=SEED).select("lang", "doc_id")
 
 
 def _type_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ def publish_views(decided: DataFrame, folder: str) -> None:
 
 def read_view(spark: SparkSession, folder: str, view: str) -> DataFrame:
     rows = spark.read.parquet(folder)
+    rows = rows.withColumn("passed", F.col("passed").cast("boolean"))
     if view not in ("unfiltered", "filtered"):
         raise ValueError(f"unknown view: {view}")
     return rows.filter("passed") if view == "filtered" else rows
