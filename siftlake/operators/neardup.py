@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise
 from siftlake.functions.scalars import hamming
+from siftlake.operators.ordering import range_bucket, with_place
 
 
 SIMHASH_BITS = 60
@@ -84,17 +85,17 @@ def groups(hashes: DataFrame, pairs: DataFrame, *, id_col: str = "id") -> DataFr
     ends = pairs.select(F.col("a").alias("end"), "distance").unionByName(pairs.select(F.col("b").alias("end"), "distance"))
     nearest = ends.groupBy("end").agg(F.min("distance").alias("nearest"))
     roots = members.groupBy("component").agg(F.count(F.lit(1)).alias("group_size"))
-    numbered = roots.withColumn("group_id", F.row_number().over(Window.orderBy("component")) - 1)
+    numbered = with_place(roots, by=[], bucket=range_bucket(F.col("component")), order=[F.col("component")], name="group_id")
     rows = members.join(numbered, "component").join(nearest, F.col("id") == F.col("end"), "left")
     return rows.select("id", "component", "group_id", "nearest", "group_size")
 
 
 def group_safe_split(rows: DataFrame, *, group: str, split: str, held: str = "test") -> DataFrame:
     """Every row of a group with a held-out member is held out; ``moved`` marks those that were not."""
-    touched = F.max((F.col(split) == held).cast("int")).over(Window.partitionBy(group)) == 1
-    return rows.withColumn("final_split", F.when(touched, F.lit(held)).otherwise(F.col(split))).withColumn(
-        "moved", F.col("final_split") != F.col(split)
-    )
+    touched = rows.filter(F.col(split) == held).select(F.col(group).alias("held_group")).distinct().withColumn("touched", F.lit(True))
+    joined = rows.join(touched, F.col(group) == F.col("held_group"), "left").drop("held_group")
+    final = F.when(F.col("touched"), F.lit(held)).otherwise(F.col(split))
+    return joined.withColumn("final_split", final).withColumn("moved", F.col("final_split") != F.col(split)).drop("touched")
 
 
 def greedy_accept(rows: DataFrame, conflicts: DataFrame, max_rounds: int = 100) -> DataFrame:

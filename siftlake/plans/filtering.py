@@ -25,8 +25,8 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = rules.log_reference(rows.filter("quality = 1"), "lang", area="n_chars", aspect="per_line")
     passages = [r.text for r in table(spark, sf_dir, "benchmark").select("text").collect()]  # a fixed evaluation set
     rows = lineage.with_containment(rows, "text", passages).drop("text")
-    rows = rows.withColumn("nth_copy", F.row_number().over(Window.partitionBy("sha").orderBy("doc_id")))
-    rows = rows.join(reference, "lang")
+    first = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("first_id"))
+    rows = rows.join(first, "sha").join(reference, "lang")
     area_z = log_z(F.col("n_chars"), F.col("area_mean_log"), F.col("area_std_log"))
     aspect_z = log_z(F.col("per_line"), F.col("aspect_mean_log"), F.col("aspect_std_log"))
     outside = (F.col("n_chars") < F.col("area_p05")) | (F.col("n_chars") > F.col("area_p95"))
@@ -36,7 +36,7 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
             rules.Rule("blocklist", "BLOCKLISTED", F.col("contains_passage")),
             rules.Rule("area", "AREA_OUT_OF_RANGE", (F.abs(area_z) > 2.5) | outside),
             rules.Rule("aspect", "ASPECT_OUT_OF_RANGE", F.abs(aspect_z) > 2.5),
-            rules.Rule("duplicate", "EXACT_DUPLICATE", F.col("nth_copy") > 1),
+            rules.Rule("duplicate", "EXACT_DUPLICATE", F.col("doc_id") > F.col("first_id")),
         ],
     )
 

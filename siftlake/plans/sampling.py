@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions.scalars import derived_seed
 from siftlake.operators import replicate, sampling
+from siftlake.operators.ordering import range_bucket, with_place
 from siftlake.plans.common import SCORED, scored
 from siftlake.plans.registry import query
 from siftlake.sources.readers import table
@@ -185,13 +186,10 @@ def median_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sha256(text) AS sha, dense_rank() OVER (ORDER BY min(doc_id)) - 1 AS number, count(*) AS n FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
 def group_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of copies numbered by first appearance. A number is the count of groups before, by ranges of first ids."""
-    groups = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ranges = groups.withColumn("range", F.floor(F.col("first") / 4096))
-    sizes = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = ranges.join(sizes.select("range", before.alias("before")), "range")
-    return rows.select("sha", (F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("first")) - 1).alias("number"), "n")
+    """Groups of copies numbered by first appearance."""
+    groups = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    placed = with_place(groups.filter("n > 1"), by=[], bucket=range_bucket(F.col("first")), order=[F.col("first")], name="number")
+    return placed.select("sha", "number", "n")
 
 
 @query(
