@@ -50,6 +50,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this application has materialised; results that still read them must be done with."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -58,4 +68,5 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftlake/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -69,3 +69,13 @@ def named_checks(checks: DataFrame, waivers: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     return rows.withColumn("passed", F.every(F.col("ok") | F.col("waived")).over(Window.partitionBy()))
+
+
+def forbid_inputs(df: DataFrame, denied: list[str]) -> DataFrame:
+    """``df``, if none of the files it reads lies at or below a denied path."""
+    for file in df.inputFiles():
+        plain = file.split(":", 1)[-1].replace("//", "/").lstrip("/")
+        for path in denied:
+            if f"{plain}/".startswith(path.split(":", 1)[-1].strip("/") + "/"):
+                raise ContractError(f"{file} must not be read")
+    return df

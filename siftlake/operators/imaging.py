@@ -62,6 +62,24 @@ def containment(inner: DataFrame, outer: DataFrame, image: str = "image") -> Dat
     return marked.groupBy(image).agg((F.sum(F.coalesce("inside", F.lit(0))) / F.count(F.lit(1))).alias("containment"))
 
 
+def box_conflicts(boxes: DataFrame, *, by: str, id_col: str = "id", cell: int = 64, margin: int = 0) -> DataFrame:
+    """``a < b`` of boxes (``x0, y0, x1, y1``, ends excluded) of one background that come closer than ``margin`` or overlap.
+
+    Boxes are listed in the grid cells they touch and meet by cell; a pair is reported in the first cell both touch.
+    """
+    m = F.lit(margin)
+    cells = [F.sequence(F.floor((F.col(f"{c}0") - m) / cell), F.floor((F.col(f"{c}1") + m - 1) / cell)) for c in "xy"]
+    spread = boxes.select(F.col(by).alias("g"), F.col(id_col).alias("id"), "x0", "y0", "x1", "y1", F.explode(cells[0]).alias("cx"), cells[1].alias("cys"))
+    spread = spread.select("g", "id", "x0", "y0", "x1", "y1", "cx", F.explode("cys").alias("cy"))
+    a, b = spread.alias("a"), spread.alias("b")
+    same = (F.col("a.g") == F.col("b.g")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.id") < F.col("b.id"))
+    near = F.lit(True)
+    for c in "xy":
+        near = near & (F.col(f"a.{c}0") < F.col(f"b.{c}1") + m) & (F.col(f"b.{c}0") < F.col(f"a.{c}1") + m)
+        near = near & (F.col(f"a.c{c}") == F.floor((F.greatest(f"a.{c}0", f"b.{c}0") - m) / cell))
+    return a.join(b, same & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
 def perceptual_hash(pixels: np.ndarray, size: int = 8, factor: int = 4) -> int:
     """Signs of the low two-dimensional cosine frequencies against their median, as one integer."""
     n = size * factor

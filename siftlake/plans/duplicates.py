@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise
-from siftlake.operators import neardup
+from siftlake.operators import imaging, neardup
 from siftlake.plans.registry import query
 from siftlake.sources.readers import table
 
@@ -75,3 +75,29 @@ def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document stays if it has 500 characters and no earlier staying one of its language is near it."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") >= 500).alias("eligible"))
     return neardup.greedy_accept(docs, _pairs(hashes(spark, sf_dir)))
+
+
+BOXES = """boxes AS (
+  SELECT l_suppkey AS g, l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey % 200 AS INTEGER) AS x0, CAST(l_orderkey % 150 AS INTEGER) AS y0,
+         CAST(l_partkey % 200 + 4 + l_quantity AS INTEGER) AS x1, CAST(l_orderkey % 150 + 4 + l_quantity AS INTEGER) AS y1
+  FROM lineitem WHERE l_orderkey % 20 = 0)"""
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of different sizes on a few backgrounds."""
+    items = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0")
+    x, y, side = F.col("l_partkey") % 200, F.col("l_orderkey") % 150, F.col("l_quantity") + 4
+    corners = {"x0": x, "y0": y, "x1": x + side, "y1": y + side}
+    return items.select(F.col("l_suppkey").alias("g"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), *[c.cast("int").alias(n) for n, c in corners.items()])
+
+
+@query(f"WITH {BOXES} SELECT a.id AS a, b.id AS b FROM boxes a JOIN boxes b ON a.g = b.g AND a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
+def box_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imaging.box_conflicts(boxes(spark, sf_dir), by="g")
+
+
+@query()
+def nonoverlapping_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes placed in order of id, each only if it overlaps none that was placed before."""
+    rows = materialise(boxes(spark, sf_dir).dropDuplicates(["id"]), "boxes")
+    return neardup.greedy_accept(rows.select("id", F.lit(True).alias("eligible")), imaging.box_conflicts(rows, by="g"))

@@ -166,6 +166,13 @@ def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.weighted_draws(rows, key="doc_id", weight="weight", draws=2000, seed=SEED)
 
 
+@query()
+def exposure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each domain was drawn."""
+    drawn = weighted_draws(spark, sf_dir).join(domain_balanced_weights(spark, sf_dir), "doc_id")
+    return drawn.groupBy("domain").agg(F.count(F.lit(1)).alias("draws"), F.count_distinct("doc_id").alias("rows"))
+
+
 @query(f"WITH {SCORED} SELECT lang, source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY score DESC, n_chars DESC, doc_id) AS i FROM scored) WHERE i = 1")
 def argmax_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = replicate.argmax(scored(spark, sf_dir), by=["lang", "source"], order=[F.desc("score"), F.desc("n_chars"), F.col("doc_id")])

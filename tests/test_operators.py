@@ -200,6 +200,30 @@ def test_pixel_components():
     assert (imaging.perceptual_hash(image) ^ imaging.perceptual_hash(image + 0.001)).bit_count() <= 2
 
 
+def test_box_conflicts(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(150):
+        x, y, w, h = (int(v) for v in rng.integers([0, 0, 1, 1], [300, 300, 90, 90]))
+        rows.append((i % 2, i, x, y, x + w, y + h))
+    df = spark.createDataFrame(rows, "g int, id int, x0 int, y0 int, x1 int, y1 int")
+    for margin in (0, 5):
+        want = sorted(
+            (a[1], b[1]) for a in rows for b in rows
+            if a[0] == b[0] and a[1] < b[1] and all(a[k] < b[k + 2] + margin and b[k] < a[k + 2] + margin for k in (2, 3))
+        )
+        got = [tuple(r) for r in imaging.box_conflicts(df, by="g", margin=margin).collect()]
+        assert sorted(got) == want
+
+
+def test_forbidden_inputs(spark, tmp_path):
+    path = str(tmp_path / "secret")
+    spark.range(3).write.parquet(path)
+    with pytest.raises(expect.ContractError, match="must not be read"):
+        expect.forbid_inputs(spark.read.parquet(path), [path])
+    assert expect.forbid_inputs(spark.read.parquet(path), [str(tmp_path / "other")]).count() == 3
+
+
 def test_replicates_gates_and_verdicts(spark):
     df = spark.createDataFrame([("g", 1, 1.0), ("g", 2, 3.0), ("h", 1, 5.0)], "k string, seed int, m double")
     assert [(r.k, r.mean, round(r.std, 6)) for r in replicate.mean_std(df, by=["k"], metric="m").collect()] == [("g", 2.0, 1.414214)]
