@@ -105,6 +105,18 @@ def test_sampling_is_exact_and_order_free(spark):
         sampling.stratified(df, strata=["input", "kind"], key="key", count=11, seed=1).collect()
 
 
+def test_places_in_a_group_that_holds_most_rows(spark):
+    from siftlake.operators.ordering import range_bucket, with_place
+
+    rows = [("hot", i * 7 % 5000) for i in range(5000)] + [("cold", 3), ("cold", 1), (None, 9)]
+    df = spark.createDataFrame(rows, "g string, n long")
+    got = {(r.g, r.n): r.place for r in with_place(df, by=["g"], bucket=range_bucket(F.col("n"), 64), order=[F.col("n")]).collect()}
+    assert got == {("hot", i): i for i in range(5000)} | {("cold", 1): 0, ("cold", 3): 1, (None, 9): 0}
+    few = sampling.k_sample(df.na.drop(), by=["g"], key="n", k=F.when(F.col("g") == "hot", 700).otherwise(1), seed=3)
+    same = sampling.k_sample(df.filter("g = 'hot'"), by=["g"], key="n", k=700, seed=3)
+    assert {r.n for r in few.filter("g = 'hot'").collect()} == {r.n for r in same.collect()} and few.count() == 701
+
+
 def test_quotas_and_schedules(spark):
     assert sampling.clamped_quotas({0: 16, 1: 7}, 500, 50) == {0: 348, 1: 152}
     assert sampling.clamped_quotas({0: 9, 1: 3}, 500, 50) == {0: 375, 1: 125}
