@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftlake.cluster import shared_dir, ship
+from siftlake.cluster import materialise, shared_dir, ship
 from siftlake.llm.tokens import encoder
 
 MAGIC = b"SLTOKEN1"
@@ -124,7 +124,8 @@ def write_ids(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int, part
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS).select("text").collect()
+    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS)  # of fixed size
+    sample = rows.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text").limit(2 * DICTIONARY_DOCS).collect()
     encode = encoder(tokenizer).encode
     dictionary = train_dictionary([encode(r.text).tobytes() for r in sample if r.text])
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").write.parquet(f"{folder}/dictionary")
@@ -171,6 +172,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("part", "shard", F.coalesce(F.sum("tokens").over(within), F.lit(0)).alias("shard_start"))
     starts = starts.join(per_part, "part").select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("base"))
+    starts = materialise(starts, "token-starts")  # a few bytes a shard: Spark sees the size and need not shuffle the ids
     rows = shards.select("part", "shard", "blob").mapInArrow(_read(_dictionary_of(spark, folder)), ROWS_SQL)
     return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids")
 
