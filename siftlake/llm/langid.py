@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftlake.cluster import ship
+from siftlake.cluster import materialise, ship
 
 #: The sample: so many documents of a language, of at most so many characters each, and so many characters of a
 #: language and of all languages together.
@@ -156,8 +156,9 @@ def samples(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     keys = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= FIT_CHARS)).select("lang", "doc_id", F.xxhash64("doc_id").alias("hash"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
     chosen = keys.withColumn("nth", first).filter(F.col("nth") <= FIT_DOCS).select(F.col("lang").alias("fit_lang"), F.col("doc_id").alias("fit_id"))
+    chosen = materialise(chosen.distinct(), "langid-chosen")  # a few ids: Spark sees the size and need not shuffle the texts
     same = (F.col("doc_id") == F.col("fit_id")) & (F.col("lang") == F.col("fit_lang"))
-    rows = docs.select("doc_id", "lang", "text").join(chosen.distinct(), same).select("lang", "doc_id", "text").collect()
+    rows = docs.select("doc_id", "lang", "text").join(chosen, same).select("lang", "doc_id", "text").collect()
     texts: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text or "")):
         texts.setdefault(row.lang, []).append(normalised(row.text or ""))
