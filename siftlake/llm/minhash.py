@@ -1,0 +1,157 @@
+"""Near duplicates by the Jaccard similarity of word shingles: MinHash bands for candidates, exact sets for the check.
+
+Texts with the same set of shingles are one class. Classes that agree in a band are candidates: with ``BANDS`` bands
+of ``ROWS`` minima a pair of similarity 0.8 is missed with probability (1 - 0.8**5)**16, about 0.002, and more similar
+ones less often. Within a band's group all pairs are checked on the whole sets, so no dissimilar pair is linked.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siftlake.cluster import materialise, ship
+from siftlake.llm.components import connected_components
+from siftlake.llm.idset import marked, without_ids
+
+SEED, SHINGLE, SIMILARITY = 42, 5, 0.8
+BANDS, ROWS = 16, 5
+#: Rows of a key that one task compares; keys with more are dealt over pairs of blocks.
+BLOCK = 8192
+_MIX = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS)).astype(np.uint64) | np.uint64(1)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles; of a shorter text that of all its words; none without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    if len(words) < SHINGLE:
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    runs = zip(*(words[i:] for i in range(SHINGLE)))
+    return np.unique(np.fromiter((digest(b" ".join(s), SEED) for s in runs), np.uint64, len(words) - SHINGLE + 1))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of minima; none without shingles."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        x = hashes[at : at + 1024, None] * _MIX[0] + _MIX[1]
+        x ^= x >> np.uint64(32)
+        np.minimum(least, x.min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _class(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(t) for t in batch.column("text").to_pylist()]
+        columns = [batch.column("doc_id"), pa.array([_class(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "class", "keys"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(t) for t in batch.column("text").to_pylist()]
+        columns = [batch.column("id"), pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "class", "hashes"])
+
+
+def compare(reps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among a group's sets."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    part, mark, kept = np.arange(len(sets)), np.zeros(len(known), bool), []
+    for i in range(len(sets)):
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+        mark[own] = False
+        # in whole numbers: both / union >= 0.8
+        linked = np.flatnonzero((10 * both >= round(10 * SIMILARITY) * (sizes + sizes[i] - both)) & (part != part[i]))
+        if len(linked):
+            parts, first = np.unique(part[linked], return_index=True)
+            kept += [(int(reps[i]), int(reps[j])) for j in linked[first]]
+            part[np.isin(part, parts)] = part[i]
+            if (part == part[0]).all():
+                break
+    return kept
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and pair of blocks; each such group is compared in full."""
+
+    def emit(reps: list[int], sets: list[bytes]) -> Iterator[pa.RecordBatch]:
+        links = compare(np.array(reps), [np.frombuffer(s, np.uint64) for s in sets]) if len(reps) > 1 else []
+        if links:
+            a, b = zip(*links)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    group, reps, sets = None, [], []
+    for batch in batches:
+        for key, pair, rep, hashes in zip(*(batch.column(n).to_pylist() for n in ("key", "pair", "rep", "hashes"))):
+            if (key, pair) != group:
+                yield from emit(reps, sets)
+                group, reps, sets = (key, pair), [], []
+            reps.append(rep)
+            sets.append(hashes)
+    yield from emit(reps, sets)
+
+
+def links(docs: DataFrame, classes: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """``a, b``: links between the ``rep`` ids of ``class, rep, keys``, as many as keep the components whole.
+
+    Of bands with the same members one is compared. Only members of some group have their sets read again. A key
+    with more than ``block`` members is cut into blocks, and every pair of its blocks is a group of its own.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = classes.select("class", "rep", F.explode("keys").alias("key"))
+    members = [F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.bit_xor(F.xxhash64("class")).alias("digest")]
+    groups = keyed.groupBy("key").agg(*members).filter("n > 1").groupBy("n", "low", "high", "digest").agg(F.min("key").alias("key"))
+    groups = materialise(groups.select("key", "n"), "near-groups")
+    found = materialise(keyed.join(groups, "key"), "near-members")
+    rows = marked(docs, found.select("rep").distinct()).filter("hit").select("id", F.col("row.text").alias("text"))
+    sets = rows.mapInArrow(_sets, "id long, class long, hashes binary").groupBy("class", F.col("id").alias("rep")).agg(F.first("hashes").alias("hashes"))
+    blocks = F.ceil(F.col("n") / (block // 2)).cast("int")
+    dealt = found.withColumn("blocks", F.when(F.col("n") > block, blocks)).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    others = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")),
+        lambda x: (F.least(x, F.col("own")) * F.col("blocks") + F.greatest(x, F.col("own"))).cast("long"),
+    )
+    pair = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)).alias("pair")
+    dealt = dealt.select("class", "rep", "key", pair).join(sets, ["class", "rep"]).select("key", "pair", "rep", "hashes")
+    return dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_links, "a long, b long")
+
+
+def near_components(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """One row per document: ``doc_id, component_id``, the smallest doc_id that links reach.
+
+    Texts are linked whose shingle sets have a Jaccard similarity of at least 0.8. Texts without words are one class.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = materialise(rows.mapInArrow(_prints, "doc_id long, class long, keys array<long>"), "near-prints")
+    classes = materialise(prints.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "near-classes")
+    joined = connected_components(materialise(links(docs, classes.filter("rep IS NOT NULL"), block=block), "near-links"))
+    moved = classes.join(joined, F.col("rep") == F.col("node"), "left")
+    moved = materialise(moved.select("class", F.coalesce("component", "rep").alias("component_id")), "near-components")
+    return prints.join(moved, "class").select("doc_id", "component_id")
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, that with the smallest doc_id."""
+    others = near_components(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return without_ids(docs, materialise(others, "near-dropped"))

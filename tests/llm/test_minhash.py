@@ -1,0 +1,62 @@
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+from siftlake.llm import minhash
+from tests.llm.common import documents, lower
+from tests.llm.test_near_and_licenses import roots
+
+
+def brute_set(text):
+    words = lower(text).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_links(sets):
+    similar = lambda a, b: not (a or b) or 10 * len(a & b) >= 8 * len(a | b)
+    return [(i, j) for j in range(len(sets)) for i in range(j) if similar(sets[i], sets[j])]
+
+
+def varied(seed, copies=12):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(copies):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice([60, 100, 500]))]
+        texts.append(" ".join(words))
+        for changed in (1, 1, 2, 3, 5, 10):
+            other = list(words)
+            for at in rng.sample(range(len(words)), changed):
+                other[at] = f"x{rng.random()}"
+            texts.append(" ".join(other))
+    return texts
+
+
+def test_stage_drops_copies_of_similarity_08(spark):
+    texts = varied(7)
+    docs = documents(spark, [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], clash=False)
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    parts = roots(len(texts), brute_links([brute_set(t) for t in texts]))
+    assert kept == [i for i, p in enumerate(parts) if p == i]
+
+
+def test_large_groups_in_blocks(spark):
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for at in rng.sample(range(200), rng.randint(1, 5)):
+            words[at] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    docs = documents(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    parts = roots(len(texts), brute_links([brute_set(t) for t in texts]))
+    for block in (16, 8192):
+        got = {r.doc_id: r.component_id for r in minhash.near_components(docs, block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == parts
+
+
+def test_odd_rows(spark):
+    got = minhash.near_components(documents(spark)).toPandas().drop_duplicates("doc_id").set_index("doc_id")["component_id"]
+    assert got[1] == got[2] == got[3] == 1 and got[12] == got[5] == got[4] == 4 and got[14] == 6
+    assert minhash.near_components(documents(spark, [], clash=False)).count() == 0
