@@ -2,8 +2,8 @@
 
 All training documents are counted: every word's count enters the model, as the share of its class for words
 outside the network and as the starting point of the network's biases. The network's weights are then trained on
-a fixed share of the training documents, so on more of them the more there are: replicas train on parts of that
-share by truncated backpropagation, and their weights are averaged after every round.
+all training documents, each once: a round takes its part of them, replicas train on parts of that by truncated
+backpropagation, and their weights are averaged after every round.
 
 Three kinds of words are told apart by count. *Frequent* words are outputs of the network. *Listed* words are so
 many more whose counts are sent to every worker. The counts of all *other* words stay in their table and are
@@ -31,8 +31,8 @@ from siftlake.llm.gru import Gru
 END = b""
 FREQUENT, LISTED = 2000, 200_000
 WORD_CLASSES, ENDINGS, REST_CLASSES = 40, 63, 17
-#: One in TRAIN_SHARE of the training documents trains the network, in ROUNDS passes, PER_REPLICA documents to a task.
-TRAIN_SHARE, ROUNDS, PER_REPLICA = 16, 3, 192
+#: Every training document trains the network in one of ROUNDS rounds, PER_REPLICA documents or more to a task.
+ROUNDS, PER_REPLICA = 8, 192
 COUNTED_WORDS = 500_000
 #: Words scored at once.
 GROUP_WORDS = 1_500_000
@@ -163,10 +163,19 @@ def encode(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return symbols, places
 
 
+def _encoded(shared: Broadcast):
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols = [encode(shared.value, words_of(t))[0].astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("round"), pa.array(symbols, pa.binary())], names=["round", "symbols"])
+
+    return encoded
+
+
 def _train(shared: Broadcast, weights: Broadcast, round_: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        docs = [encode(v, words_of(t))[0] for batch in batches for t in batch.column("text").to_pylist()]
+        docs = [np.frombuffer(s, np.uint16).astype(np.int32) for batch in batches for s in batch.column("symbols").to_pylist()]
         if docs:
             model = network(v)
             if weights is not None:
@@ -179,12 +188,17 @@ def _train(shared: Broadcast, weights: Broadcast, round_: int):
 
 
 def train(docs: DataFrame, v: Vocabulary) -> Gru:
-    """Train the network on ``text`` rows; only averaged weights, of fixed size, come to the driver."""
+    """Train the network on all rows of ``doc_id, text``, each in one round; only averaged weights come to the driver."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(v)
     model, weights = network(v), None
-    for round_ in range(ROUNDS):
-        trained = docs.mapInArrow(_train(shared, weights, round_), "tokens long, weights array<float>")
+    rows = docs.select(F.pmod(F.xxhash64(F.lit("lm"), "doc_id"), F.lit(ROUNDS)).cast("int").alias("round"), "text")
+    rows = materialise(rows.mapInArrow(_encoded(shared), "round int, symbols binary"), "lm-encoded")
+    sizes = {r["round"]: r["count"] for r in rows.groupBy("round").count().collect()}
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for round_, size in sorted(sizes.items()):
+        part = rows.filter(F.col("round") == round_).select("symbols").repartition(max(1, min(most, size // PER_REPLICA)))
+        trained = part.mapInArrow(_train(shared, weights, round_), "tokens long, weights array<float>")
         parts = trained.select("tokens", F.posexplode("weights").alias("i", "w"))
         mean = F.sum(F.col("w").cast("double") * F.col("tokens")) / F.sum("tokens")
         averaged = parts.groupBy("i").agg(mean.cast("float").alias("w")).toPandas()
@@ -251,10 +265,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     counts = learned.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "lm-counts")
     v = vocabulary(counts)
-    share = learned.filter(F.pmod(F.xxhash64(F.lit("lm"), "doc_id"), F.lit(TRAIN_SHARE)) == 0).select("text")
-    share = materialise(share, "lm-share")
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), share.count() // PER_REPLICA))
-    model = train(share.repartition(parts), v)
+    model = train(learned.select("doc_id", "text"), v)
     shared, weights = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(model.weights())
     scored = materialise(rows.mapInArrow(_score(shared, weights), SCORED_SQL), "lm-scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))

@@ -145,6 +145,29 @@ def test_lm_scores(spark, small):
     assert held["score"].sum() > held["base_score"].sum()
 
 
+def test_lm_trains_on_every_document(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"one two w{i % 7} three " * 5) for i in range(100)], "doc_id long, text string")
+    counts = docs.select("text").mapInArrow(lm._count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    v = lm.vocabulary(counts)
+    seen, inner = spark.sparkContext.accumulator(0), lm._train
+
+    def counted(*args):
+        train = inner(*args)
+
+        def run(batches):
+            for out in train(batches):
+                seen.add(sum(out.column("tokens").to_pylist()))
+                yield out
+
+        return run
+
+    monkeypatch.setattr(lm, "_train", counted)
+    lm.train(docs, v)
+    assert seen.value == 100 * 21 == v.tokens
+
+
 def test_lm_odd_rows(spark):
     from pyspark.sql import functions as F
 
