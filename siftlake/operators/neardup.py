@@ -58,6 +58,26 @@ def banded_pairs(hashes: DataFrame, *, bits: int, threshold: int, by: str | None
     return joined.select(F.col("a.g").alias("g"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), hamming(F.col("a.h"), F.col("b.h")).alias("distance"))
 
 
+def class_components(hashes: DataFrame, *, bits: int, threshold: int, by: str) -> DataFrame:
+    """``id, component, nearest`` of all rows: as ``components`` of all close pairs, and the least distance to another row.
+
+    Rows of one ``by`` value with equal hashes are one class, stood for by its smallest id; only classes are paired,
+    so many copies make no pairs among themselves. Rows without a hash are groups of their own.
+    """
+    rows = hashes.select("id", F.col(by).alias("g"), F.col("hash").alias("h"))
+    classes = rows.filter("h IS NOT NULL").groupBy("g", "h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = materialise(classes, "classes")
+    pairs = materialise(banded_pairs(classes, bits=bits, threshold=threshold, by="g", id_col="rep", hash_col="h"), "class-pairs")
+    ends = pairs.select(F.col("a").alias("end"), "distance").unionByName(pairs.select(F.col("b").alias("end"), "distance"))
+    least = ends.groupBy("end").agg(F.min("distance").alias("least"))
+    labels = components(classes.select(F.col("rep").alias("id")), pairs).withColumnRenamed("id", "root")
+    known = classes.join(labels, F.col("rep") == F.col("root")).join(least, F.col("rep") == F.col("end"), "left")
+    nearest = F.when(F.col("n") > 1, F.lit(0)).otherwise(F.col("least"))
+    known = known.select(F.col("g").alias("class_g"), F.col("h").alias("class_h"), "component", nearest.alias("nearest"))
+    joined = rows.join(known, F.col("g").eqNullSafe(F.col("class_g")) & (F.col("h") == F.col("class_h")), "left")
+    return joined.select("id", F.coalesce("component", "id").alias("component"), "nearest")
+
+
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``id, component`` (smallest id reachable) of all ``nodes(id)`` under ``edges(a, b)``.
 
@@ -84,10 +104,14 @@ def groups(hashes: DataFrame, pairs: DataFrame, *, id_col: str = "id") -> DataFr
     members = components(hashes.select(F.col(id_col).alias("id")), pairs)
     ends = pairs.select(F.col("a").alias("end"), "distance").unionByName(pairs.select(F.col("b").alias("end"), "distance"))
     nearest = ends.groupBy("end").agg(F.min("distance").alias("nearest"))
+    return numbered(members.join(nearest, F.col("id") == F.col("end"), "left").drop("end"))
+
+
+def numbered(members: DataFrame) -> DataFrame:
+    """``id, component, group_id, nearest, group_size`` of ``id, component, nearest``."""
     roots = members.groupBy("component").agg(F.count(F.lit(1)).alias("group_size"))
-    numbered = with_place(roots, by=[], bucket=range_bucket(F.col("component")), order=[F.col("component")], name="group_id")
-    rows = members.join(numbered, "component").join(nearest, F.col("id") == F.col("end"), "left")
-    return rows.select("id", "component", "group_id", "nearest", "group_size")
+    places = with_place(roots, by=[], bucket=range_bucket(F.col("component")), order=[F.col("component")], name="group_id")
+    return members.join(places, "component").select("id", "component", "group_id", "nearest", "group_size")
 
 
 def group_safe_split(rows: DataFrame, *, group: str, split: str, held: str = "test") -> DataFrame:
@@ -121,3 +145,18 @@ def greedy_accept(rows: DataFrame, conflicts: DataFrame, max_rounds: int = 100)
             decided = rows.select("id", "eligible").join(state, "id", "left")
             return decided.select("id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
     raise RuntimeError(f"decisions did not settle in {max_rounds} rounds")
+
+
+def greedy_dedupe(rows: DataFrame, hashes: DataFrame, *, bits: int, threshold: int, by: str) -> DataFrame:
+    """``id, accepted`` as ``greedy_accept`` of all close pairs, decided on the first eligible row of each class.
+
+    Whatever blocks the first one is close to the others of its class too, and if it stays it blocks them. Eligible
+    rows without a hash stay.
+    """
+    able = rows.filter("eligible").select("id").join(hashes.select("id", F.col(by).alias("g"), F.col("hash").alias("h")), "id", "left")
+    able = materialise(able, "able")
+    firsts = materialise(able.filter("h IS NOT NULL").groupBy("g", "h").agg(F.min("id").alias("id")), "firsts")
+    pairs = banded_pairs(firsts, bits=bits, threshold=threshold, by="g", hash_col="h")
+    decided = greedy_accept(firsts.select("id", F.lit(True).alias("eligible")), pairs).filter("accepted").select("id")
+    stays = decided.unionByName(able.filter("h IS NULL").select("id")).withColumn("stays", F.lit(True))
+    return rows.select("id").join(stays, "id", "left").select("id", F.coalesce("stays", F.lit(False)).alias("accepted"))

@@ -30,6 +30,10 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return materialise(neardup.banded_pairs(rows, bits=60, threshold=THRESHOLD, by="lang"), "pairs")
 
 
+def _members(rows: DataFrame) -> DataFrame:
+    return neardup.class_components(rows, bits=60, threshold=THRESHOLD, by="lang")
+
+
 @query(f"WITH {HASHES} SELECT id, hash FROM hashes")
 def simhash_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashes(spark, sf_dir).select("id", "hash")
@@ -53,8 +57,7 @@ SELECT c.id, component, dense_rank() OVER (ORDER BY component) - 1 AS group_id,
 FROM c LEFT JOIN n ON c.id = n.id"""
 )
 def neardup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hashes(spark, sf_dir)
-    found = neardup.groups(rows, _pairs(rows))
+    found = neardup.numbered(materialise(_members(hashes(spark, sf_dir)), "members"))
     return found.withColumn("group_id", F.col("group_id").cast("long")).withColumn("nearest", F.coalesce("nearest", F.lit(-1)))
 
 
@@ -64,8 +67,7 @@ def neardup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, split, CASE WHEN max(CASE WHEN split = 'test' THEN 1 ELSE 0 END) OVER (PARTITION BY component) = 1 THEN 'test' ELSE split END AS final_split FROM s"""
 )
 def group_safe_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hashes(spark, sf_dir)
-    members = neardup.components(rows.select("id"), _pairs(rows))
+    members = _members(hashes(spark, sf_dir)).select("id", "component")
     split = members.withColumn("split", F.when(F.col("id") % 5 == 0, "test").otherwise("train"))
     return neardup.group_safe_split(split, group="component", split="split").select("id", "split", "final_split")
 
@@ -74,7 +76,7 @@ def group_safe_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document stays if it has 500 characters and no earlier staying one of its language is near it."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") >= 500).alias("eligible"))
-    return neardup.greedy_accept(docs, _pairs(hashes(spark, sf_dir)))
+    return neardup.greedy_dedupe(docs, hashes(spark, sf_dir), bits=60, threshold=THRESHOLD, by="lang")
 
 
 BOXES = """boxes AS (

@@ -87,6 +87,41 @@ def test_greedy_accept_equals_a_sequential_pass(spark):
     assert sorted(r.id for r in got.filter("accepted").collect()) == accepted and got.count() == n
 
 
+def test_copies_make_no_pairs_among_themselves(spark, monkeypatch):
+    from siftlake.plans import duplicates
+
+    base = 0b1011 << 40
+    texts = [base] * 80 + [base ^ 1] * 3 + [base ^ 0b1111] * 4 + [base ^ (0b111 << 20)] * 2 + [1 << 55]
+    rows = [(i * 7 % 90, "ab"[i % 2], h) for i, h in enumerate(texts)]
+    eligible = {i: i % 3 != 0 for i, _, _ in rows}
+    made, inner = [], neardup.materialise
+
+    def counted(df, name="step"):
+        out = inner(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "materialise", counted)
+    monkeypatch.setattr(duplicates, "materialise", counted)
+    monkeypatch.setattr(duplicates, "hashes", lambda *_: spark.createDataFrame(rows, "id long, lang string, hash long"))
+    docs = spark.createDataFrame([(i, 500 if e else 1) for i, e in eligible.items()], "doc_id long, n_chars long")
+    monkeypatch.setattr(duplicates, "table", lambda *_: docs)
+    groups = {r.id: r for r in duplicates.neardup_groups(spark, "").collect()}
+    kept = {r.id for r in duplicates.greedy_dedupe(spark, "").collect() if r.accepted}
+    close = {(i, j): (h ^ k).bit_count() for i, g, h in rows for j, f, k in rows if i != j and g == f and (h ^ k).bit_count() <= 3}
+    part = {i: i for i, _, _ in rows}
+    for _ in rows:
+        for i, j in close:
+            part[i] = part[j] = min(part[i], part[j])
+    want: list[int] = []
+    for i in sorted(part):
+        if eligible[i] and not any((i, j) in close for j in want):
+            want.append(i)
+    assert {i: r.component for i, r in groups.items()} == part and kept == set(want)
+    assert {i: r.nearest for i, r in groups.items()} == {i: min((d for (x, _), d in close.items() if x == i), default=-1) for i in part}
+    assert max(n for _, n in made) <= len(rows)
+
+
 def test_group_safe_split(spark):
     df = spark.createDataFrame([(1, "a", "train"), (2, "a", "test"), (3, "b", "train")], "id long, g string, split string")
     got = {r.id: (r.final_split, r.moved) for r in neardup.group_safe_split(df, group="g", split="split").collect()}
