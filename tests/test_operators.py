@@ -359,3 +359,18 @@ def test_scalars(spark):
     assert df.select(scalars.cosine_schedule(F.lit(50), 100, 1.0)).first()[0] == pytest.approx(0.5)
     with pytest.raises(PySparkException, match="no direction"):
         df.select(scalars.unit(F.array(F.lit(0.0)))).collect()
+
+
+def test_all_boxes_are_placed_in_order(spark, small):
+    from siftlake.plans import duplicates
+
+    got = {r.id: r.accepted for r in duplicates.nonoverlapping_boxes(spark, small).collect()}
+    placed: dict[int, list] = {}
+    want = {}
+    for r in sorted(duplicates.boxes(spark, small).dropDuplicates(["id"]).collect(), key=lambda r: r.id):
+        own = placed.setdefault(r.g, [])
+        want[r.id] = not any(r.x0 < o.x1 and o.x0 < r.x1 and r.y0 < o.y1 and o.y0 < r.y1 for o in own)
+        if want[r.id]:
+            own.append(r)
+    items = spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+    assert got == want and len(got) == items
