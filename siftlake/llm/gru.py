@@ -9,20 +9,48 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN = 16
-WINDOW, STREAMS = 24, 64
-RATE, CLIP = 0.1, 1.0
+#: Steps of backpropagation, streams trained side by side at most, and updates that a call makes at least.
+WINDOW, STREAMS, UPDATES = 24, 256, 24
+#: Adagrad: step size, bound of a gradient, and what the sums of squares begin with.
+RATE, CLIP, FIRST_SUM = 0.07, 1.0, 1e-7
 #: Documents are dealt over so many streams for scoring, and outputs are computed for so many steps at once.
 SLOTS, STEPS = 384, 32
+#: Rows of a softmax at once, so that they stay in a core's cache.
+ROWS = 1024
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    return np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
+
+
+def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of symbols or classes, which are below 2**16, and the sorted values."""
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    return order, x[order]
+
+
+def _tame(logits: np.ndarray) -> bool:
+    """Whether exponentials and their sums stay finite and above zero without a shift."""
+    return max(logits.max(initial=0), -logits.min(initial=0)) < 60
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Softmax of each row; overwrites ``logits``."""
+    if not _tame(logits):
+        logits -= logits.max(axis=1)[:, None]
+    np.exp(logits, out=logits)
+    logits *= (1 / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
+    return logits
+
+
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log-softmax of each row at one place; overwrites ``logits``."""
     chosen = logits[np.arange(len(at)), at]
-    if max(logits.max(initial=0), -logits.min(initial=0)) < 60:  # exponentials and their sums stay finite
+    if _tame(logits):
         np.exp(logits, out=logits)
         return chosen - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
     top = logits.max(axis=1)
@@ -36,7 +64,8 @@ class Gru:
     word classes, then the others.
     """
 
-    NAMES = ("inputs", "recurrent", "classes", "class_bias", "outputs", "output_bias")
+    #: The last row of ``classes`` and the last column of ``outputs`` are biases; states get a last column of ones.
+    NAMES = ("inputs", "recurrent", "classes", "outputs")
 
     def __init__(self, first: np.ndarray, word_counts: np.ndarray, other_mass: np.ndarray, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
@@ -48,20 +77,27 @@ class Gru:
         scale = 1 / np.sqrt(HIDDEN)
         self.inputs = rng.normal(0, 0.3, (self.start + 1, 3 * HIDDEN)).astype(np.float32)
         self.recurrent = rng.normal(0, scale, (HIDDEN, 3 * HIDDEN)).astype(np.float32)
-        self.classes = np.zeros((HIDDEN, len(mass)), np.float32)
-        self.class_bias = np.log(mass / mass.sum()).astype(np.float32)
-        self.outputs = np.zeros((self.words, HIDDEN), np.float32)
-        self.output_bias = np.log(word_counts + 1.0).astype(np.float32)
+        self.classes = np.zeros((HIDDEN + 1, len(mass)), np.float32)
+        self.classes[HIDDEN] = np.log(mass / mass.sum())
+        self.outputs = np.zeros((self.words, HIDDEN + 1), np.float32)
+        self.outputs[:, HIDDEN] = np.log((word_counts + 1.0) / np.repeat(mass[: self.word_classes], np.diff(first)))
+        self.sums = {name: np.full(getattr(self, name).shape, FIRST_SUM, np.float32) for name in self.NAMES}
 
     def weights(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
 
+    def state(self) -> np.ndarray:
+        """The weights, then the sums of squared gradients."""
+        return np.concatenate([self.weights(), *(self.sums[n].ravel() for n in self.NAMES)])
+
     def load(self, flat: np.ndarray) -> None:
+        """Take over weights, or a state."""
         at = 0
-        for name in self.NAMES:
-            value = getattr(self, name)
-            setattr(self, name, flat[at : at + value.size].reshape(value.shape).astype(np.float32))
-            at += value.size
+        for kept in (self.__dict__, self.sums)[: 2 if flat.size > sum(s.size for s in self.sums.values()) else 1]:
+            for name in self.NAMES:
+                size, shape = kept[name].size, kept[name].shape
+                kept[name] = flat[at : at + size].reshape(shape).astype(np.float32)
+                at += size
 
     def targets(self, symbols: np.ndarray) -> np.ndarray:
         """Classes of symbols."""
@@ -76,15 +112,17 @@ class Gru:
 
     def log_probability(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each symbol: of the word, or of its class if it is not frequent."""
-        classes = self.targets(symbols)
-        out = _log_softmax_at(h @ self.classes + self.class_bias, classes)
-        order = np.argsort(classes, kind="stable")
-        edges = np.searchsorted(classes[order], np.arange(self.word_classes + 1))
+        order, classes = _sorted(self.targets(symbols))
+        edges = np.searchsorted(classes, np.arange(self.word_classes + 1)).tolist()
+        h, symbols = _with_ones(h[order]), symbols[order]
+        found = np.concatenate([_log_softmax_at(h[i : i + ROWS] @ self.classes, classes[i : i + ROWS]) for i in range(0, len(h), ROWS)])
         for c in range(self.word_classes):
-            own = order[edges[c] : edges[c + 1]]
+            own = slice(edges[c], edges[c + 1])
             a, b = self.first[c], self.first[c + 1]
-            if len(own) and b - a > 1:
-                out[own] += _log_softmax_at(h[own] @ self.outputs[a:b].T + self.output_bias[a:b], symbols[own] - a)
+            if edges[c + 1] > edges[c] and b - a > 1:
+                found[own] += _log_softmax_at(h[own] @ self.outputs[a:b].T, symbols[own] - a)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -133,7 +171,11 @@ class Gru:
         return out
 
     def train(self, docs: list[np.ndarray], seed: int) -> int:
-        """One pass by truncated backpropagation through time, with Adagrad; returns the number of tokens."""
+        """One pass by truncated backpropagation through time, with Adagrad; returns the number of tokens.
+
+        The documents follow each other in a random order, cut into streams that run side by side; a stream's state
+        is carried from window to window. The streams' remainders at the end are learned as one shorter window.
+        """
         if not docs:
             return 0
         rng = np.random.default_rng(seed)
@@ -142,67 +184,78 @@ class Gru:
         previous = np.concatenate([[self.start], flat[:-1]])
         starts = np.cumsum([0] + [len(docs[i]) for i in order[:-1]])
         previous[starts] = self.start
-        streams = max(1, min(STREAMS, len(flat) // WINDOW))
+        streams = max(1, min(STREAMS, len(flat) // (WINDOW * UPDATES)))
         n = len(flat) // streams
         x, y = previous[: n * streams].reshape(streams, n).T, flat[: n * streams].reshape(streams, n).T
-        self.sums = {name: np.full(getattr(self, name).shape, 1e-3, np.float32) for name in self.NAMES}
         h = np.zeros((streams, HIDDEN), np.float32)
         for at in range(0, n, WINDOW):
-            h = self._learn(h, x[at : at + WINDOW], y[at : at + WINDOW])
+            h = self._learn(h, np.ascontiguousarray(x[at : at + WINDOW]), y[at : at + WINDOW])
+        if n * streams < len(flat):
+            self._learn(h[-1:], previous[n * streams :, None], flat[n * streams :])
         return len(flat)
 
     def _learn(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """One update from a window: symbols read ``x`` and to come ``y``, steps x streams."""
         steps, streams = x.shape
-        tape = []
+        fresh = x == self.start
+        before, hs, z, r, new, u, d_new = np.empty((7, steps, streams, HIDDEN), h.dtype)
         for t in range(steps):
-            before = np.where((x[t] == self.start)[:, None], np.float32(0), h)
-            h, z, r, new, u = self.step(before, x[t])
-            tape.append((before, h, z, r, new, u))
-        hs = np.concatenate([s[1] for s in tape])
-        symbols = y.ravel()
-        classes, count = self.targets(symbols), len(symbols)
-        logits = hs @ self.classes + self.class_bias
-        p = np.exp(logits - logits.max(axis=1)[:, None])
-        p /= p.sum(axis=1)[:, None]
-        p[np.arange(count), classes] -= 1
-        p /= streams
-        grads = {"classes": hs.T @ p, "class_bias": p.sum(axis=0)}
-        back = p @ self.classes.T
-        d_out, d_bias = np.zeros_like(self.outputs), np.zeros_like(self.output_bias)
-        order = np.argsort(classes, kind="stable")
-        edges = np.searchsorted(classes[order], np.arange(self.word_classes + 1))
-        for c in range(self.word_classes):
-            own = order[edges[c] : edges[c + 1]]
-            a, b = self.first[c], self.first[c + 1]
-            if len(own) and b - a > 1:
-                logits = hs[own] @ self.outputs[a:b].T + self.output_bias[a:b]
-                q = np.exp(logits - logits.max(axis=1)[:, None])
-                q /= q.sum(axis=1)[:, None]
-                q[np.arange(len(own)), symbols[own] - a] -= 1
-                q /= streams
-                d_out[a:b], d_bias[a:b] = q.T @ hs[own], q.sum(axis=0)
-                back[own] += q @ self.outputs[a:b]
-        grads |= {"outputs": d_out, "output_bias": d_bias, "recurrent": np.zeros_like(self.recurrent)}
-        back = back.reshape(steps, streams, HIDDEN)
-        d_inputs = np.zeros((steps, streams, 3 * HIDDEN), np.float32)
-        dh = np.zeros((streams, HIDDEN), np.float32)
+            before[t] = h
+            before[t][fresh[t]] = 0
+            h, z[t], r[t], new[t], u[t] = self.step(before[t], x[t])
+            hs[t] = h
+        back, grads = self._output_gradients(hs.reshape(-1, HIDDEN), y.ravel())
+        back = back.reshape(steps, streams, HIDDEN) / streams
+        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), u * r * (1 - r)
+        d_gates = np.empty((steps, streams, 3 * HIDDEN), h.dtype)  # of the recurrent part
+        dh = np.zeros((streams, HIDDEN), h.dtype)
         for t in reversed(range(steps)):
-            before, _, z, r, new, u = tape[t]
-            dh = dh + back[t]
-            d_new = dh * (1 - z) * (1 - new**2)
-            d_u = np.concatenate([dh * (before - new) * z * (1 - z), d_new * u * r * (1 - r), d_new], axis=1)
-            d_inputs[t] = d_u
-            d_u = np.concatenate([d_u[:, : 2 * HIDDEN], d_new * r], axis=1)
-            grads["recurrent"] += before.T @ d_u
-            dh = dh * z + d_u @ self.recurrent.T
-            dh[x[t] == self.start] = 0
+            dh += back[t]
+            np.multiply(dh, by_new[t], out=d_new[t])
+            d = d_gates[t]
+            np.multiply(dh, by_z[t], out=d[:, :HIDDEN])
+            np.multiply(d_new[t], by_r[t], out=d[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(d_new[t], r[t], out=d[:, 2 * HIDDEN :])
+            dh = dh * z[t] + d @ self.recurrent.T
+            dh[fresh[t]] = 0
+        d_gates = d_gates.reshape(-1, 3 * HIDDEN)
+        grads = {name: g / streams for name, g in grads.items()}
+        grads["recurrent"] = before.reshape(-1, HIDDEN).T @ d_gates
         for name, g in grads.items():
-            g = np.clip(g, -CLIP, CLIP)
-            self.sums[name] += g * g
-            getattr(self, name)[...] -= RATE * g / np.sqrt(self.sums[name])
-        order = np.argsort(x.ravel(), kind="stable")
-        rows, edges = np.unique(x.ravel()[order], return_index=True)
-        g = np.clip(np.add.reduceat(d_inputs.reshape(-1, 3 * HIDDEN)[order], edges, axis=0), -CLIP, CLIP)
-        self.sums["inputs"][rows] += g * g
-        self.inputs[rows] -= RATE * g / np.sqrt(self.sums["inputs"][rows])
+            self._update(name, slice(None), g)
+        d_gates[:, 2 * HIDDEN :] = d_new.reshape(-1, HIDDEN)  # from here on of the input part
+        order, read = _sorted(x.ravel())
+        edges = np.flatnonzero(np.diff(read, prepend=-1))
+        self._update("inputs", read[edges], np.add.reduceat(d_gates[order], edges, axis=0))
         return h
+
+    def _update(self, name: str, rows, g: np.ndarray) -> None:
+        g = np.clip(g, -CLIP, CLIP)
+        sums = self.sums[name][rows] + g * g
+        self.sums[name][rows] = sums
+        getattr(self, name)[rows] -= RATE * g / np.sqrt(sums)
+
+    def _output_gradients(self, hs: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Gradients of the summed cross entropy by hidden state and by the weights of the output side."""
+        classes = self.targets(symbols)
+        order, classes = _sorted(classes)
+        edges = np.searchsorted(classes, np.arange(self.word_classes + 1)).tolist()
+        hs, symbols = _with_ones(hs[order]), symbols[order]
+        back, d_classes, d_outputs = np.empty_like(hs), np.zeros_like(self.classes), np.zeros_like(self.outputs)
+        for i in range(0, len(hs), ROWS):
+            some = slice(i, i + ROWS)
+            p = _softmax(hs[some] @ self.classes)
+            p[np.arange(len(p)), classes[some]] -= 1
+            np.matmul(p, self.classes.T, out=back[some])
+            d_classes += hs[some].T @ p
+        for c in range(self.word_classes):
+            own = slice(edges[c], edges[c + 1])
+            a, b = self.first[c], self.first[c + 1]
+            if edges[c + 1] > edges[c] and b - a > 1:
+                q = _softmax(hs[own] @ self.outputs[a:b].T)
+                q[np.arange(len(q)), symbols[own] - a] -= 1
+                d_outputs[a:b] = q.T @ hs[own]
+                back[own] += q @ self.outputs[a:b]
+        out = np.empty((len(hs), HIDDEN), hs.dtype)
+        out[order] = back[:, :HIDDEN]
+        return out, {"classes": d_classes, "outputs": d_outputs}

@@ -1,9 +1,9 @@
 """Scoring documents with a gated recurrent language model over the corpus's own vocabulary.
 
 All training documents are counted: every word's count enters the model, as the share of its class for words
-outside the network and as the starting point of the network's biases. The network's weights are then trained on
-all training documents, each once: a round takes its part of them, replicas train on parts of that by truncated
-backpropagation, and their weights are averaged after every round.
+outside the network and as the starting point of the network's biases. Then all documents are written as symbols,
+once. The network is trained on all training documents, each once: a round takes its part of them, replicas train
+on parts of that by truncated backpropagation as the rows come in, and their states are averaged after every round.
 
 Three kinds of words are told apart by count. *Frequent* words are outputs of the network. *Listed* words are so
 many more whose counts are sent to every worker. The counts of all *other* words stay in their table and are
@@ -33,9 +33,11 @@ FREQUENT, LISTED = 2000, 200_000
 WORD_CLASSES, ENDINGS, REST_CLASSES = 40, 63, 17
 #: Every training document trains the network in one of ROUNDS rounds, PER_REPLICA documents or more to a task.
 ROUNDS, PER_REPLICA = 8, 192
+#: Tasks that add up the replicas' states; the driver gets a row of each.
+ADDERS = 4
 COUNTED_WORDS = 500_000
-#: Words scored at once.
-GROUP_WORDS = 1_500_000
+#: Symbols of the documents that a task trains on or scores at once.
+TRAIN_SYMBOLS, GROUP_SYMBOLS = 1_000_000, 1_500_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -163,90 +165,130 @@ def encode(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return symbols, places
 
 
-def _encoded(shared: Broadcast):
+ENCODED_SQL = (
+    "row long, doc_id long, round int, symbols binary, n_tokens long, known long, base double, outside double, "
+    "rare array<struct<word:binary,n:int>>"
+)
+_RARE = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+_ENCODED = pa.schema(
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("round", pa.int32()), ("symbols", pa.binary()), ("n_tokens", pa.int64())]
+    + [("known", pa.int64()), ("base", pa.float64()), ("outside", pa.float64()), ("rare", _RARE)]
+)
+
+
+def _encode(shared: Broadcast):
+    """Symbols of every document, and what its score owes to counts: words outside the network and the base score.
+
+    Words that are not listed are handed on, to be looked up in the table of counts.
+    """
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        row = TaskContext.get().partitionId() << 33
+        unseen = np.log10(v.tokens + v.types + 1)
         for batch in batches:
-            symbols = [encode(shared.value, words_of(t))[0].astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("round"), pa.array(symbols, pa.binary())], names=["round", "symbols"])
+            rows = []
+            for doc_id, round_, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "round", "text"))):
+                words = words_of(text)
+                symbols, places = encode(v, words)
+                listed, outside = places >= 0, symbols >= v.frequent
+                logs = np.where(listed, v.logs[places], 0.0)
+                out = logs[outside].sum() - v.class_logs[symbols[outside] - v.frequent].sum()
+                rare = Counter(words[i] for i in np.flatnonzero(~listed).tolist())
+                rare = [{"word": w, "n": n} for w, n in rare.items()]
+                known = int(v.known[places[listed]].sum())
+                rows.append((row, doc_id, round_, symbols.astype(np.uint16).tobytes(), len(places), known, logs.sum() - len(places) * unseen, out, rare))
+                row += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ENCODED.types)], schema=_ENCODED)
 
     return encoded
 
 
-def _train(shared: Broadcast, weights: Broadcast, round_: int):
+def _symbols(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint16).astype(np.int32) for s in batch.column("symbols").to_pylist()]
+
+
+def _train(shared: Broadcast, state: Broadcast | None, round_: int):
+    """A replica: learns from documents as they come, ``TRAIN_SYMBOLS`` symbols or a little more at a time."""
+
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        docs = [np.frombuffer(s, np.uint16).astype(np.int32) for batch in batches for s in batch.column("symbols").to_pylist()]
-        if docs:
-            model = network(v)
-            if weights is not None:
-                model.load(weights.value)
-            tokens = model.train(docs, seed=1000 * round_ + TaskContext.get().partitionId())
-            columns = [pa.array([tokens], pa.int64()), pa.array([model.weights()], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["tokens", "weights"])
+        model = network(shared.value)
+        if state is not None:
+            model.load(state.value)
+        seed, tokens, held, size = 1000 * TaskContext.get().partitionId() + round_, 0, [], 0
+        for batch in batches:
+            for doc in _symbols(batch):
+                held.append(doc)
+                size += len(doc)
+                if size > TRAIN_SYMBOLS:
+                    tokens += model.train(held, seed=seed + tokens)
+                    held, size = [], 0
+        tokens += model.train(held, seed=seed + tokens)
+        if tokens:
+            columns = [pa.array([tokens], pa.int64()), pa.array([model.state().tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["tokens", "state"])
 
     return train
 
 
-def train(docs: DataFrame, v: Vocabulary) -> Gru:
-    """Train the network on all rows of ``doc_id, text``, each in one round; only averaged weights come to the driver."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(v)
-    model, weights = network(v), None
-    rows = docs.select(F.pmod(F.xxhash64(F.lit("lm"), "doc_id"), F.lit(ROUNDS)).cast("int").alias("round"), "text")
-    rows = materialise(rows.mapInArrow(_encoded(shared), "round int, symbols binary"), "lm-encoded")
-    sizes = {r["round"]: r["count"] for r in rows.groupBy("round").count().collect()}
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of replicas' states, each as often as it has tokens."""
+    tokens, total = 0, 0.0
+    for batch in batches:
+        for n, state in zip(batch.column("tokens").to_pylist(), batch.column("state")):
+            total = total + n * np.frombuffer(state.as_buffer(), np.float32).astype(np.float64)
+            tokens += n
+    if tokens:
+        columns = [pa.array([tokens], pa.int64()), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["tokens", "state"])
+
+
+def train(encoded: DataFrame, v: Vocabulary, shared: Broadcast) -> Gru:
+    """Train the network on ``symbols`` of all rows, each in its ``round`` (null: not at all).
+
+    Only averaged states come to the driver, ``ADDERS`` of them after each round.
+    """
+    spark = encoded.sparkSession
+    model, state = network(v), None
+    sizes = {r["round"]: r["count"] for r in encoded.filter("round IS NOT NULL").groupBy("round").count().collect()}
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for round_, size in sorted(sizes.items()):
-        part = rows.filter(F.col("round") == round_).select("symbols").repartition(max(1, min(most, size // PER_REPLICA)))
-        trained = part.mapInArrow(_train(shared, weights, round_), "tokens long, weights array<float>")
-        parts = trained.select("tokens", F.posexplode("weights").alias("i", "w"))
-        mean = F.sum(F.col("w").cast("double") * F.col("tokens")) / F.sum("tokens")
-        averaged = parts.groupBy("i").agg(mean.cast("float").alias("w")).toPandas()
-        if len(averaged):
-            model.load(averaged.sort_values("i")["w"].to_numpy(np.float32))
-            weights = spark.sparkContext.broadcast(model.weights())
+        part = encoded.filter(F.col("round") == round_).select("symbols").repartition(max(1, min(most, size // PER_REPLICA)))
+        trained = part.mapInArrow(_train(shared, state, round_), "tokens long, state binary")
+        added = trained.repartition(ADDERS).mapInArrow(_add, "tokens long, state binary").collect()
+        if added:
+            tokens = sum(r.tokens for r in added)
+            model.load(sum(np.frombuffer(r.state, np.float32) * (r.tokens / tokens) for r in added))
+            state = spark.sparkContext.broadcast(model.state())
     return model
 
 
-SCORED_SQL = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word:binary,n:int>>"
-_RARE = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+SCORED_SQL = "row long, doc_id long, n_tokens long, known long, base double, score double"
 
 
 def _score(shared: Broadcast, weights: Broadcast):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, model = shared.value, network(shared.value)
+        model = network(shared.value)
         model.load(weights.value)
-        row = TaskContext.get().partitionId() << 33
-        unseen = np.log10(v.tokens + v.types + 1)
 
-        def scored(held: list) -> pa.RecordBatch:
-            nonlocal row
-            totals = model.score([h[1] for h in held]) / np.log(10)
-            rows = []
-            for (doc_id, symbols, places, rare), total in zip(held, totals):
-                listed, outside = places >= 0, symbols >= v.frequent
-                logs = np.where(listed, v.logs[places], 0.0)
-                total += logs[outside].sum() - v.class_logs[symbols[outside] - v.frequent].sum()
-                base = logs.sum() - len(places) * unseen
-                words = [{"word": w, "n": n} for w, n in rare.items()]
-                rows.append((row, doc_id, len(places), int(v.known[places[listed]].sum()), base, total, words))
-                row += 1
-            types = [pa.int64()] * 4 + [pa.float64()] * 2 + [_RARE]
-            names = ["row", "doc_id", "n_tokens", "known", "base", "score", "rare"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        def scored(held: list[pa.RecordBatch], docs: list[np.ndarray]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            totals = model.score(docs) / np.log(10) + rows.column("outside").to_numpy()
+            rows = rows.select(["row", "doc_id", "n_tokens", "known", "base"]).append_column("score", pa.array(totals, pa.float64()))
+            return rows.combine_chunks().to_batches()[0]
 
-        held, size = [], 0
+        held, docs, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                words = words_of(text)
-                symbols, places = encode(v, words)
-                held.append((doc_id, symbols, places, Counter(words[i] for i in np.flatnonzero(places < 0).tolist())))
-                size += len(places)
-                if size > GROUP_WORDS:
-                    yield scored(held)
-                    held, size = [], 0
-        if held:
-            yield scored(held)
+            new = _symbols(batch)
+            held.append(batch)
+            docs += new
+            size += sum(map(len, new))
+            if size > GROUP_SYMBOLS:
+                yield scored(held, docs)
+                held, docs, size = [], [], 0
+        if docs:
+            yield scored(held, docs)
 
     return score
 
@@ -260,20 +302,22 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    learned = docs.filter(training)
-    counts = learned.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    learned = F.coalesce(training, F.lit(False))
+    counts = docs.filter(learned).select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "lm-counts")
     v = vocabulary(counts)
-    model = train(learned.select("doc_id", "text"), v)
-    shared, weights = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(model.weights())
-    scored = materialise(rows.mapInArrow(_score(shared, weights), SCORED_SQL), "lm-scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
+    shared = spark.sparkContext.broadcast(v)
+    round_ = F.when(learned, F.pmod(F.xxhash64(F.lit("lm"), "doc_id"), F.lit(ROUNDS))).cast("int").alias("round")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), round_, "text")
+    encoded = materialise(rows.mapInArrow(_encode(shared), ENCODED_SQL), "lm-encoded")
+    weights = spark.sparkContext.broadcast(train(encoded, v, shared).weights())
+    scored = encoded.drop("round", "rare").mapInArrow(_score(shared, weights), SCORED_SQL)
+    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     found = rare.join(counts, "word")
     added = found.groupBy("row").agg(
         F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("more")
     )
-    out = scored.drop("rare").join(added, "row", "left")
+    out = scored.join(added, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id",

@@ -148,7 +148,7 @@ def test_lm_scores(spark, small):
 def test_lm_trains_on_every_document(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    docs = spark.createDataFrame([(i, f"one two w{i % 7} three " * 5) for i in range(100)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, i % 8, f"one two w{i % 7} three " * 5) for i in range(100)], "doc_id long, round int, text string")
     counts = docs.select("text").mapInArrow(lm._count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     v = lm.vocabulary(counts)
     seen, inner = spark.sparkContext.accumulator(0), lm._train
@@ -164,7 +164,8 @@ def test_lm_trains_on_every_document(spark, monkeypatch):
         return run
 
     monkeypatch.setattr(lm, "_train", counted)
-    lm.train(docs, v)
+    shared = spark.sparkContext.broadcast(v)
+    lm.train(docs.mapInArrow(lm._encode(shared), lm.ENCODED_SQL), v, shared)
     assert seen.value == 100 * 21 == v.tokens
 
 
