@@ -20,7 +20,11 @@ ROWS = 1024
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """Overwrites ``x``."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _with_ones(h: np.ndarray) -> np.ndarray:
@@ -33,28 +37,22 @@ def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, x[order]
 
 
-def _tame(logits: np.ndarray) -> bool:
-    """Whether exponentials and their sums stay finite and above zero without a shift."""
-    return max(logits.max(initial=0), -logits.min(initial=0)) < 60
-
-
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    """Softmax of each row; overwrites ``logits``."""
-    if not _tame(logits):
+def _softmax(logits: np.ndarray, tame: bool) -> np.ndarray:
+    """Softmax of each row; overwrites ``logits``. Tame ones need no shift to keep exponentials finite and above zero."""
+    if not tame:
         logits -= logits.max(axis=1)[:, None]
     np.exp(logits, out=logits)
     logits *= (1 / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
     return logits
 
 
-def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _log_softmax_at(logits: np.ndarray, at: np.ndarray, tame: bool) -> np.ndarray:
     """Log-softmax of each row at one place; overwrites ``logits``."""
+    if not tame:
+        logits -= logits.max(axis=1)[:, None]
     chosen = logits[np.arange(len(at)), at]
-    if _tame(logits):
-        np.exp(logits, out=logits)
-        return chosen - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
-    top = logits.max(axis=1)
-    return chosen - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    np.exp(logits, out=logits)
+    return chosen - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
 
 class Gru:
@@ -103,6 +101,10 @@ class Gru:
         """Classes of symbols."""
         return np.where(symbols < self.words, self.class_of[np.minimum(symbols, self.words - 1)], symbols - self.words + self.word_classes)
 
+    def tame(self) -> bool:
+        """Whether no logit can be far from zero, as no part of a state exceeds one."""
+        return max(np.abs(self.classes).sum(axis=0).max(), np.abs(self.outputs).sum(axis=1).max(initial=0)) < 60
+
     def step(self, h: np.ndarray, symbols: np.ndarray):
         g, u = self.inputs[symbols], h @ self.recurrent
         gates = _sigmoid(g[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
@@ -112,15 +114,16 @@ class Gru:
 
     def log_probability(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each symbol: of the word, or of its class if it is not frequent."""
+        tame = self.tame()
         order, classes = _sorted(self.targets(symbols))
         edges = np.searchsorted(classes, np.arange(self.word_classes + 1)).tolist()
         h, symbols = _with_ones(h[order]), symbols[order]
-        found = np.concatenate([_log_softmax_at(h[i : i + ROWS] @ self.classes, classes[i : i + ROWS]) for i in range(0, len(h), ROWS)])
+        found = np.concatenate([_log_softmax_at(h[i : i + ROWS] @ self.classes, classes[i : i + ROWS], tame) for i in range(0, len(h), ROWS)])
         for c in range(self.word_classes):
             own = slice(edges[c], edges[c + 1])
             a, b = self.first[c], self.first[c + 1]
             if edges[c + 1] > edges[c] and b - a > 1:
-                found[own] += _log_softmax_at(h[own] @ self.outputs[a:b].T, symbols[own] - a)
+                found[own] += _log_softmax_at(h[own] @ self.outputs[a:b].T, symbols[own] - a, tame)
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -237,14 +240,14 @@ class Gru:
 
     def _output_gradients(self, hs: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Gradients of the summed cross entropy by hidden state and by the weights of the output side."""
-        classes = self.targets(symbols)
-        order, classes = _sorted(classes)
+        tame = self.tame()
+        order, classes = _sorted(self.targets(symbols))
         edges = np.searchsorted(classes, np.arange(self.word_classes + 1)).tolist()
         hs, symbols = _with_ones(hs[order]), symbols[order]
         back, d_classes, d_outputs = np.empty_like(hs), np.zeros_like(self.classes), np.zeros_like(self.outputs)
         for i in range(0, len(hs), ROWS):
             some = slice(i, i + ROWS)
-            p = _softmax(hs[some] @ self.classes)
+            p = _softmax(hs[some] @ self.classes, tame)
             p[np.arange(len(p)), classes[some]] -= 1
             np.matmul(p, self.classes.T, out=back[some])
             d_classes += hs[some].T @ p
@@ -252,7 +255,7 @@ class Gru:
             own = slice(edges[c], edges[c + 1])
             a, b = self.first[c], self.first[c + 1]
             if edges[c + 1] > edges[c] and b - a > 1:
-                q = _softmax(hs[own] @ self.outputs[a:b].T)
+                q = _softmax(hs[own] @ self.outputs[a:b].T, tame)
                 q[np.arange(len(q)), symbols[own] - a] -= 1
                 d_outputs[a:b] = q.T @ hs[own]
                 back[own] += q @ self.outputs[a:b]
