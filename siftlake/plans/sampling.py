@@ -64,12 +64,35 @@ def _type_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: Unit by unit, as the rule is told; the query has no such loop.
+_FLOOR = """s AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL),
+h AS (SELECT lang, source, n, 200 * n / CAST(sum(n) OVER (PARTITION BY lang) AS DOUBLE) AS share FROM s),
+f AS (
+  SELECT lang, source, n, share, greatest(CAST(floor(share) AS BIGINT), 5) AS quota, CAST(0 AS BIGINT) AS moved FROM h
+  UNION ALL
+  SELECT lang, source, n, share, quota + CASE WHEN lacking > 0 AND first_to_get = 1 THEN 1 WHEN lacking < 0 AND first_to_give = 1 THEN -1 ELSE 0 END, moved + 1
+  FROM (SELECT *, 200 - sum(quota) OVER (PARTITION BY lang) AS lacking,
+               row_number() OVER (PARTITION BY lang ORDER BY share - quota DESC, n DESC, source) AS first_to_get,
+               row_number() OVER (PARTITION BY lang ORDER BY quota > 5 DESC, quota - share DESC, n, source) AS first_to_give FROM f)
+  WHERE lacking <> 0),
+floors AS (SELECT lang, source, quota FROM f QUALIFY moved = max(moved) OVER (PARTITION BY lang))"""
+
+
+@query(f"WITH RECURSIVE {_FLOOR} SELECT lang, source, CAST(quota AS BIGINT) AS quota FROM floors")
 def quota_with_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.quotas_with_floor(_type_sizes(spark, sf_dir), by="lang", key="source", size="n", total=200, minimum=5)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_FLOOR},
+t AS (
+  SELECT lang, source, quota, sum(quota) OVER (PARTITION BY lang) AS total, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS taken, FALSE AS chosen FROM floors
+  UNION ALL
+  SELECT lang, source, quota, total, step + 1, taken + CASE WHEN turn = 1 THEN 1 ELSE 0 END, turn = 1
+  FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY taken < quota DESC, (step + 1) * quota / CAST(total AS DOUBLE) - taken DESC, quota DESC, source) AS turn
+        FROM t WHERE step < total))
+SELECT lang, step - 1 AS step, source FROM t WHERE chosen"""
+)
 def weighted_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.weighted_schedule(quota_with_floor(spark, sf_dir), by="lang", key="source", quota="quota")
 
@@ -149,10 +172,11 @@ def class_balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.join(counts, "toxic").select("doc_id", "weight")
 
 
-@query(
-    """WITH d AS (SELECT doc_id, CASE WHEN toxic = 0 THEN 'good' WHEN quality = 1 THEN 'real_bad' ELSE 'other_bad' END AS domain FROM labels)
-SELECT doc_id, domain, round(CASE domain WHEN 'good' THEN 0.5::DOUBLE WHEN 'real_bad' THEN 0.375::DOUBLE ELSE 0.125::DOUBLE END / count(*) OVER (PARTITION BY domain), 9) AS weight FROM d"""
-)
+_DOMAINS = """d AS (SELECT doc_id, CASE WHEN toxic = 0 THEN 'good' WHEN quality = 1 THEN 'real_bad' ELSE 'other_bad' END AS domain FROM labels),
+domains AS (SELECT doc_id, domain, round(CASE domain WHEN 'good' THEN 0.5::DOUBLE WHEN 'real_bad' THEN 0.375::DOUBLE ELSE 0.125::DOUBLE END / count(*) OVER (PARTITION BY domain), 9) AS weight FROM d)"""
+
+
+@query(f"WITH {_DOMAINS} SELECT doc_id, domain, weight FROM domains")
 def domain_balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = F.when(F.col("toxic") == 0, "good").when(F.col("quality") == 1, "real_bad").otherwise("other_bad")
     shares = {"good": 0.5, "real_bad": 0.5 * 0.75, "other_bad": 0.5 * 0.25}
@@ -160,13 +184,20 @@ def domain_balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "domain", F.round("weight", 9).alias("weight"))
 
 
-@query()
+_DRAWS = f"""{_DOMAINS},
+c AS (SELECT doc_id, domain, sum(weight) OVER o / sum(weight) OVER () AS high, (sum(weight) OVER o - weight) / sum(weight) OVER () AS low
+      FROM domains WINDOW o AS (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT range AS draw, CAST('0x' || substr(sha256('{SEED}:draw:' || CAST(range AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM range(2000)),
+drawn AS (SELECT draw, doc_id, domain FROM n JOIN c ON u >= low AND u < high)"""
+
+
+@query(f"WITH {_DRAWS} SELECT draw, doc_id FROM drawn")
 def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = domain_balanced_weights(spark, sf_dir)
     return sampling.weighted_draws(rows, key="doc_id", weight="weight", draws=2000, seed=SEED)
 
 
-@query()
+@query(f'WITH {_DRAWS} SELECT domain, count(*) AS draws, count(DISTINCT doc_id) AS rows FROM drawn GROUP BY domain')
 def exposure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each domain was drawn."""
     drawn = weighted_draws(spark, sf_dir).join(domain_balanced_weights(spark, sf_dir), "doc_id")

@@ -152,13 +152,45 @@ def test_places_in_a_group_that_holds_most_rows(spark):
     assert {r.n for r in few.filter("g = 'hot'").collect()} == {r.n for r in same.collect()} and few.count() == 701
 
 
-def test_quotas_and_schedules(spark):
-    assert sampling.clamped_quotas({0: 16, 1: 7}, 500, 50) == {0: 348, 1: 152}
-    assert sampling.clamped_quotas({0: 9, 1: 3}, 500, 50) == {0: 375, 1: 125}
-    clamped = sampling.clamped_quotas({0: 100, 1: 1, 2: 1}, 200, 50)
-    assert clamped == {0: 100, 1: 50, 2: 50}
-    order = sampling.interleave({0: 12, 1: 5})
-    assert order.count(0) == 12 and order.count(1) == 5 and 1 in order[:4] and 1 in order[-4:]
+def quotas(spark, sizes, total, minimum):
+    df = spark.createDataFrame([("g", k, n) for k, n in sizes.items()], "g string, k string, n long")
+    rows = sampling.quotas_with_floor(df, by="g", key="k", size="n", total=total, minimum=minimum).collect()
+    return {r.k: r.quota for r in rows}
+
+
+def test_quotas_with_a_floor(spark):
+    assert quotas(spark, {"s": 16, "t": 7}, 500, 50) == {"s": 348, "t": 152}
+    assert quotas(spark, {"s": 9, "t": 3}, 500, 50) == {"s": 375, "t": 125}
+    assert quotas(spark, {"s": 100, "t": 1, "u": 1}, 200, 50) == {"s": 100, "t": 50, "u": 50}
+    assert quotas(spark, {}, 10, 1) == {} and quotas(spark, {"s": 0, "t": None}, 4, 2) == {"s": 2, "t": 2}
+    with pytest.raises(PySparkException, match="minimum"):
+        quotas(spark, {"s": 1, "t": 1}, 10, 6)
+
+
+def test_quotas_and_turns_against_sql_on_odd_sizes(spark):
+    import duckdb
+
+    from siftlake.plans.registry import oracle_sql
+
+    rng = np.random.default_rng(5)
+    rows = [(f"g{g}", f"k{k}", int(n)) for g in range(12) for k, n in enumerate((rng.pareto(0.6, rng.integers(1, 25)) * 3).astype(int) + 1)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE sizes(lang VARCHAR, source VARCHAR, n BIGINT)")
+    con.executemany("INSERT INTO sizes VALUES (?, ?, ?)", rows)
+    con.execute("CREATE VIEW documents AS SELECT lang, source FROM sizes, range(n)")
+    df = spark.createDataFrame(rows, "lang string, source string, n long")
+    got = sampling.quotas_with_floor(df, by="lang", key="source", size="n", total=200, minimum=5)
+    want = con.sql(oracle_sql()["quota_with_floor"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    steps = sampling.weighted_schedule(got, by="lang", key="source", quota="quota")
+    want = con.sql(oracle_sql()["weighted_interleave"]).fetchall()
+    assert sorted(map(tuple, steps.collect())) == sorted(want)
+
+
+def test_turns_are_handed_on_in_chunks():
+    whole, chunks = (np.concatenate(list(sampling.turns(np.array([12, 5]), chunk))) for chunk in (100, 3))
+    assert whole.tolist() == chunks.tolist() and np.bincount(whole).tolist() == [12, 5]
+    assert list(sampling.turns(np.zeros(0, np.int64))) == []
     assert sampling.even_quota(4, 10) == [3, 3, 2, 2]
 
 
