@@ -9,34 +9,39 @@ the chains of three and four are checked on the matches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise, ship
 from siftlake.llm.components import connected_components
-from siftlake.llm.idset import without_ids
 
 SEED, SHINGLE, BUDGET = 42, 3, 3
 #: Rows of a key that one task compares; keys with more are dealt over pairs of blocks.
 BLOCK = 4096
 
 
-def fingerprint(text: str | None) -> int:
-    """The SimHash of a text's word shingles; 0 without words."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included; of a shorter text that of all its words; none without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
-        hashes = np.array([digest(b" ".join(words), SEED)], np.uint64)
-    else:
-        shingles = zip(*(words[i:] for i in range(SHINGLE)))
-        hashes = np.fromiter((digest(b" ".join(s), SEED) for s in shingles), np.uint64, len(words) - SHINGLE + 1)
+    if len(words) < width:
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    runs = zip(*(words[i:] for i in range(width)))
+    return np.fromiter((digest(b" ".join(s), SEED) for s in runs), np.uint64, len(words) - width + 1)
+
+
+def fingerprint(text: str | None) -> int:
+    """The SimHash of a text's word shingles; 0 without words."""
+    hashes = shingle_hashes(text, SHINGLE)
+    if not len(hashes):
+        return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes)).view(np.uint64)[0])
 
@@ -77,7 +82,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["key", "seeks", "fp", "rep"])
 
 
-def _linked(key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def linked(key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The rest of the chain from the key's ring position, then the full check."""
     diff = x ^ y
     start = (key.view(np.uint64) >> np.uint64(32)) * np.uint64(16)
@@ -103,19 +108,28 @@ def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[
     return kept
 
 
-def _compare(key: np.ndarray, seeks: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> list[tuple[int, int]]:
-    """All rows of a group against those to be found; a spanning forest of the links."""
+#: Tells of pairs with a common key whether their rows are linked: key, fp and fp.
+Test = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _compare(key: np.ndarray, seeks: np.ndarray, fp: np.ndarray, rep: np.ndarray, test: Test) -> list[tuple[int, int]]:
+    """All rows of a group against those to be found; a spanning forest of the links, the closest pairs first."""
     parent: dict[int, int] = {}
     kept = []
     found = np.flatnonzero(~seeks)
+    most = len(np.unique(rep)) - 1
     for at in range(0, len(found), 128):
         x, y = (m.ravel() for m in np.meshgrid(found[at : at + 128], np.arange(len(key)), indexing="ij"))
-        ok = _linked(key[x], fp[x], fp[y]) & (x != y)
-        kept += _forest(rep[x[ok]], rep[y[ok]], parent)
+        ok = np.flatnonzero(test(key[x], fp[x], fp[y]) & (x != y))
+        x, y = x[ok], y[ok]
+        order = np.argsort(np.bitwise_count(fp[x] ^ fp[y]), kind="stable")
+        kept += _forest(rep[x[order]], rep[y[order]], parent)
+        if len(kept) == most:
+            break
     return kept
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], test: Test) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key and pair of blocks; each such group is compared in full.
 
     Of a group's links only a spanning forest goes on, so no link between different parts is lost and no group
@@ -136,7 +150,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(starts):
             to_find = np.add.reduceat(~seeks[: ends[-1]], starts, dtype=np.int64)
             for s, e in zip(*(x[(to_find > 0) & (ends - starts > 1)] for x in (starts, ends))):
-                links += _compare(key[s:e], seeks[s:e], fp[s:e].view(np.uint64), rep[s:e])
+                links += _compare(key[s:e], seeks[s:e], fp[s:e].view(np.uint64), rep[s:e], test)
         return links, rest
 
     def emit(links) -> pa.RecordBatch:
@@ -157,25 +171,36 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield emit(links)
 
 
-def links(classes: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """``a, b``: links between the ``rep`` ids of ``fp, rep`` classes, as many as keep the components whole.
+def links(keyed: DataFrame, test: Test, *, block: int = BLOCK) -> DataFrame:
+    """``a, b``: links between the ``rep`` ids of ``key, seeks, fp, rep``, as many as keep the components whole.
 
-    A key with more than ``block`` rows is cut into blocks, and every pair of its blocks is a group of its own.
-    The counts of such keys are joined by size: broadcast only if Spark has seen that they are few.
+    Rows that meet under a key are linked if ``test`` says so; of those that seek none is compared with another. A
+    key with more than ``block`` rows is cut into blocks, and every pair of its blocks is a group of its own. The
+    counts of such keys are joined by size: broadcast only if Spark has seen that they are few.
     """
-    spark = classes.sparkSession
+    spark = keyed.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = classes.mapInArrow(_keys, "key long, seeks boolean, fp long, rep long")
     large = keyed.groupBy("key").count().filter(F.col("count") > block)
     large = materialise(large.select("key", F.ceil(F.col("count") / (block // 2)).cast("int").alias("blocks")), "simhash-large")
-    dealt = keyed.join(large, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp", "seeks"), F.col("blocks")).cast("int"))
+    own = F.pmod(F.xxhash64("fp", "seeks", "rep"), F.col("blocks")).cast("int")
+    dealt = keyed.join(large, "key", "left").withColumn("own", own)
+    dealt = dealt.select("key", pairs_of_blocks(F.col("blocks"), F.col("own")), "seeks", "fp", "rep")
+    groups = dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair")
+    return groups.mapInArrow(lambda batches: _links(batches, test), "a long, b long")
+
+
+def pairs_of_blocks(blocks: Column, own: Column) -> Column:
+    """``pair``: the pairs of blocks that a row of block ``own`` belongs to; 0 where ``blocks`` is null."""
     others = F.transform(
-        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")),
-        lambda x: (F.least(x, F.col("own")) * F.col("blocks") + F.greatest(x, F.col("own"))).cast("long"),
+        F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != own),
+        lambda x: (F.least(x, own) * blocks + F.greatest(x, own)).cast("long"),
     )
-    pair = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)).alias("pair")
-    groups = dealt.select("key", pair, "seeks", "fp", "rep").repartition(parts, "key", "pair").sortWithinPartitions("key", "pair")
-    return groups.mapInArrow(_links, "a long, b long")
+    return F.explode(F.when(blocks.isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)).alias("pair")
+
+
+def ring_keys(classes: DataFrame) -> DataFrame:
+    """``key, seeks, fp, rep``: the keys of the chains of two of 64-bit fingerprints ``fp, rep``."""
+    return classes.mapInArrow(_keys, "key long, seeks boolean, fp long, rep long")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -187,18 +212,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     """
     prints = materialise(fingerprints(docs), "simhash-prints")
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    joined = connected_components(materialise(links(classes.filter("rep IS NOT NULL")), "simhash-links"))
+    joined = connected_components(materialise(links(ring_keys(classes.filter("rep IS NOT NULL")), linked), "simhash-links"))
     moved = classes.join(joined, F.col("rep") == F.col("node"), "left")
     moved = materialise(moved.select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-components")
     return prints.join(moved, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, that with the smallest doc_id."""
-    others = near_components(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return without_ids(docs, materialise(others, "simhash-dropped"))
-
-
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

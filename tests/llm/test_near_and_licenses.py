@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 
-from siftlake.llm import licenses, simhash
+from siftlake.llm import licenses, simhash, simhash_sets
 from siftlake.llm.components import connected_components
 from tests.llm.common import ROWS, documents, lower
 
@@ -56,7 +56,7 @@ def test_odd_rows_and_empty_table(spark):
     assert len(got) == len(ROWS)
     by_id = got.drop_duplicates("doc_id").set_index("doc_id")["component_id"]
     assert by_id[1] == by_id[2] == by_id[3] == 1 and by_id[12] == by_id[5] == by_id[4] == 4 and by_id[14] == 6
-    kept = simhash.first_of_each(documents(spark))
+    kept = simhash_sets.first_of_each(documents(spark))
     assert {1, 4, 6} <= {r.doc_id for r in kept.collect()} and not {2, 5, 12, 14} & {r.doc_id for r in kept.collect()}
     assert simhash.near_components(documents(spark, [], clash=False)).count() == 0
 
@@ -75,7 +75,7 @@ def test_every_link_survives_blocks(spark):
     classes = spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64), "rep": np.arange(len(fps))}))
     want = roots(len(fps), all_links(fps))
     for block in (32, 4096):
-        found = simhash.links(classes, block=block).toPandas()
+        found = simhash.links(simhash.ring_keys(classes), simhash.linked, block=block).toPandas()
         assert roots(len(fps), zip(found["a"], found["b"])) == want
 
 

@@ -1,7 +1,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tests.llm.test_near_and_licenses import all_links, brute_fingerprint, lower, roots
+from tests.llm.test_near_and_licenses import lower, roots
+from tests.llm.test_simhash_sets import brute_links, brute_set
 
 
 def test_stages_against_brute_force(spark, small, tmp_path):
@@ -23,7 +24,7 @@ def test_stages_against_brute_force(spark, small, tmp_path):
             assert sorted(after["doc_id"]) == sorted(want)
         elif name == "near_dedup":
             rows = before.sort_values("doc_id")
-            parts = roots(len(rows), all_links([brute_fingerprint(t) for t in rows["text"]]))
+            parts = roots(len(rows), brute_links([brute_set(t) for t in rows["text"]]))
             assert sorted(after["doc_id"]) == [d for i, d in enumerate(rows["doc_id"]) if parts[i] == i]
         elif name == "mixing":
             assert set(after["doc_id"]) <= set(before["doc_id"]) and after["doc_id"].value_counts().max() <= 2

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from siftlake.llm import minhash
+from siftlake.llm import simhash_sets
 from tests.llm.common import documents, lower
 from tests.llm.test_near_and_licenses import roots
 
@@ -52,11 +52,11 @@ def test_large_groups_in_blocks(spark):
     docs = documents(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
     parts = roots(len(texts), brute_links([brute_set(t) for t in texts]))
     for block in (16, 8192):
-        got = {r.doc_id: r.component_id for r in minhash.near_components(docs, block=block).collect()}
+        got = {r.doc_id: r.component_id for r in simhash_sets.near_components(docs, block=block).collect()}
         assert [got[i] for i in range(len(texts))] == parts
 
 
 def test_odd_rows(spark):
-    got = minhash.near_components(documents(spark)).toPandas().drop_duplicates("doc_id").set_index("doc_id")["component_id"]
+    got = simhash_sets.near_components(documents(spark)).toPandas().drop_duplicates("doc_id").set_index("doc_id")["component_id"]
     assert got[1] == got[2] == got[3] == 1 and got[12] == got[5] == got[4] == 4 and got[14] == 6
-    assert minhash.near_components(documents(spark, [], clash=False)).count() == 0
+    assert simhash_sets.near_components(documents(spark, [], clash=False)).count() == 0
