@@ -7,7 +7,6 @@ fit: pieces x log2(sample) / length estimates the cross entropy, and the least w
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,13 +17,14 @@ from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise, ship
 
-#: The sample: so many documents of a language, of at most so many characters each, and so many characters of a
+#: The sample: so many documents of a language, so many characters of each at most, and so many characters of a
 #: language and of all languages together.
-FIT_DOCS, FIT_CHARS, SAMPLE_CHARS, ALL_CHARS = 40, 5_000, 16_000, 160_000
-ALPHABET = 126
-#: Parsing starts anew after so many characters, so that long texts are parsed side by side; this adds less than
-#: one piece a block.
-BLOCK = 2048
+FIT_DOCS, FIT_CHARS, SAMPLE_CHARS, ALL_CHARS = 40, 5_000, 16_000, 400_000
+#: Characters of a long text that are parsed side by side with the next ones, and those after whose steps a parse
+#: from another start is compared with the first one.
+BLOCK, COMPARED = 2048, 96
+#: Transitions, those that do not exist included, up to which they are kept in an array: 32 MB.
+PLAIN = 1 << 23
 UNKNOWN, GAP = 0, 1
 UNDETERMINED = "und"
 
@@ -64,37 +64,124 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+class Steps:
+    """Transitions of automata: ``state * symbols + symbol`` gives the next state.
+
+    Keys below ``PLAIN`` are places of an array; with more, as alphabets are large, a hash table holds them.
+    """
+
+    def __init__(self, keys: np.ndarray, targets: np.ndarray, size: int) -> None:
+        self.plain = size <= PLAIN
+        if self.plain:
+            self.targets = np.full(size, -1, np.int32)
+            self.targets[keys] = targets
+            return
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.targets = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        at = self._place(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of several the last one stays
+            mine = self.keys[at] == keys
+            self.targets[at[mine]] = targets[mine]
+            keys, targets, at = keys[~mine], targets[~mine], (at[~mine] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The next states; -1 where there is none."""
+        if self.plain:
+            return self.targets[keys]
+        at = self._place(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.targets[at], np.int32(-1))
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            found = self.keys[at[open_]]
+            same = found == keys[open_]
+            out[open_[same]] = self.targets[at[open_[same]]]
+            open_ = open_[~same & (found >= 0)]
+        return out
+
+
 class Parser:
-    """The automata of all languages as one table of steps.
+    """The automata of all languages, with one alphabet: every letter of the samples, the blank, and all other letters.
 
-    An entry is twice the next row of the table, plus one where a piece ends: there the symbol cannot be added,
-    and the next piece starts with it.
+    Each language has one state more, in which it starts and which every symbol leaves with a new piece.
     """
 
     def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
         self.languages = [name for name, _ in samples]
-        common = Counter(c for _, text in samples for c in text if c != " ").most_common(ALPHABET)
-        codes = {c: i + 2 for i, (c, _) in enumerate(sorted(common))}
-        self.symbols = np.array([UNKNOWN if chr(i).isalpha() else GAP for i in range(0x110000)], np.uint8)
+        codes = {c: i + 2 for i, c in enumerate(sorted({c for _, text in samples for c in text if c != " "}))}
+        self.symbols = np.array([UNKNOWN if chr(i).isalpha() else GAP for i in range(0x110000)], np.int32)
         for c, code in codes.items():
             self.symbols[ord(c)] = code
-        size = len(codes) + 2
+        self.size = len(codes) + 2
         self.logs = np.array([np.log2(max(2, len(text))) for _, text in samples])
-        tables, starts, base = [], [], 0
-        for _, text in samples:
-            moves = suffix_automaton([GAP if c == " " else codes.get(c, UNKNOWN) for c in text])
-            apart = len(moves)  # a further state that every symbol leaves with a new piece
-            table = np.full((apart + 1, size), -1, np.int64)
-            for state, out in enumerate(moves):
-                for symbol, target in out.items():
-                    table[state, symbol] = 2 * (base + target) * size
-            table[:, UNKNOWN] = -1
-            again = np.where(table[0] >= 0, table[0], 2 * (base + apart) * size) + 1
-            tables.append(np.where(table >= 0, table, again[None]))
-            starts.append((base + apart) * size)
-            base += apart + 1
-        self.table = np.concatenate([t.ravel() for t in tables] or [np.zeros(0)]).astype(np.int32 if base * size < 2**30 else np.int64)
-        self.starts = np.array(starts, self.table.dtype)
+        keys, targets, base = [], [], 0
+        self.apart, self.first = np.zeros((2, len(samples)), np.int32)
+        for i, (_, text) in enumerate(samples):
+            moves = suffix_automaton([GAP if c == " " else codes[c] for c in text])
+            keys += [(base + state) * self.size + symbol for state, out in enumerate(moves) for symbol in out]
+            targets += [base + target for out in moves for target in out.values()]
+            self.first[i], self.apart[i] = base, base + len(moves)
+            base += len(moves) + 1
+        self.steps = Steps(np.array(keys, np.int64), np.array(targets, np.int32), base * self.size)
+        root = self.steps((self.first[:, None] * np.int64(self.size) + np.arange(self.size)).ravel()).reshape(len(samples), self.size)
+        self.again = np.where(root >= 0, root, self.apart[:, None]).astype(np.int32)  # where a new piece goes on
+
+    def _advance(self, flat: np.ndarray, lang: np.ndarray, begins: np.ndarray, lengths: np.ndarray, state: np.ndarray):
+        """Reads ``lengths`` symbols, the longest first, from ``begins`` on: new pieces, last states, and those of the first steps."""
+        state, ended = state.copy(), np.zeros(len(state), np.int32)
+        steps = int(lengths[0]) if len(lengths) else 0
+        seen = np.full((2, min(steps, COMPARED), len(state)), -1, np.int32)
+        active = np.searchsorted(-lengths, -np.arange(steps), "left").tolist()
+        for step in range(steps):
+            n = active[step]
+            symbols = flat[begins[:n] + step]
+            to = self.steps(state[:n] * np.int64(self.size) + symbols)
+            none = np.flatnonzero(to < 0)
+            to[none] = self.again[lang[none], symbols[none]]
+            ended[none] += 1
+            state[:n] = to
+            if step < COMPARED:
+                seen[0, step, :n], seen[1, step, :n] = to, ended[:n]
+        return ended, state, seen
+
+    def _parse(self, flat: np.ndarray, lang: np.ndarray, begins: np.ndarray, lengths: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """New pieces of each stretch; ``before`` says which stretch a stretch continues (-1: none).
+
+        All stretches are read from a fresh start. Then each is read again from the state in which the one before it
+        ends, until both readings are in the same state, as they are the same from there on. Those that end in
+        another state than thought send the next ones round again, so the result is that of one reading throughout.
+        """
+        ended, last, seen = self._advance(flat, lang, begins, lengths, self.apart[lang])
+        entry = self.apart[lang]
+        todo = np.flatnonzero((before >= 0) & (last[before] != entry))
+        while len(todo):
+            entry[todo] = last[before[todo]]
+            short = np.minimum(lengths[todo], COMPARED)
+            order = np.argsort(-short, kind="stable")
+            some = todo[order]
+            new, state, other = self._advance(flat, lang[some], begins[some], short[order], entry[some])
+            same = other[0] == seen[0][: len(other[0]), some]
+            same &= other[0] >= 0
+            met = same.any(axis=0)
+            at = same.argmax(axis=0)
+            lanes = np.arange(len(some))
+            ended[some[met]] += (other[1][at, lanes] - seen[1][at, some])[met]
+            rest, begun, pieces = some[~met], state[~met], new[~met]
+            seen[:, : other.shape[1], rest] = other[:, :, ~met]  # now the reading to compare with
+            left = lengths[rest] - np.minimum(lengths[rest], COMPARED)
+            order = np.argsort(-left, kind="stable")
+            more, state, _ = self._advance(flat, lang[rest[order]], begins[rest[order]] + np.minimum(lengths[rest[order]], COMPARED), left[order], begun[order])
+            ended[rest[order]] = pieces[order] + more
+            last[rest[order]] = state
+            todo = np.flatnonzero((before >= 0) & (last[before] != entry))
+        return ended
 
     def pieces(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces of each text by language, symbols of each text, and whether it has a letter."""
@@ -107,7 +194,7 @@ class Parser:
         flat, owner = flat[keep], owner[keep]
         sizes = np.bincount(owner, minlength=len(texts))
         pieces = np.zeros((len(self.languages), len(texts)), np.int64)
-        if not len(flat):
+        if not len(flat) or not self.languages:
             return pieces, sizes, letters
         blocks = -(-sizes // BLOCK)
         of = np.repeat(np.arange(len(texts)), blocks)
@@ -115,17 +202,12 @@ class Parser:
         begins = np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * BLOCK
         lengths = np.minimum(BLOCK, sizes[of] - nth * BLOCK)
         order = np.argsort(-lengths, kind="stable")
-        of, begins, lengths = of[order], begins[order], lengths[order]
-        state = np.repeat(self.starts[:, None], len(of), axis=1)
-        ended = np.zeros(state.shape, np.int32)
-        active = np.searchsorted(-lengths, -np.arange(BLOCK), "left")
-        for step in range(int(lengths[0])):
-            n = active[step]
-            at = self.table[state[:, :n] + flat[begins[:n] + step]]
-            ended[:, :n] += at & 1
-            state[:, :n] = at >> 1
-        for row, counts in zip(pieces, ended):
-            row += np.bincount(of, counts, len(texts)).astype(np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        before = np.where(nth[order] > 0, place[order - 1], -1)
+        for i, row in enumerate(pieces):
+            counts = self._parse(flat, np.full(len(of), i), begins[order], lengths[order], before)
+            row += np.bincount(of[order], counts, len(texts)).astype(np.int64)
         return pieces, sizes, letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -150,15 +232,16 @@ def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
 def samples(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     """The bounded sample of ``text`` by ``lang`` of labelled rows, the language with most rows first.
 
-    Documents with the lowest hashes of doc_id are chosen by ids alone, with a limit within each task before
-    they meet; then only their texts are fetched. Languages whose chosen texts have no letter are not learned.
+    Documents with text and the lowest hashes of doc_id are chosen by ids alone, with a limit within each task before
+    they meet; then only their texts are fetched, up to ``FIT_CHARS`` characters of each. Rows without a doc_id are
+    never chosen. Languages whose chosen texts have no letter are not learned.
     """
-    keys = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= FIT_CHARS)).select("lang", "doc_id", F.xxhash64("doc_id").alias("hash"))
+    keys = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("lang", "doc_id", F.xxhash64("doc_id").alias("hash"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
     chosen = keys.withColumn("nth", first).filter(F.col("nth") <= FIT_DOCS).select(F.col("lang").alias("fit_lang"), F.col("doc_id").alias("fit_id"))
     chosen = materialise(chosen.distinct(), "langid-chosen")  # a few ids: Spark sees the size and need not shuffle the texts
     same = (F.col("doc_id") == F.col("fit_id")) & (F.col("lang") == F.col("fit_lang"))
-    rows = docs.select("doc_id", "lang", "text").join(chosen, same).select("lang", "doc_id", "text").collect()
+    rows = docs.select("doc_id", "lang", "text").join(chosen, same).select("lang", "doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text or "")):
         texts.setdefault(row.lang, []).append(normalised(row.text or ""))
@@ -186,6 +269,7 @@ def identify(docs: DataFrame, fitted: tuple[tuple[str, str], ...]) -> DataFrame:
 
     ``und`` with score 0 where the text is null or has no letter, or where no language was learned. Ties go to the
     language first in order of the samples. Repeated rows get equal results; an empty table gives an empty one.
+    Only doc_id and text are read.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -193,7 +277,8 @@ def identify(docs: DataFrame, fitted: tuple[tuple[str, str], ...]) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Rows without a doc_id are not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,38 @@ def test_cross_parsing_equals_brute_force():
     assert parser.predict([None, "", "12"])[0] == ["und"] * 3
 
 
+def test_cross_parsing_of_long_texts_equals_brute_force(monkeypatch):
+    rng = random.Random(1)
+    samples = (("a", "abracadabra abra"), ("b", "cabbage bad cab"), ("c", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz"))
+    for block, compared in ((2048, 96), (7, 3), (50, 1), (64, 64)):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        monkeypatch.setattr(langid, "COMPARED", compared)
+        monkeypatch.setattr(langid, "PLAIN", 0 if block == 50 else 1 << 23)
+        parser = langid.Parser(samples)
+        texts = ["q" + "".join(rng.choice("abcdegr zx ") for _ in range(n)) + "q" for n in (10, 300, 5000)] + ["z" * 5000, "za" * 50]
+        pieces, _, _ = parser.pieces(texts)
+        for i, text in enumerate(texts):
+            assert pieces[:, i].tolist() == [brute_pieces(langid.normalised(text), s) for _, s in samples]
+
+
+def test_large_alphabets_and_languages_of_long_texts_only(spark):
+    rng = random.Random(2)
+    letters = lambda first: "".join(c for c in map(chr, range(first, first + 900)) if c.isalpha())
+    scripts = {"zh": letters(0x4E00), "ja": letters(0x6000), "en": "abcdefghijklmnopqrstuvwxyz"}
+    rows = []
+    for lang, alphabet in scripts.items():
+        words = ["".join(rng.choices(alphabet, k=rng.randint(1, 4))) for _ in range(300)]
+        for i in range(60):
+            n = 2000 if lang == "ja" else 30
+            rows.append((len(rows), " ".join(rng.choices(words, k=n)), lang if i < 40 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(t) for _, t, lang in rows if lang == "ja") > langid.FIT_CHARS
+    fitted = langid.samples(docs)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, fitted).collect()}
+    names = [n for n in scripts for _ in range(60)]
+    assert {n for n, _ in fitted} == set(scripts) and [got[i] for i in range(len(rows))] == names
+
+
 def test_languages_of_held_out_documents(spark, small):
     got = langid.op4_cross_parsing(spark, small).toPandas()
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang", "n_chars").toPandas().merge(got, on="doc_id")
