@@ -118,3 +118,21 @@ def test_mixed_documents_repeat_rows(spark):
     copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
     times = Counter(r[0] for r in ROWS)
     assert counts == Counter({d: c * times[d] for d, c in copies.items() if c})
+
+
+def test_inclusion_frequencies_are_unequal_within_a_source(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "w " * int(rng.choice([3, 40, 300])), "en", f"s{i % 3}", 0) for i in range(9000)]
+    got = mixing.mix(documents(spark, rows, clash=False)).toPandas()
+    for _, part in got.groupby("source"):
+        size, count = part["size"], len(part)
+        digits = size.map(lambda n: len(f"{n:b}"))
+        low, high = 0.0, 2.0
+        for _ in range(60):  # the level at which expected words are the target
+            level = (low + high) / 2
+            low, high = (level, high) if (np.minimum(2, level * digits) * size).sum() < part["target"].iloc[0] else (low, level)
+        copies = part["copies"].groupby(size).mean()
+        expected = np.minimum(2, level * digits).groupby(size).mean()
+        assert (abs(copies - expected) < 4 * 0.5 / np.sqrt(count / 3)).all()
+        assert set(part["copies"] - np.floor(np.minimum(2, level * digits) + 1e-9)) <= {0, 1}
+        assert expected.nunique() > 1 or (expected == 2).all()
