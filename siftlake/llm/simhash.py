@@ -21,8 +21,9 @@ from siftlake.cluster import materialise, ship
 from siftlake.llm.components import connected_components
 
 SEED, SHINGLE, BUDGET = 42, 3, 3
-#: Rows of a key that one task compares; keys with more are dealt over pairs of blocks.
-BLOCK = 4096
+#: Rows of a key that one task compares; keys with more are dealt over pairs of blocks. Keys of up to ``SMALL`` rows
+#: are compared together, some ``AT_ONCE`` rows at a time.
+BLOCK, SMALL, AT_ONCE = 4096, 512, 50_000
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -129,16 +130,52 @@ def _compare(key: np.ndarray, seeks: np.ndarray, fp: np.ndarray, rep: np.ndarray
     return kept
 
 
+def _compare_small(starts: np.ndarray, sizes: np.ndarray, columns: list[np.ndarray], test: Test) -> list[tuple[int, int]]:
+    """As ``_compare`` of many groups at once.
+
+    Every row is compared with its group's first one, so that groups with much the same rows give the same links.
+    Then rows are compared with those ``d`` places on, for every d, but for pairs that both go with their first one.
+    """
+    key, seeks, fp, rep = columns
+    parent: dict[int, int] = {}
+    kept = []
+
+    def link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = np.flatnonzero(~(seeks[x] & seeks[y]))
+        ok = ok[test(key[x[ok]], fp[x[ok]], fp[y[ok]]) & (rep[x[ok]] != rep[y[ok]])]
+        x, y = x[ok], y[ok]
+        order = np.argsort(np.bitwise_count(fp[x] ^ fp[y]), kind="stable")
+        kept.extend(_forest(rep[x[order]], rep[y[order]], parent))
+        return y
+
+    group = np.repeat(np.arange(len(starts)), sizes)
+    row = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    last = (starts + sizes)[group]
+    loose = np.zeros(len(key), bool)
+    loose[row] = True
+    others = np.flatnonzero(row != starts[group])
+    loose[link(starts[group[others]], row[others])] = False
+    loose[starts] = False
+    left = np.maximum.reduceat(loose[row], np.cumsum(sizes) - sizes) if len(starts) else np.zeros(0, bool)
+    row, last = row[left[group]], last[left[group]]  # of groups with loose rows
+    for d in range(1, int(sizes.max(initial=0))):
+        row, last = (x[row + d < last] for x in (row, last))
+        some = row[loose[row] | loose[row + d]]
+        link(some, some + d)
+    return kept
+
+
 def _links(batches: Iterator[pa.RecordBatch], test: Test) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key and pair of blocks; each such group is compared in full.
 
-    Of a group's links only a spanning forest goes on, so no link between different parts is lost and no group
-    gives more links than it has rows.
+    Of the links of a task's rows at hand only a spanning forest goes on, so no link between different parts is lost
+    and no group gives more links than it has rows.
     """
 
     def pairs(columns: list[np.ndarray], last: bool):
         """Links of the complete groups, and the rows of the one that may go on."""
         key, pair, seeks, fp, rep = columns
+        fp = fp.view(np.uint64)
         change = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
         starts = np.concatenate([[0], change])
         ends = np.concatenate([change, [len(key)]])
@@ -149,24 +186,28 @@ def _links(batches: Iterator[pa.RecordBatch], test: Test) -> Iterator[pa.RecordB
         links = []
         if len(starts):
             to_find = np.add.reduceat(~seeks[: ends[-1]], starts, dtype=np.int64)
-            for s, e in zip(*(x[(to_find > 0) & (ends - starts > 1)] for x in (starts, ends))):
-                links += _compare(key[s:e], seeks[s:e], fp[s:e].view(np.uint64), rep[s:e], test)
+            some = (to_find > 0) & (ends - starts > 1)
+            small = some & (ends - starts <= SMALL)
+            links = _compare_small(starts[small], (ends - starts)[small], [key, seeks, fp, rep], test)
+            for s, e in zip(*(x[some & ~small] for x in (starts, ends))):
+                links += _compare(key[s:e], seeks[s:e], fp[s:e], rep[s:e], test)
         return links, rest
 
     def emit(links) -> pa.RecordBatch:
         a, b = zip(*links)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    held = None
+    held, size = [], 0
     for batch in batches:
-        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "pair", "seeks", "fp", "rep")]
-        columns = [np.concatenate(x) for x in zip(held, columns)] if held else columns
-        if len(columns[0]):
-            links, held = pairs(columns, last=False)
+        held.append([batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "pair", "seeks", "fp", "rep")])
+        size += batch.num_rows
+        if size > AT_ONCE:
+            links, rest = pairs([np.concatenate(x) for x in zip(*held)], last=False)
+            held, size = [rest], len(rest[0])
             if links:
                 yield emit(links)
-    if held:
-        links, _ = pairs(held, last=True)
+    if size:
+        links, _ = pairs([np.concatenate(x) for x in zip(*held)], last=True)
         if links:
             yield emit(links)
 
@@ -185,7 +226,7 @@ def links(keyed: DataFrame, test: Test, *, block: int = BLOCK) -> DataFrame:
     own = F.pmod(F.xxhash64("fp", "seeks", "rep"), F.col("blocks")).cast("int")
     dealt = keyed.join(large, "key", "left").withColumn("own", own)
     dealt = dealt.select("key", pairs_of_blocks(F.col("blocks"), F.col("own")), "seeks", "fp", "rep")
-    groups = dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair")
+    groups = dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", "rep")
     return groups.mapInArrow(lambda batches: _links(batches, test), "a long, b long")
 
 
@@ -208,7 +249,7 @@ def near_components(docs: DataFrame) -> DataFrame:
 
     Fingerprints with at most three differing bits are linked; ``component_id`` is the smallest doc_id that links
     reach. Null and empty texts have fingerprint 0, linked like any other. Rows that repeat a doc_id are rows of
-    their own. Equal fingerprints are one class from the start, so copies are never compared or paired.
+    their own; other columns are not read; an empty table gives an empty result. Equal fingerprints are one class from the start, so copies are never compared or paired.
     """
     prints = materialise(fingerprints(docs), "simhash-prints")
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
@@ -219,5 +260,6 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and groups of all of ``documents``."""
     rows = near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 
 from siftlake.llm import licenses, simhash, simhash_sets
@@ -61,7 +62,7 @@ def test_odd_rows_and_empty_table(spark):
     assert simhash.near_components(documents(spark, [], clash=False)).count() == 0
 
 
-def test_every_link_survives_blocks(spark):
+def test_every_link_survives_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = int(rng.integers(0, 2**63))
     fps = {base}
@@ -77,6 +78,14 @@ def test_every_link_survives_blocks(spark):
     for block in (32, 4096):
         found = simhash.links(simhash.ring_keys(classes), simhash.linked, block=block).toPandas()
         assert roots(len(fps), zip(found["a"], found["b"])) == want
+    batch = pa.RecordBatch.from_pandas(pd.DataFrame({"fp": fps.view(np.int64), "rep": np.arange(len(fps))}))
+    keyed = pa.Table.from_batches(simhash._keys([batch])).to_pandas().assign(pair=0).sort_values(["key", "rep"], kind="stable")
+    batches = pa.Table.from_pandas(keyed, preserve_index=False).combine_chunks().to_batches(max_chunksize=333)
+    for small, at_once in ((512, 700), (512, 10**6), (1, 700), (8, 5000), (40, 0)):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+        found = pa.Table.from_batches(simhash._links(batches, simhash.linked)).to_pandas()
+        assert roots(len(fps), zip(found["a"], found["b"])) == want
 
 
 def test_components_of_chains(spark):
@@ -111,24 +120,31 @@ def test_base_phrases(spark):
 
 def test_join_finds_every_block():
     rng = random.Random(2)
-    templates = licenses.PHRASES + licenses.NOTICES
+    templates = licenses.PHRASES + licenses.NOTICES + licenses.LICENSES
     universe = sorted({w for t in templates for w in t.words})
     for _ in range(600):
         words = [rng.choice(universe) if rng.random() < 0.4 else b"x%d" % rng.randint(0, 9) for _ in range(rng.randint(0, 150))]
         for _ in range(3):
             at = rng.randint(0, len(words))
             words[at:at] = [x for x in rng.choice(templates).words if rng.random() < 0.9]
-        index = licenses.Index(templates, {w: rng.randint(0, 5) for w in universe})
+        joined = licenses.indexes(templates, tuple((w, rng.randint(0, 5)) for w in universe))
         want = {}
         for n, t in enumerate(templates):
             if t.phrase:
                 places = [(i, 1.0) for i in range(len(words)) if tuple(words[i : i + len(t.words)]) == t.words]
             else:
                 whole, places = set(t.words), []
-                for at in range(0, len(words), licenses.STRIDE):
-                    block = set(words[at : at + licenses.BLOCK])
+                for at in range(0, len(words), t.stride):
+                    block = set(words[at : at + 2 * t.stride])
                     if len(block & whole) >= math.ceil(t.share * len(whole) - 1e-9) and {x.encode() for x in t.needs} <= block:
                         places.append((at, len(block & whole) / len(whole)))
             if places:
                 want[n] = places
-        assert {k: sorted(v) for k, v in index.scan(words).items()} == want
+        assert {k: sorted(v) for k, v in licenses.scan_words(joined, words).items()} == want
+
+
+def test_whole_license_texts_are_found_in_longer_ones(spark):
+    rows = [(i, "before it " * 130 + t.text.replace("software", "Software") + " and after", "en", "a", 0) for i, t in enumerate(licenses.LICENSES)]
+    rows.append((99, "permission to use the software is granted " * 50, "en", "a", 0))
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(documents(spark, rows)).collect()}
+    assert all(t.label in got[i] for i, t in enumerate(licenses.LICENSES)) and got[99] == [""]
