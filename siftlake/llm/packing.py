@@ -154,7 +154,8 @@ def pack(
 
     A document is the ids of its text (null: empty) and the end id. Longer ones are cut into pieces of
     ``capacity`` tokens, the first of which may be shorter. ``ids`` (little-endian unsigned 32-bit) are null
-    unless ``keep_ids``. Repeated rows are packed each; an empty table gives an empty result.
+    unless ``keep_ids``. Repeated rows are packed each; an empty table gives an empty result. Only doc_id and text
+    are read; a null doc_id is handed on.
 
     Each text is encoded once, in the scan. Ranks come from the tasks' own counts and a running sum over tasks
     of each length, so no length, however common, is gathered anywhere.
@@ -168,12 +169,14 @@ def pack(
     plan = spark.sparkContext.broadcast(Plan(best_two_fit(counts, capacity)))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_part.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # The bases grow with lengths x tasks, so they are never broadcast; a part of a length is a key of its own.
+    ranked = pieces.join(bases.hint("merge"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long"
     return ranked.select(*columns, "rank").mapInArrow(_place(plan), schema)
 
 
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every text of ``documents`` with its place."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=0).drop("ids")
