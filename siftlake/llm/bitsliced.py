@@ -20,13 +20,24 @@ from pyspark.sql import functions as F
 from siftlake.cluster import materialise, ship
 
 SCALE = 256
-#: Rows of a block of the index, queries of a block of queries.
-ROWS, QUERIES = 8192, 128
+#: Rows of a block of the index, and queries of a block of queries at most: both are some MB, so that a block of the
+#: index is sent once for thousands of queries. With few rows there are more, smaller blocks of queries.
+ROWS, QUERIES = 1 << 16, 4096
+#: Sums of 2**10 products of larger integers might not fit in 64 bits.
+LARGEST = 1 << 26
 
 
 def quantised(vector: Column) -> Column:
-    """floor(SCALE * x) of each component as double; null where the vector or a component is null or not finite."""
-    values = F.transform(vector, lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("long"))
+    """floor(SCALE * x) of each component as double; null where the vector or a component is null or not finite.
+
+    Beyond ``LARGEST`` a component is an error, raised when the result is read.
+    """
+
+    def whole(x: Column) -> Column:
+        scaled = F.floor(F.lit(float(SCALE)) * x.cast("double"))
+        return F.when(F.abs(x.cast("double")) * SCALE < LARGEST, scaled).otherwise(F.raise_error(F.lit("a component is too large for exact scores")).cast("long"))
+
+    values = F.transform(vector, whole)
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return F.when(finite & (F.size(vector) > 0), values)
 
@@ -166,7 +177,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     ``vectors`` has ``vec_id`` and ``embedding``; ``queries`` likewise. Null ids and vectors that are null, empty or
     hold a null or non-finite component take no part, and a query is compared with rows of its own length only.
     Rows with the query's own vec_id are no candidates. Of query rows that repeat a vec_id the smallest vector
-    counts; repeated candidates count each. Empty tables give an empty result.
+    counts; repeated candidates count each. Empty tables give an empty result. Other columns are not read.
 
     Rows are dealt to blocks by a hash, each block is indexed once, and every block of queries meets every block
     of the index, so work is shared evenly whatever the vectors. A block returns k rows a query.
@@ -178,14 +189,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), quantised(F.col("embedding")).alias("v"))
     asked = asked.filter(F.col("query_id").isNotNull() & F.col("v").isNotNull()).groupBy("query_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-vectors.count() // ROWS))
-    groups = max(1, -(-queries.count() // QUERIES))
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_queries = queries.count()
+    groups = max(1, -(-n_queries // QUERIES), min(n_queries // 16, -(-2 * parallel // blocks)))
     dealt = values.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
     index = dealt.groupBy("block").applyInPandas(_build, "block int, size int, bits int, planes binary, low binary, ids binary")
     index = materialise(index, "bitsliced-index")
     asked = asked.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("size", F.size("v"))
     asked = asked.groupBy("group", "size").applyInPandas(_gather, "group int, size int, weights binary, query_ids binary")
     asked = materialise(asked, "bitsliced-queries").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks * groups // 4)
+    parts = max(parallel, blocks * groups // 4)
     met = asked.join(index, ["block", "size"]).repartition(parts, "block", "group", "size")
     found = met.select("size", "bits", "planes", "low", "ids", "weights", "query_ids").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -193,6 +206,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def op1_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every fiftieth vector, against all vectors."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
