@@ -123,7 +123,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Texts are equal when identical after lower-casing A-Z; null is the empty text. Of equal texts the row with
     the largest doc_id stays; of rows that repeat that doc_id as well, every one is marked kept (the callers'
-    ids are keys). A null doc_id is smaller than any other. An empty table gives an empty result.
+    ids are keys). A null doc_id is smaller than any other. An empty table gives an empty result. Other columns are
+    not read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -138,7 +139,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     lists = sent.filter(F.col("owner").isNotNull()).select("sender", "owner", "unary", "rest", "bits", "count")
     answers = lists.groupBy("owner").applyInPandas(_own, "sender string, owner int, bitmap binary, count int")
     suspects = (
-        own.groupBy("sender").cogroup(answers.groupBy("sender")).applyInPandas(_suspects, "doc_id long")
+        own.select("sender", "doc_id", "fingerprint").groupBy("sender").cogroup(answers.groupBy("sender")).applyInPandas(_suspects, "doc_id long")
     )
     suspects = materialise(suspects, "dedup-suspects")
     groups = materialise(_verified(rows, suspects), "dedup-groups")
@@ -156,7 +157,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def _verified(rows: DataFrame, suspects: DataFrame) -> DataFrame:
     """Groups of two or more byte-equal texts among the suspects: ``text_sha256, keep_id, group_size``.
 
-    A bitmap of fixed size of the suspects' ids is broadcast, and only the texts of
+    A bitmap of bounded size of the suspects' ids is broadcast, and only the texts of
     documents whose bit is set are shuffled; a chance hit is a text alone in its group. The texts are grouped by
     their bytes; Spark combines equal texts before the shuffle, so a task sends a text once for all its copies.
     """
@@ -175,6 +176,7 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """All of ``documents`` with the row that stays of each document's equal texts."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

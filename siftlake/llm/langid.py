@@ -282,6 +282,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all of ``documents`` by samples of those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = identify(docs, samples(docs.filter(~held_out(F.col("doc_id")))))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -298,7 +298,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
 
     ``training`` says of which rows the model learns. Scores are log10 probabilities of the whole text: its words
     and one end. A null or empty text is the end alone. ``base_score`` is that of add-one unigram counts. Repeated
-    rows get equal scores; an empty table gives an empty result. Without training rows every word is unseen.
+    rows get equal scores; an empty table gives an empty result. Other columns are not read. Without training rows every word is unseen.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -334,6 +334,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op2_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all of ``documents`` by a model of those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = score(docs, F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
     columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]

@@ -33,7 +33,8 @@ HEAD = struct.Struct("<8sB32sI")
 FOOT = struct.Struct("<Q8s")
 NO_ID = -(1 << 63)
 SHARD_TOKENS = 1 << 20
-DICTIONARY_DOCS, DICTIONARY_BYTES = 256, 32768
+#: The dictionary: documents of its sample, characters of each, and its size.
+DICTIONARY_DOCS, DICTIONARY_CHARS, DICTIONARY_BYTES = 256, 20_000, 32768
 LEVEL = 3
 SHARDS_SQL = "part int, shard int, first_id long, last_id long, documents long, tokens long, blob binary"
 SHARDS = pa.schema(
@@ -118,14 +119,14 @@ def write_ids(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int, part
     """Encode ``doc_id, text`` rows in ascending order of doc_id (null first; ties by text) into ``folder``.
 
     A null text is encoded like an empty one: only the end id. The dictionary is trained on a bounded sample of
-    ``DICTIONARY_DOCS`` documents; it changes only the size of the files. Rows are dealt by ranges of doc_id, so
+    ``DICTIONARY_DOCS`` documents, ``DICTIONARY_CHARS`` characters of each at most; it changes only the size of the files. Rows are dealt by ranges of doc_id, so
     each task writes a run of the order.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS)  # of fixed size
-    sample = rows.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text").limit(2 * DICTIONARY_DOCS).collect()
+    sample = rows.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select(F.substring("text", 1, DICTIONARY_CHARS).alias("text")).limit(2 * DICTIONARY_DOCS).collect()
     encode = encoder(tokenizer).encode
     dictionary = train_dictionary([encode(r.text).tobytes() for r in sample if r.text])
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").write.parquet(f"{folder}/dictionary")
@@ -188,6 +189,7 @@ def fetch(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all of ``documents`` and tells of each document what the files hold."""
     folder = f"{shared_dir(spark)}/siftlake/token-files-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     write_ids(docs, folder, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)

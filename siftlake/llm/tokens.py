@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -16,7 +17,8 @@ _BLANKS = _ASCII_BLANKS + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".jo
 _CUT = re.compile(r"(?<!\s) | (?!\s)")
 #: Latin letters, then other ASCII signs than letters, digits and blanks: always separate tokens.
 _WORD_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)")
-CACHE_PIECES = 1_200_000
+#: Pieces that a cache holds, and characters of a piece that is kept at all: together they bound its memory.
+CACHE_PIECES, CACHED_CHARS = 1_200_000, 64
 
 
 class _Cache(dict):
@@ -41,9 +43,10 @@ class _Cache(dict):
             ids = self[parts[1]] + self.first[parts[2]]
         else:
             ids = self._encode(self.lead + piece)
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        self[piece] = ids
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
@@ -64,6 +67,10 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(tokenizer.to_str())
+        splits = parts["pre_tokenizer"] or {}
+        if parts["normalizer"] or splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex", True):
+            raise ValueError(f"{path}: texts are cut before blanks, which is right for a plain byte-level pattern only")
         self.dtype = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         code = "H" if self.dtype.itemsize == 2 else "I"
         self.first = _Cache(tokenizer, "", code)
