@@ -77,27 +77,46 @@ def threshold_curve(df: DataFrame, *, by: Sequence[str], label: str, score: str,
 
 
 def limited_area(curve: DataFrame, *, by: Sequence[str], x: str, y: str, limit: float) -> DataFrame:
-    """Trapezoid area of y over x from the curve's first point up to ``limit``, cut there by interpolation, over ``limit``."""
-    order = Window.partitionBy(*by).orderBy(x, y)
-    steps = curve.withColumn("x0", F.lag(x).over(order)).withColumn("y0", F.lag(y).over(order)).filter(F.col("x0") < limit)
-    share = F.when(F.col(x) > F.col("x0"), (F.least(F.col(x), F.lit(limit)) - F.col("x0")) / (F.col(x) - F.col("x0"))).otherwise(F.lit(0.0))
-    y1 = F.col("y0") + share * (F.col(y) - F.col("y0"))
-    area = (F.least(F.col(x), F.lit(limit)) - F.col("x0")) * (F.col("y0") + y1) / 2
-    return steps.groupBy(*by).agg((F.sum(area) / limit).alias("area"))
+    """Trapezoid area of y over x from 0 to ``limit``, over ``limit``.
+
+    A curve that begins right of 0 starts from (0, 0); one that ends before the limit goes on level; where it crosses
+    the limit it is cut by interpolation, but a curve that lies beyond the limit as a whole has its first y there. A
+    group with a null point has no area.
+    """
+    order = Window.partitionBy(*by).orderBy("x", "y")
+    points = curve.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    points = points.withColumn("x0", F.coalesce(F.lag("x").over(order), F.lit(0.0))).withColumn("inside", F.lag("x").over(order).isNotNull())
+    points = points.withColumn("y0", F.coalesce(F.lag("y").over(order), F.when(F.col("x") > 0, F.lit(0.0)).otherwise(F.col("y"))))
+    cut = F.when(F.col("inside"), F.col("y0") + (limit - F.col("x0")) * (F.col("y") - F.col("y0")) / (F.col("x") - F.col("x0"))).otherwise(F.col("y"))
+    step = (
+        F.when(F.col("x") <= limit, (F.col("x") - F.col("x0")) * (F.col("y0") + F.col("y")) / 2)
+        .when(F.col("x0") < limit, (limit - F.col("x0")) * (F.col("y0") + cut) / 2)
+        .otherwise(F.lit(0.0))
+    )
+    last = F.max(F.struct("x", "y"))
+    rest = F.greatest(F.lit(limit) - last["x"], F.lit(0.0)) * last["y"]
+    whole = F.every(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return points.groupBy(*by).agg(F.when(whole, (F.sum(step) + rest) / limit).alias("area"))
 
 
 def per_region_curve(pixels: DataFrame, regions: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """Mean overlap of regions and false-positive rate of clean pixels at each threshold, in order of that rate.
 
-    ``pixels`` has ``image, y, x, prob``; ``regions`` ``image, y, x, region`` of the true regions' pixels.
+    ``pixels`` has ``image, y, x, prob``; ``regions`` ``image, y, x, region`` of the true regions' pixels. Pixels are
+    counted once, by region and number of thresholds reached; only those counts are summed up for each threshold. All
+    clean pixels are one region.
     """
+    ordered = sorted(float(t) for t in thresholds)
+    reached = F.size(F.filter(F.array(*[F.lit(t) for t in ordered]), lambda t: t <= F.col("prob"))).alias("reached")
+    clean = F.col("region").isNull()
     rows = pixels.join(regions, ["image", "y", "x"], "left")
-    limits = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    hit = F.count_if(F.col("prob") >= F.col("threshold"))
-    by_region = rows.select("image", "region", "prob", limits).groupBy("threshold", "image", "region").agg(hit.alias("hit"), F.count(F.lit(1)).alias("n"))
-    overlap = F.avg(F.when(F.col("region").isNotNull(), F.col("hit") / F.col("n")))
-    clean = F.try_divide(F.sum(F.when(F.col("region").isNull(), F.col("hit"))), F.sum(F.when(F.col("region").isNull(), F.col("n"))))
-    return by_region.groupBy("threshold").agg(overlap.alias("pro"), clean.alias("fpr"))
+    rows = rows.select(clean.alias("clean"), F.when(~clean, F.col("image")).alias("image"), "region", reached)
+    counts = rows.groupBy("clean", "image", "region", "reached").agg(F.count(F.lit(1)).alias("n"))
+    by_region = counts.groupBy("clean", "image", "region").agg(F.sum("n").alias("n"), F.collect_list(F.struct("reached", F.col("n").alias("k"))).alias("bins"))
+    levels = F.posexplode(F.array(*[F.lit(t) for t in ordered])).alias("i", "threshold")
+    hit = F.aggregate(F.filter("bins", lambda b: b["reached"] > F.col("i")), F.lit(0).cast("long"), lambda s, b: s + b["k"])
+    rates = by_region.select("clean", "bins", "n", levels).select("clean", "threshold", (hit / F.col("n")).alias("rate"))
+    return rates.groupBy("threshold").agg(F.avg(F.when(~F.col("clean"), F.col("rate"))).alias("pro"), F.max(F.when(F.col("clean"), F.col("rate"))).alias("fpr"))
 
 
 def score_summary(df: DataFrame, *, by: Sequence[str], score: str, inside: Column, threshold: float = 0.5) -> DataFrame:

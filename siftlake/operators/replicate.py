@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions.scalars import is_close, opposite_signs
+from siftlake.operators.ordering import range_bucket, with_place
 
 
 def mean_std(df: DataFrame, *, by: Sequence[str], metric: str, least: int = 2) -> DataFrame:
@@ -73,16 +74,34 @@ def verdict(effect: Column, threshold: Column | float, informative: Column | Non
     return judged if informative is None else F.when(~informative, "uninformative").otherwise(judged)
 
 
+def discriminates(*scores: Column) -> Column:
+    """Whether the scores are not all the same; if they are, the metric cannot tell the candidates apart."""
+    return ~(F.array_min(F.array(*scores)) == F.array_max(F.array(*scores)))
+
+
 def attribution(df: DataFrame, *, object_: str, baseline: str, real: str, generated: str) -> DataFrame:
     """By object the larger of ``placement`` (baseline - real) and ``appearance`` (real - generated) effects; then overall.
 
-    Values within 1e-9 relative or 1e-12 absolute tie. ``overall`` is the common answer or ``object_dependent``.
+    Values within 1e-9 relative or 1e-12 absolute tie. ``overall`` names a cause only if it is the larger one on every
+    object; ties and mixed answers are ``object_dependent``. The means of both effects stand beside it, and
+    ``discriminates`` tells whether an object's three scores differ at all. An object without one of them is an
+    error, raised when the result is read.
     """
-    p, a = F.col(baseline) - F.col(real), F.col(real) - F.col(generated)
+    complete = F.col(baseline).isNotNull() & F.col(real).isNotNull() & F.col(generated).isNotNull()
+    first = F.when(complete, F.col(baseline)).otherwise(F.raise_error(F.concat(F.lit("a score is missing: "), F.col(object_).cast("string"))).cast("double"))
+    p, a = first - F.col(real), F.col(real) - F.col(generated)
     answer = F.when(is_close(p, a), "tie").when(p > a, "placement").otherwise("appearance")
     rows = df.withColumn("placement_effect", p).withColumn("appearance_effect", a).withColumn("attribution", answer)
-    answers = F.collect_set("attribution").over(Window.partitionBy())
-    return rows.withColumn("overall", F.when(F.size(answers) == 1, F.element_at(answers, 1)).otherwise("object_dependent"))
+    rows = rows.withColumn("discriminates", discriminates(F.col(baseline), F.col(real), F.col(generated)))
+    whole = rows.agg(
+        F.every(F.col("attribution") == "placement").alias("all_placement"),
+        F.every(F.col("attribution") == "appearance").alias("all_appearance"),
+        F.avg("placement_effect").alias("placement_mean"),
+        F.avg("appearance_effect").alias("appearance_mean"),
+    )
+    overall = F.when(F.col("all_placement"), "placement_dominates").when(F.col("all_appearance"), "appearance_dominates").otherwise("object_dependent")
+    whole = whole.select(overall.alias("overall"), "placement_mean", "appearance_mean")
+    return rows.crossJoin(F.broadcast(whole))  # one row
 
 
 def confirmed_effect(df: DataFrame, *, by: str, seed: str, effect: str, informative: str, disclosed: Sequence[int], threshold: float) -> DataFrame:
@@ -94,14 +113,35 @@ def confirmed_effect(df: DataFrame, *, by: str, seed: str, effect: str, informat
     return rows.withColumn("verdict", F.coalesce(verdict(F.col("effect"), threshold, F.col("n_blind") > 0), F.lit("uninformative")))
 
 
-def best_so_far(df: DataFrame, *, by: Sequence[str], step: str, score: str, patience: int) -> DataFrame:
-    """Running best, steps since it rose (strictly), and whether training would have stopped by then."""
-    upto = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("best", F.max(score).over(upto)).withColumn("rises", F.coalesce(F.col(score) > F.max(score).over(earlier), F.lit(True)))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(step)))
-    rows = rows.withColumn("stale", F.col("place") - F.max(F.when(F.col("rises"), F.col("place"))).over(upto))
-    return rows.withColumn("stopped", F.max((F.col("stale") >= patience).cast("int")).over(upto) == 1).drop("place", "rises")
+def best_so_far(df: DataFrame, *, by: Sequence[str], step: str, score: str, patience: int, width: int = 4096) -> DataFrame:
+    """Running best, steps since it rose (strictly), and whether training would have stopped by then.
+
+    Steps are whole numbers. Running values are carried from one stretch of ``width`` steps to the next by a row for
+    each stretch, so a group may hold most of the rows; only the rows of a stretch are sorted together.
+    """
+
+    def carried(rows: DataFrame, value: Column, name: str, earlier: str | None = None) -> DataFrame:
+        """The running maximum of ``value`` over the group as ``name``, and that before the row as ``earlier``."""
+        keys = [*by, "stretch"]
+        tops = rows.groupBy(*keys).agg(F.max(value).alias("top"))
+        before = F.max("top").over(Window.partitionBy(*by).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+        tops = tops.select(*[F.col(k).alias(f"at_{k}") for k in keys], before.alias("top"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"at_{k}"))
+        inside = Window.partitionBy(*keys).orderBy(step)
+        joined = rows.join(tops, same).drop(*[f"at_{k}" for k in keys])
+        out = joined.withColumn(name, F.greatest("top", F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+        if earlier:
+            out = out.withColumn(earlier, F.greatest("top", F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, -1))))
+        return out.drop("top")
+
+    rows = with_place(df, by=by, bucket=range_bucket(F.col(step), width), order=[F.col(step)])
+    rows = carried(rows.withColumn("stretch", range_bucket(F.col(step), width)), F.col(score), "best", "earlier")
+    rises = F.coalesce(F.col(score) > F.col("earlier"), F.lit(True))
+    rows = carried(rows, F.when(rises, F.col("place")), "rose").withColumn("stale", F.col("place") - F.col("rose"))
+    rows = carried(rows, F.col("stale"), "stalest").withColumn("stopped", F.col("stalest") >= patience)
+    return rows.drop("place", "stretch", "earlier", "rose", "stalest")
 
 
 def window_means(df: DataFrame, *, by: Sequence[str], step: str, value: str, width: int) -> DataFrame:
@@ -110,14 +150,19 @@ def window_means(df: DataFrame, *, by: Sequence[str], step: str, value: str, wid
     return means.groupBy(*by).agg(F.count(F.lit(1)).alias("n_windows"), F.min_by("m", "w").alias("first_mean"), F.max_by("m", "w").alias("last_mean"))
 
 
-def zero_diagnosis(best_probability: Column, inside_max: Column, outside_max: Column, predicted: Column, hit: Column) -> Column:
-    """Why a segmentation metric is zero."""
+#: A pixel AUROC from which a ranking counts as informative.
+INFORMATIVE_AUROC = 0.80
+
+
+def zero_diagnosis(overlap: Column, top: Column, inside_max: Column, outside_max: Column, auroc: Column, threshold: float) -> Column:
+    """Why a segmentation's overlap is zero: where its most confident pixel is, and how well its scores rank."""
     return (
-        F.when(best_probability.isNull(), "no_pixels")
-        .when(hit > 0, "not_zero")
-        .when(predicted > 0, "wrong_place")
-        .when(inside_max > outside_max, "under_confident")
-        .otherwise("blind")
+        F.when(top.isNull(), "no_pixels")
+        .when(overlap > 0, "non_zero_overlap")
+        .when(top >= threshold, "positive_pixels_never_overlap")
+        .when(inside_max > outside_max, "underconfident_peak_inside")
+        .when(auroc >= INFORMATIVE_AUROC, "underconfident_peak_outside_ranking_informative")
+        .otherwise("underconfident_peak_outside_ranking_near_random")
     )
 
 

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 #: Fixed patterns: kinds of findings in text lines.
 SECRETS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}",
-    "hub_token": r"hf_[A-Za-z0-9]{30,}",
+    "github_token": r"gh[oprsu]_[A-Za-z0-9]{20,}",
+    "hub_token": r"hf_[A-Za-z0-9]{20,}",
+    "openai_key": r"sk-[A-Za-z0-9_-]{20,}",
+    "google_api_key": r"AIza[0-9A-Za-z_-]{20,}",
     "aws_key": r"AKIA[0-9A-Z]{16}",
-    "windows_user_path": r"[A-Za-z]:\\Users\\",
+    "windows_user_path": r"(?i)[A-Z]:[\\/]+Users[\\/]+[^<%\\/][^\\/]*[\\/]",
 }
 PERSONAL = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "license": r"(?i)license"}
 

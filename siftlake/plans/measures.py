@@ -53,11 +53,18 @@ def threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CURVE}, s AS (SELECT lang, fpr AS x, tpr AS y, lag(fpr) OVER w AS x0, lag(tpr) OVER w AS y0 FROM curve WINDOW w AS (PARTITION BY lang ORDER BY fpr, tpr))
-SELECT lang, round(sum((least(x, 0.3) - x0) * (y0 + y0 + CASE WHEN x > x0 THEN (least(x, 0.3) - x0) / (x - x0) ELSE 0 END * (y - y0)) / 2) / 0.3, 6) AS area FROM s WHERE x0 < 0.3 GROUP BY lang"""
+    f"""WITH {_CURVE},
+k AS (SELECT lang, fpr AS x, tpr AS y FROM curve WHERE fpr <= 0.3),
+nearest AS (SELECT lang, arg_max(fpr, fpr + tpr * 1e-9) FILTER (fpr <= 0.3) AS x0, arg_max(tpr, fpr + tpr * 1e-9) FILTER (fpr <= 0.3) AS y0,
+                   min(fpr) FILTER (fpr > 0.3) AS x1, arg_min(tpr, fpr + tpr * 1e-9) FILTER (fpr > 0.3) AS y1 FROM curve GROUP BY lang),
+p AS (SELECT * FROM k
+      UNION ALL SELECT lang, 0.0::DOUBLE, 0.0::DOUBLE FROM curve GROUP BY lang HAVING min(fpr) > 0
+      UNION ALL SELECT lang, 0.3::DOUBLE, CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 ELSE y0 + (0.3::DOUBLE - x0) * (y1 - y0) / (x1 - x0) END FROM nearest WHERE coalesce(x0, 0) < 0.3),
+s AS (SELECT lang, x, y, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM p WINDOW w AS (PARTITION BY lang ORDER BY x, y))
+SELECT lang, round(sum((x - x0) * (y + y0) / 2) / 0.3, 6) AS area FROM s GROUP BY lang"""
 )
 def limited_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The area under the curve up to a false-positive rate of 0.3, cut there by interpolation."""
+    """The area under the curve from 0 to a false-positive rate of 0.3, cut there by interpolation or held level."""
     curve = metrics.threshold_curve(scored(spark, sf_dir), by=["lang"], label="quality", score="score", thresholds=THRESHOLDS)
     return metrics.limited_area(curve, by=["lang"], x="fpr", y="tpr", limit=0.3).withColumn("area", F.round("area", 6))
 

@@ -30,10 +30,10 @@ def policy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(selection, "doc_id", "left_anti").select("doc_id", "quality", "toxic")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id % 4 = 1 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query("SELECT doc_id % 4 AS partition, doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def partition_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1")
-    return table(spark, sf_dir, "documents").filter("doc_id % 4 = 1").join(good, "doc_id", "left_semi").select("doc_id", "lang")
+    return table(spark, sf_dir, "documents").join(good, "doc_id", "left_semi").select((F.col("doc_id") % 4).alias("partition"), "doc_id", "lang")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.operators import expect, replicate
+from siftlake.operators import expect, metrics, replicate
 from siftlake.plans.common import RUNS, SCORED, runs, scored
 from siftlake.plans.registry import query
 from siftlake.sources.readers import table
@@ -63,24 +63,37 @@ def collapse_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {RUNS}, w AS (SELECT object, seed, max(m1) FILTER (grp = 'N') AS b, max(m1) FILTER (grp = 'A') AS r, max(m1) FILTER (grp = 'R') AS g FROM runs WHERE grp = 'N' OR object = 'F' GROUP BY ALL),
 a AS (SELECT seed, avg(b) AS b, max(r) AS r, max(g) AS g FROM w GROUP BY seed),
-t AS (SELECT seed, CASE WHEN abs((b - r) - (r - g)) <= greatest(1e-12::DOUBLE, 1e-9::DOUBLE * greatest(abs(b - r), abs(r - g))) THEN 'tie' WHEN b - r > r - g THEN 'placement' ELSE 'appearance' END AS attribution FROM a)
-SELECT seed, attribution, CASE WHEN (SELECT count(DISTINCT attribution) FROM t) = 1 THEN attribution ELSE 'object_dependent' END AS overall FROM t"""
+t AS (SELECT seed, b, r, g, CASE WHEN abs((b - r) - (r - g)) <= greatest(1e-12::DOUBLE, 1e-9::DOUBLE * greatest(abs(b - r), abs(r - g))) THEN 'tie' WHEN b - r > r - g THEN 'placement' ELSE 'appearance' END AS attribution FROM a)
+SELECT seed, attribution, NOT (b = r AND r = g) AS discriminates,
+  CASE WHEN (SELECT bool_and(attribution = 'placement') FROM t) THEN 'placement_dominates' WHEN (SELECT bool_and(attribution = 'appearance') FROM t) THEN 'appearance_dominates' ELSE 'object_dependent' END AS overall,
+  round((SELECT avg(b - r) FROM t), 6) AS placement_mean, round((SELECT avg(r - g) FROM t), 6) AS appearance_mean FROM t"""
 )
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = runs(spark, sf_dir).filter("grp = 'N' OR object = 'F'")
     pivot = [F.max(F.when(F.col("grp") == g, F.col("m1"))).alias(n) for g, n in (("N", "b"), ("A", "r"), ("R", "g"))]
     wide = ledger.groupBy("object", "seed").agg(*pivot).groupBy("seed").agg(F.avg("b").alias("b"), F.max("r").alias("r"), F.max("g").alias("g"))
-    return replicate.attribution(wide, object_="seed", baseline="b", real="r", generated="g").select("seed", "attribution", "overall")
+    rows = replicate.attribution(wide, object_="seed", baseline="b", real="r", generated="g")
+    means = [F.round(c, 6).alias(c) for c in ("placement_mean", "appearance_mean")]
+    return rows.select("seed", "attribution", "discriminates", "overall", *means)
 
 
 @query(
-    f"""WITH {RUNS} SELECT a.object, a.seed, CASE WHEN a.n < 100 THEN 'uninformative' WHEN a.m1 - b.m1 >= 0.0002 THEN 'helps' WHEN a.m1 - b.m1 <= -0.0002 THEN 'harms' ELSE 'no_effect' END AS verdict
-FROM runs a JOIN runs b ON a.grp = 'A' AND b.grp = 'R' AND a.object = b.object AND a.seed = b.seed"""
+    f"""WITH {RUNS}, w AS (SELECT seed, max(m1) FILTER (grp = 'N' AND object = 'F') AS base, max(m1) FILTER (grp = 'R' AND object = 'F') AS current, max(m1) FILTER (grp = 'A' AND object = 'F') AS inband,
+  max(m1) FILTER (grp = 'N' AND object = 'O') AS control FROM runs GROUP BY seed)
+SELECT seed, round(inband - current, 6) AS effect, CASE WHEN base = current AND current = inband THEN 'uninformative' WHEN inband - current >= 0.0002 THEN 'helps' WHEN inband - current <= -0.0002 THEN 'harms' ELSE 'no_effect' END AS verdict,
+  abs(control - base) >= 0.0005 AS control_anomalous FROM w"""
 )
 def verdict_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = runs(spark, sf_dir).filter("grp IN ('A', 'R')")
-    rows = replicate.deltas(ledger, group="grp", baseline="R", keys=["object", "seed"], metric="m1")
-    return rows.select("object", "seed", replicate.verdict(F.col("delta"), 0.0002, F.col("n") >= 100).alias("verdict"))
+    """By seed the verdict on the primary object, if its scores differ at all, and whether the control object moved too."""
+    m1, grp, object_ = F.col("m1"), F.col("grp"), F.col("object")
+    cell = lambda g, o: F.max(F.when((grp == g) & (object_ == o), m1))
+    rows = runs(spark, sf_dir).groupBy("seed").agg(
+        cell("N", "F").alias("base"), cell("R", "F").alias("current"), cell("A", "F").alias("inband"), cell("N", "O").alias("control")
+    )
+    effect = F.col("inband") - F.col("current")
+    informative = replicate.discriminates(F.col("base"), F.col("current"), F.col("inband"))
+    moved = F.abs(F.col("control") - F.col("base")) >= 0.0005
+    return rows.select("seed", F.round(effect, 6).alias("effect"), replicate.verdict(effect, 0.0002, informative).alias("verdict"), moved.alias("control_anomalous"))
 
 
 @query(
@@ -97,27 +110,35 @@ def confirmed_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT user_id, max(value) AS top, max(value) FILTER (event_type = 'purchase') AS inside, max(value) FILTER (event_type <> 'purchase') AS outside,
-  count(*) FILTER (value >= 60) AS predicted, count(*) FILTER (value >= 60 AND event_type = 'purchase') AS hit FROM events GROUP BY user_id)
-SELECT user_id, CASE WHEN top IS NULL THEN 'no_pixels' WHEN hit > 0 THEN 'not_zero' WHEN predicted > 0 THEN 'wrong_place' WHEN inside > outside THEN 'under_confident' ELSE 'blind' END AS diagnosis FROM d"""
+    """WITH k AS (SELECT user_id, value, event_type = 'purchase' AS inside,
+  rank() OVER (PARTITION BY user_id ORDER BY value) + (count(*) OVER (PARTITION BY user_id, value) - 1) / 2.0::DOUBLE AS r FROM events),
+d AS (SELECT user_id, max(value) AS top, max(value) FILTER (inside) AS inside, max(value) FILTER (NOT inside) AS outside, count(*) FILTER (value >= 60 AND inside) AS hit,
+  CASE WHEN count(*) FILTER (inside) > 0 AND count(*) FILTER (NOT inside) > 0 THEN
+    (sum(r) FILTER (inside) - count(*) FILTER (inside) * (count(*) FILTER (inside) + 1) / 2.0::DOUBLE) / (CAST(count(*) FILTER (inside) AS DOUBLE) * count(*) FILTER (NOT inside)) END AS auroc
+  FROM k GROUP BY user_id)
+SELECT user_id, CASE WHEN top IS NULL THEN 'no_pixels' WHEN hit > 0 THEN 'non_zero_overlap' WHEN top >= 60 THEN 'positive_pixels_never_overlap' WHEN d.inside > outside THEN 'underconfident_peak_inside'
+  WHEN auroc >= 0.8 THEN 'underconfident_peak_outside_ranking_informative' ELSE 'underconfident_peak_outside_ranking_near_random' END AS diagnosis FROM d"""
 )
 def zero_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     bought, v = F.col("event_type") == "purchase", F.col("value")
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.max(v).alias("top"), F.max(F.when(bought, v)).alias("inside"), F.max(F.when(~bought, v)).alias("outside"), F.count_if(v >= 60).alias("predicted"), F.count_if((v >= 60) & bought).alias("hit")
+    events = table(spark, sf_dir, "events")
+    rows = events.groupBy("user_id").agg(
+        F.count_if((v >= 60) & bought).alias("overlap"), F.max(v).alias("top"), F.max(F.when(bought, v)).alias("inside"), F.max(F.when(~bought, v)).alias("outside")
     )
-    return rows.select("user_id", replicate.zero_diagnosis(*[F.col(c) for c in ("top", "inside", "outside", "predicted", "hit")]).alias("diagnosis"))
+    ranks = metrics.auroc(events.withColumn("bought", bought.cast("int")), by=["user_id"], label="bought", score="value")
+    columns = [F.col(c) for c in ("overlap", "top", "inside", "outside", "auroc")]
+    return rows.join(ranks, "user_id").select("user_id", replicate.zero_diagnosis(*columns, threshold=60).alias("diagnosis"))
 
 
 @query(
     """WITH e AS (SELECT user_id, event_id, value, row_number() OVER w AS place, max(value) OVER w AS best,
-  coalesce(value > max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS rises FROM events WHERE user_id < 200
+  coalesce(value > max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS rises FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT *, place - max(CASE WHEN rises THEN place END) OVER w AS stale FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
 SELECT user_id, event_id, best, stale, max(CASE WHEN stale >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) = 1 AS stopped FROM s"""
 )
 def best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = replicate.best_so_far(table(spark, sf_dir, "events").filter("user_id < 200"), by=["user_id"], step="event_id", score="value", patience=5)
+    rows = replicate.best_so_far(table(spark, sf_dir, "events"), by=["user_id"], step="event_id", score="value", patience=5)
     return rows.select("user_id", "event_id", "best", F.col("stale").cast("long").alias("stale"), "stopped")
 
 

@@ -323,6 +323,61 @@ def test_replicates_gates_and_verdicts(spark):
     assert (one.effect, one.n_blind, one.disclosed_effect, one.verdict) == (0.3, 1, 9.0, "helps")
 
 
+def test_attribution_needs_one_answer_everywhere(spark):
+    def overall(*rows):
+        df = spark.createDataFrame([(f"o{i}", *r) for i, r in enumerate(rows)], "o string, b double, r double, g double")
+        got = replicate.attribution(df, object_="o", baseline="b", real="r", generated="g").orderBy("o").collect()
+        return [r.attribution for r in got], got[0].overall, [r.discriminates for r in got]
+
+    assert overall((0.9, 0.5, 0.4), (0.8, 0.5, 0.3)) == (["placement"] * 2, "placement_dominates", [True, True])
+    assert overall((0.9, 0.8, 0.4), (0.8, 0.7, 0.3)) == (["appearance"] * 2, "appearance_dominates", [True, True])
+    assert overall((0.8, 0.6, 0.4), (0.5, 0.5, 0.5)) == (["tie"] * 2, "object_dependent", [True, False])
+    assert overall((0.9, 0.5, 0.4), (0.9, 0.8, 0.4))[1] == "object_dependent"
+    with pytest.raises(PySparkException, match="missing"):
+        overall((0.9, None, 0.4))
+
+
+def test_area_from_zero_to_the_limit(spark):
+    def area(points, limit=0.3):
+        df = spark.createDataFrame([("g", *p) for p in points], "g string, x double, y double")
+        return metrics.limited_area(df, by=["g"], x="x", y="y", limit=limit).first().area
+
+    assert abs(area([(0.1, 0.5), (0.2, 0.8)]) - (0.025 + 0.065 + 0.08) / 0.3) < 1e-9
+    assert abs(area([(0.0, 1.0), (1.0, 1.0)]) - 1) < 1e-9
+    assert abs(area([(0.0, 0.0), (0.0, 0.4), (0.6, 1.0)]) - (0.3 * (0.4 + 0.7) / 2) / 0.3) < 1e-9
+    assert abs(area([(0.5, 0.6), (1.0, 1.0)]) - 0.3 * 0.6 / 2 / 0.3) < 1e-9
+    assert area([(0.1, None), (0.2, 1.0)]) is None
+
+
+def test_zero_overlap_diagnoses(spark):
+    rows = [(0.0, None, None, None, 0.5), (0.1, 0.9, 0.9, 0.1, 0.9), (0.0, 0.6, 0.1, 0.6, 0.9), (0.0, 0.4, 0.4, 0.3, 0.5), (0.0, 0.4, 0.3, 0.4, 0.8), (0.0, 0.4, 0.3, 0.4, 0.79), (0.0, 0.4, None, 0.4, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, overlap double, top double, inside double, outside double, auroc double")
+    columns = [F.col(c) for c in ("overlap", "top", "inside", "outside", "auroc")]
+    got = [r.d for r in df.orderBy("i").select(replicate.zero_diagnosis(*columns, threshold=0.5).alias("d")).collect()]
+    low = "underconfident_peak_outside_ranking_near_random"
+    assert got == ["no_pixels", "non_zero_overlap", "positive_pixels_never_overlap", "underconfident_peak_inside", "underconfident_peak_outside_ranking_informative", low, low]
+
+
+def test_running_best_in_a_group_that_holds_most_rows(spark):
+    rng = np.random.default_rng(3)
+    values = rng.random(500).round(2)
+    rows = [("hot", i, float(v)) for i, v in enumerate(values)] + [("cold", 7, 1.0), (None, 3, 2.0)]
+    df = spark.createDataFrame(rows, "g string, n long, v double")
+    got = replicate.best_so_far(df, by=["g"], step="n", score="v", patience=5, width=16).filter("g = 'hot'").orderBy("n").collect()
+    best, since, stopped = -1.0, 0, False
+    for r, v in zip(got, values, strict=True):
+        best, since = (v, 0) if v > best else (best, since + 1)
+        stopped = stopped or since >= 5
+        assert (r.best, r.stale, r.stopped) == (best, since, stopped)
+
+
+def test_secret_kinds(spark):
+    lines = ["gho_" + "a" * 20, "hf_" + "b" * 20, "sk-" + "c-_" * 7, "AIza" + "d" * 20, r"see c:\\users\\jo doe\\x", "D:/Users/<name>/x", "gho_short", r"C:\Users\x\y"]
+    df = spark.createDataFrame([(0, "\n".join(lines))], "id int, t string")
+    got = {(r.line, r.kind) for r in scan.scan_lines(df, key="id", text="t", patterns=scan.SECRETS).collect()}
+    assert got == {(1, "github_token"), (2, "hub_token"), (3, "openai_key"), (4, "google_api_key"), (5, "windows_user_path"), (8, "windows_user_path")}
+
+
 def test_alias_resolution():
     assert replicate.resolve_alias("a", {"a": "b", "b": "c"}, ["c"]) == "c"
     with pytest.raises(ValueError, match="cycle"):
