@@ -8,7 +8,6 @@ fit: pieces x log2(sample) / length estimates the cross entropy, and the least w
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise, ship
+from siftlake.llm.held import hold
 
 #: The sample: so many documents of a language, so many characters of each at most, and so many characters of a
 #: language and of all languages together.
@@ -223,10 +223,9 @@ class Parser:
         return [self.languages[b] if x else UNDETERMINED for b, x in zip(best, letters)], np.clip(margin, 0, 1)
 
 
-@lru_cache(maxsize=1)
 def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     """One per Python worker: built from the samples, which are all that is sent to it."""
-    return Parser(samples)
+    return hold(("parser", samples), lambda: Parser(samples))
 
 
 def samples(docs: DataFrame) -> tuple[tuple[str, str], ...]:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise, ship
 from siftlake.llm.components import connected_components
+from siftlake.llm.held import release
 
 SEED, SHINGLE, BUDGET = 42, 3, 3
 #: Rows of a key that one task compares; keys with more are dealt over pairs of blocks. Keys of up to ``SMALL`` rows
@@ -48,6 +49,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         values = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])

@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from siftlake.cluster import materialise, ship
 from siftlake.llm import simhash
 from siftlake.llm.components import connected_components
+from siftlake.llm.held import release
 from siftlake.llm.idset import marked, without_ids
 
 SEED, SHINGLE, SIMILARITY = simhash.SEED, 5, 0.8
 SHARE = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 #: Rows of a key that one task compares; keys with more are dealt over pairs of blocks.
-BLOCK = 8192
+BLOCK = 4096
 #: The expected number of chains from which a pair at the least similarity is matched, and the bits after the key.
 CHAINS, REST = 6.8, 48
 
@@ -71,6 +72,7 @@ def _class(hashes: np.ndarray) -> int:
 
 def _prints(bits: int):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             fps = [fingerprint(s, bits).tobytes() if len(s) else None for s in sets]
@@ -151,7 +153,8 @@ def compare(reps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
     known, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    part, mark, kept = np.arange(len(sets)), np.zeros(len(known), bool), []
+    flat, known = flat.astype(np.int32), len(known)
+    part, mark, kept = np.arange(len(sets)), np.zeros(known, bool), []
     for i in range(len(sets)):
         own = flat[starts[i] : starts[i] + sizes[i]]
         mark[own] = True
@@ -173,6 +176,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def emit(reps: list[int], sets: list[bytes]) -> Iterator[pa.RecordBatch]:
         links = compare(np.array(reps), [np.frombuffer(s, np.uint64) for s in sets]) if len(reps) > 1 else []
+        sets.clear()
         if links:
             a, b = zip(*links)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])

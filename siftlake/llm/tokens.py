@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from siftlake.llm.held import hold
+
 #: A blank between two blanks may belong to a longer run, which the tokenizer splits as a whole.
 _RUN = re.compile(r"\s \s")
 _ASCII_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -84,7 +85,6 @@ class Encoder:
         return np.frombuffer((self.first[first] if first else b"") + b"".join([cache[piece] for piece in rest]), self.dtype)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker, so its cache lives across tasks."""
-    return Encoder(path)
+    """One encoder per Python worker, so its cache lives across the tasks of an operator."""
+    return hold(("encoder", path), lambda: Encoder(path))

@@ -51,7 +51,7 @@ def test_large_groups_in_blocks(spark):
         texts.append(" ".join(words))
     docs = documents(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
     parts = roots(len(texts), brute_links([brute_set(t) for t in texts]))
-    for block in (16, 8192):
+    for block in (16, 4096):
         got = {r.doc_id: r.component_id for r in simhash_sets.near_components(docs, block=block).collect()}
         assert [got[i] for i in range(len(texts))] == parts
 
