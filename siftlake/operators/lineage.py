@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.cluster import ship
+from siftlake.cluster import materialise, ship
 
 
 def blocked(df: DataFrame, blocklist: DataFrame, key: str) -> DataFrame:
@@ -31,18 +31,37 @@ def _automaton(passages: tuple[str, ...]) -> ahocorasick.Automaton:
     return found
 
 
-def with_containment(df: DataFrame, text: str, passages: Sequence[str], column: str = "contains_passage") -> DataFrame:
-    """Whether a text contains one of a fixed, small list of passages: one pass over each text, whatever their number."""
-    ship(df.sparkSession)
-    listed = tuple(sorted({p for p in passages if p}))
+#: Characters of passages that are sent to the workers at once.
+PASSAGE_CHARS = 20_000_000
+
+
+def with_containment(df: DataFrame, text: str, passages: DataFrame, column: str = "contains_passage", *, most: int = PASSAGE_CHARS) -> DataFrame:
+    """Whether a text contains one of the passages (the one column of ``passages``); empty and null ones are in no text.
 
+    One pass over each text, whatever the number of passages, if they have ``most`` characters or fewer; more are
+    dealt by hash to so many parts, and each part is one pass more, so the list that is sent stays bounded.
+    """
+    ship(df.sparkSession)
+    listed = passages.select(F.col(passages.columns[0]).alias("passage")).filter(F.length("passage") > 0).distinct()
+    parts = max(1, -(-(listed.agg(F.sum(F.length("passage"))).first()[0] or 0) // most))
+    out = df
+    for part in range(parts):
+        own = listed if parts == 1 else listed.filter(F.pmod(F.xxhash64("passage"), F.lit(parts)) == part)
+        found = _contains(tuple(sorted(r.passage for r in own.collect())))(F.col(text))
+        out = out.withColumn(column, found if part == 0 else F.col(column) | found)
+        if part < parts - 1:
+            out = materialise(out, "containment")
+    return out
+
+
+def _contains(listed: tuple[str, ...]):
     @F.pandas_udf("boolean")
     def contains(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = _automaton(listed) if listed else None
         for texts in parts:
             yield texts.map(lambda t: bool(automaton and t and next(automaton.iter(t), None) is not None)).astype(bool)
 
-    return df.withColumn(column, contains(F.col(text)))
+    return contains
 
 
 def provenance(rows: DataFrame, manifest: DataFrame, *, key: str, manifest_key: str, expected: str, actual: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.cluster import materialise
+from siftlake.cluster import materialise, ship
 from siftlake.functions.scalars import hamming
+from siftlake.operators.components import connected_components
 from siftlake.operators.ordering import range_bucket, with_place
 
 
@@ -17,14 +21,16 @@ def simhash(docs: DataFrame, *, id_col: str, text: str, keep: tuple[str, ...] =
     """``id, keep..., hash``: a 60-bit SimHash of the distinct lower-cased blank-separated words, from their MD5.
 
     A bit is set if it is in more than half of the words' first 15 hex digits. Words become rows and bits sums, so
-    the counting is one aggregation that combines before it shuffles. Null texts have no hash and no row.
+    the counting is one aggregation that combines before it shuffles. Null texts have no hash and no row. Rows that
+    repeat an id are rows of their own.
     """
-    words = docs.filter(F.col(text).isNotNull()).select(
-        F.col(id_col).alias("id"), *keep, F.explode(F.array_distinct(F.split(F.lower(text), " "))).alias("word")
+    rows = docs.filter(F.col(text).isNotNull()).withColumn("hashed_row", F.monotonically_increasing_id())
+    words = rows.select(
+        "hashed_row", F.col(id_col).alias("id"), *keep, F.explode(F.array_distinct(F.split(F.lower(text), " "))).alias("word")
     )
-    hashed = words.select("id", *keep, F.conv(F.substring(F.md5(F.encode("word", "UTF-8")), 1, 15), 16, 10).cast("long").alias("h"))
+    hashed = words.select("hashed_row", "id", *keep, F.conv(F.substring(F.md5(F.encode("word", "UTF-8")), 1, 15), 16, 10).cast("long").alias("h"))
     sums = [F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(SIMHASH_BITS)]
-    counts = hashed.groupBy("id", *keep).agg(F.count(F.lit(1)).alias("n"), *sums)
+    counts = hashed.groupBy("hashed_row", "id", *keep).agg(F.count(F.lit(1)).alias("n"), *sums)
     bits = F.lit(0).cast("long")
     for i in range(SIMHASH_BITS):
         bits = bits.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
@@ -78,25 +84,10 @@ def class_components(hashes: DataFrame, *, bits: int, threshold: int, by: str) -
     return joined.select("id", F.coalesce("component", "id").alias("component"), "nearest")
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``id, component`` (smallest id reachable) of all ``nodes(id)`` under ``edges(a, b)``.
-
-    Smallest labels spread along edges and through the labels themselves (pointer jumping), so a chain of length n
-    settles in about log n rounds. Every round is written to shared storage.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialise(both, "edges")
-    labels = materialise(nodes.select("id", F.col("id").alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
-        lowered = labels.join(near, F.col("id") == F.col("a"), "left").select("id", "component", F.least("component", "near").alias("low"))
-        roots = lowered.select(F.col("id").alias("root"), F.col("low").alias("root_low"))
-        jumped = lowered.join(roots, F.col("low") == F.col("root"), "left").select("id", F.col("component").alias("old"), F.least("low", "root_low").alias("component"))
-        jumped = materialise(jumped, "labels")
-        labels = jumped.select("id", "component")
-        if jumped.filter("old <> component").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, component`` (smallest id reachable) of all ``nodes(id)`` under ``edges(a, b)``."""
+    joined = nodes.select("id").join(connected_components(edges.select("a", "b")), F.col("id") == F.col("node"), "left")
+    return joined.select("id", F.coalesce("component", "id").alias("component"))
 
 
 def groups(hashes: DataFrame, pairs: DataFrame, *, id_col: str = "id") -> DataFrame:
@@ -122,29 +113,64 @@ def group_safe_split(rows: DataFrame, *, group: str, split: str, held: str = "te
     return joined.withColumn("final_split", final).withColumn("moved", F.col("final_split") != F.col(split)).drop("touched")
 
 
-def greedy_accept(rows: DataFrame, conflicts: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Order-dependent dedup without a sequential pass: ``id, accepted``.
+#: Conflicts of a component up to which one task decides it, reading them one by one.
+CONFLICTS = 1_000_000
+
 
-    ``rows`` has ``id`` and ``eligible`` (passed every other rule); a row is accepted if it is eligible and no
-    accepted row with a smaller id conflicts with it. ``conflicts`` has ``a < b``. In each round the rows whose
-    earlier neighbours are all decided are decided themselves; the first of every chain always is.
+def _refused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by component, b and a: ``b`` is refused if some ``a`` is not. Only a component's refused ids are held."""
+    component, refused, at, blocked = None, set(), None, False
+    for batch in batches:
+        out = []
+        for c, a, b in zip(*(batch.column(n).to_pylist() for n in ("component", "a", "b"))):
+            if c != component:
+                component, refused, at = c, set(), None
+            if b != at:
+                at, blocked = b, False
+            if not blocked and a not in refused:
+                blocked = True
+                refused.add(b)
+                out.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
+
+
+def greedy_accept(rows: DataFrame, conflicts: DataFrame, *, most: int = CONFLICTS) -> DataFrame:
+    """Order-dependent dedup without a pass over all rows: ``id, accepted``.
+
+    ``rows`` has ``id`` (unique whole numbers) and ``eligible`` (passed every other rule); a row is accepted if it is
+    eligible and no accepted row with a smaller id conflicts with it. ``conflicts`` has ``a < b``. Rows that no chain
+    of conflicts connects do not matter to each other, so each component of conflicts is decided by itself: those of
+    up to ``most`` conflicts in order by one task, larger ones in rounds, in each of which the rows whose earlier
+    neighbours are all decided are decided themselves, as many rounds as it takes.
     """
+    ship(rows.sparkSession)
     able = rows.filter("eligible").select("id")
     edges = conflicts.select("a", "b").join(able.withColumnRenamed("id", "a"), "a", "left_semi")
     edges = materialise(edges.join(able.withColumnRenamed("id", "b"), "b", "left_semi"), "conflicts")
-    state = materialise(able.select("id", F.lit(None).cast("boolean").alias("accepted")), "decisions")
-    for _ in range(max_rounds):
+    labels = connected_components(edges)
+    edges = edges.join(labels, F.col("b") == F.col("node")).select("component", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    sizes = edges.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    edges = materialise(edges.join(sizes, "component"), "conflicts-by-component")
+    small = edges.filter(F.col("size") <= most).drop("size").repartition("component").sortWithinPartitions("component", "b", "a")
+    refused = materialise(small.mapInArrow(_refused, "id long"), "refused")
+    large = edges.filter(F.col("size") > most).select("a", "b")
+    if not large.isEmpty():
+        refused = refused.unionByName(_refused_in_rounds(materialise(large, "conflicts-large")))
+    kept = able.join(refused.distinct(), "id", "left_anti").withColumn("accepted", F.lit(True))
+    return rows.select("id").join(kept, "id", "left").select("id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
+def _refused_in_rounds(edges: DataFrame) -> DataFrame:
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    state = materialise(nodes.select("id", F.lit(None).cast("boolean").alias("accepted")), "decisions")
+    while not state.filter("accepted IS NULL").isEmpty():
         earlier = edges.join(state, F.col("a") == F.col("id")).groupBy("b").agg(
             F.max(F.coalesce("accepted", F.lit(False))).alias("blocked"), F.max(F.col("accepted").isNull()).alias("waits")
         )
         verdict = F.when(F.coalesce("blocked", F.lit(False)), F.lit(False)).when(~F.coalesce("waits", F.lit(False)), F.lit(True))
-        state = materialise(
-            state.join(earlier, F.col("id") == F.col("b"), "left").select("id", F.coalesce("accepted", verdict).alias("accepted")), "decisions"
-        )
-        if state.filter("accepted IS NULL").isEmpty():
-            decided = rows.select("id", "eligible").join(state, "id", "left")
-            return decided.select("id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
-    raise RuntimeError(f"decisions did not settle in {max_rounds} rounds")
+        joined = state.join(earlier, F.col("id") == F.col("b"), "left")
+        state = materialise(joined.select("id", F.coalesce("accepted", verdict).alias("accepted")), "decisions")
+    return state.filter("NOT accepted").select("id")
 
 
 def greedy_dedupe(rows: DataFrame, hashes: DataFrame, *, bits: int, threshold: int, by: str) -> DataFrame:

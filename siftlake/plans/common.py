@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.operators import lineage
 from siftlake.sources.readers import table
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with content hash, lines, characters per line and labels (null where there are none)."""
+def samples(spark: SparkSession, sf_dir: str, passages: DataFrame | None = None) -> DataFrame:
+    """Documents with content hash, lines, characters per line and labels (null where there are none).
+
+    Whatever depends on the text is computed in the scan, containment of ``passages`` too, so no text is shuffled.
+    """
     lines = F.size(F.split("text", "\n"))
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", "source", "n_chars", "text", F.sha2("text", 256).alias("sha"), lines.cast("long").alias("n_lines"), (F.col("n_chars") / lines).alias("per_line")
-    )
-    return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("sha"), lines.cast("long").alias("n_lines"), (F.col("n_chars") / lines).alias("per_line")]
+    if passages is not None:
+        docs, columns = lineage.with_containment(docs, "text", passages), [*columns, "contains_passage"]
+    return docs.select(*columns).join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
 
 SAMPLES = """samples AS (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise
 from siftlake.operators import imaging, neardup
+from siftlake.operators.ordering import range_bucket, with_place
 from siftlake.plans.registry import query
 from siftlake.sources.readers import table
 
@@ -72,7 +73,17 @@ def group_safe_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group_safe_split(split, group="component", split="split").select("id", "split", "final_split")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PAIRS},
+able AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE n_chars >= 500),
+before AS (SELECT b AS id, list(a) AS near FROM pairs WHERE a IN (SELECT id FROM able) AND b IN (SELECT id FROM able) GROUP BY b),
+ordered AS (SELECT able.id, n, coalesce(near, []) AS near FROM able LEFT JOIN before ON able.id = before.id),
+kept AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS ids
+  UNION ALL
+  SELECT o.n, CASE WHEN list_has_any(k.ids, o.near) THEN k.ids ELSE list_append(k.ids, o.id) END FROM kept k JOIN ordered o ON o.n = k.n + 1)
+SELECT doc_id AS id, list_contains((SELECT arg_max(ids, n) FROM kept), doc_id) AS accepted FROM documents"""
+)
 def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document stays if it has 500 characters and no earlier staying one of its language is near it."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") >= 500).alias("eligible"))
@@ -80,27 +91,37 @@ def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOXES = """boxes AS (
-  SELECT l_suppkey AS g, l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey % 200 AS INTEGER) AS x0, CAST(l_orderkey % 150 AS INTEGER) AS y0,
-         CAST(l_partkey % 200 + 4 + l_quantity AS INTEGER) AS x1, CAST(l_orderkey % 150 + 4 + l_quantity AS INTEGER) AS y1
-  FROM lineitem WHERE l_orderkey % 20 = 0)"""
+  SELECT l_partkey AS g, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS id, CAST(l_orderkey * 7 % 200 AS INTEGER) AS x0, CAST(l_orderkey % 150 AS INTEGER) AS y0,
+         CAST(l_orderkey * 7 % 200 + 4 + l_quantity AS INTEGER) AS x1, CAST(l_orderkey % 150 + 4 + l_quantity AS INTEGER) AS y1
+  FROM lineitem)"""
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rectangles of different sizes on a few backgrounds, one for each line item."""
-    items = table(spark, sf_dir, "lineitem")
-    x, y, side = F.col("l_partkey") % 200, F.col("l_orderkey") % 150, F.col("l_quantity") + 4
+    """Rectangles of different sizes on many backgrounds, one for each line item, numbered in order of its keys."""
+    keys = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]
+    items = with_place(table(spark, sf_dir, "lineitem").select(*keys), by=[], bucket=range_bucket(keys[0]), order=keys, name="id")
+    x, y, side = F.col("l_orderkey") * 7 % 200, F.col("l_orderkey") % 150, F.col("l_quantity") + 4
     corners = {"x0": x, "y0": y, "x1": x + side, "y1": y + side}
-    return items.select(F.col("l_suppkey").alias("g"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), *[c.cast("int").alias(n) for n, c in corners.items()])
+    return items.select(F.col("l_partkey").alias("g"), "id", *[c.cast("int").alias(n) for n, c in corners.items()])
 
 
 @query(f"WITH {BOXES} SELECT a.id AS a, b.id AS b FROM boxes a JOIN boxes b ON a.g = b.g AND a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
 def box_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the boxes that its SQL reads, one order in 20."""
-    return imaging.box_conflicts(boxes(spark, sf_dir).filter("floor(id / 10) % 20 = 0"), by="g")
+    return imaging.box_conflicts(boxes(spark, sf_dir), by="g")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BOXES},
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id) AS n, {{'id': id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} AS box FROM boxes),
+k AS (
+  SELECT DISTINCT g, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, x0 INTEGER, y0 INTEGER, x1 INTEGER, y1 INTEGER)[]) AS kept FROM boxes
+  UNION ALL
+  SELECT o.g, o.n, CASE WHEN len(list_filter(k.kept, lambda b: b.x0 < o.x1 AND o.x0 < b.x1 AND b.y0 < o.y1 AND o.y0 < b.y1)) > 0 THEN k.kept ELSE list_append(k.kept, o.box) END
+  FROM k JOIN o ON o.g = k.g AND o.n = k.n + 1),
+ids AS (SELECT g, list_transform(arg_max(kept, n), lambda b: b.id) AS ids FROM k GROUP BY g)
+SELECT boxes.id, list_contains(ids, boxes.id) AS accepted FROM boxes JOIN ids ON boxes.g = ids.g"""
+)
 def nonoverlapping_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes placed in order of id, each only if it overlaps none that was placed before."""
-    rows = materialise(boxes(spark, sf_dir).dropDuplicates(["id"]), "boxes")
+    rows = materialise(boxes(spark, sf_dir), "boxes")
     return neardup.greedy_accept(rows.select("id", F.lit(True).alias("eligible")), imaging.box_conflicts(rows, by="g"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftlake.cluster import materialise
 from siftlake.functions.scalars import log_z
 from siftlake.operators import lineage, rules, scan
 from siftlake.plans.common import SAMPLES, samples
@@ -13,20 +14,22 @@ from siftlake.sources.readers import table
 
 STAGES = [
     ("blocklist", ["BLOCKLISTED"]),
-    ("area", ["AREA_OUT_OF_RANGE"]),
+    ("area", ["NO_REFERENCE", "AREA_OUT_OF_RANGE"]),
     ("aspect", ["ASPECT_OUT_OF_RANGE"]),
     ("duplicate", ["EXACT_DUPLICATE"]),
 ]
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents judged by containment of benchmark passages, size and shape against labelled good ones, and copies."""
-    rows = samples(spark, sf_dir)
-    reference = rules.log_reference(rows.filter("quality = 1"), "lang", area="n_chars", aspect="per_line")
-    passages = [r.text for r in table(spark, sf_dir, "benchmark").select("text").collect()]  # a fixed evaluation set
-    rows = lineage.with_containment(rows, "text", passages).drop("text")
-    first = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("first_id"))
-    rows = rows.join(first, "sha").join(reference, "lang")
+    """Documents judged by containment of benchmark passages, size and shape against labelled good ones, and copies.
+
+    The texts are read once; what follows runs on the narrow table written then. A document whose language (null is
+    one) has no labelled good documents is refused as NO_REFERENCE.
+    """
+    rows = materialise(samples(spark, sf_dir, table(spark, sf_dir, "benchmark").select("text")), "samples")
+    reference = rules.log_reference(rows.filter("quality = 1"), "lang", area="n_chars", aspect="per_line").withColumnRenamed("lang", "reference_lang")
+    first = rows.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
+    rows = rows.join(first, "sha").join(reference.withColumn("known", F.lit(True)), F.col("lang").eqNullSafe(F.col("reference_lang")), "left")
     area_z = log_z(F.col("n_chars"), F.col("area_mean_log"), F.col("area_std_log"))
     aspect_z = log_z(F.col("per_line"), F.col("aspect_mean_log"), F.col("aspect_std_log"))
     outside = (F.col("n_chars") < F.col("area_p05")) | (F.col("n_chars") > F.col("area_p95"))
@@ -34,6 +37,7 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows,
         [
             rules.Rule("blocklist", "BLOCKLISTED", F.col("contains_passage")),
+            rules.Rule("area", "NO_REFERENCE", F.col("known").isNull()),
             rules.Rule("area", "AREA_OUT_OF_RANGE", (F.abs(area_z) > 2.5) | outside),
             rules.Rule("aspect", "ASPECT_OUT_OF_RANGE", F.abs(aspect_z) > 2.5),
             rules.Rule("duplicate", "EXACT_DUPLICATE", F.col("doc_id") > F.col("first_id")),
@@ -51,10 +55,11 @@ decided AS (
   SELECT s.doc_id, s.lang, s.source,
          list_filter([
            CASE WHEN hit.doc_id IS NOT NULL THEN 'BLOCKLISTED' END,
+           CASE WHEN area_m IS NULL THEN 'NO_REFERENCE' END,
            CASE WHEN abs((ln(n_chars) - area_m) / area_s) > 2.5 OR n_chars < p05 OR n_chars > p95 THEN 'AREA_OUT_OF_RANGE' END,
            CASE WHEN abs((ln(per_line) - aspect_m) / aspect_s) > 2.5 THEN 'ASPECT_OUT_OF_RANGE' END,
            CASE WHEN row_number() OVER (PARTITION BY sha ORDER BY s.doc_id) > 1 THEN 'EXACT_DUPLICATE' END], lambda x: x IS NOT NULL) AS reasons
-  FROM samples s JOIN ref ON s.lang = ref.lang LEFT JOIN hit ON s.doc_id = hit.doc_id)
+  FROM samples s LEFT JOIN ref ON s.lang IS NOT DISTINCT FROM ref.lang LEFT JOIN hit ON s.doc_id = hit.doc_id)
 """
 
 
@@ -62,8 +67,8 @@ decided AS (
     DECIDED
     + """SELECT lang, count(*) AS total,
   count(*) FILTER (NOT list_has_any(reasons, ['BLOCKLISTED'])) AS after_blocklist,
-  count(*) FILTER (NOT list_has_any(reasons, ['BLOCKLISTED', 'AREA_OUT_OF_RANGE'])) AS after_area,
-  count(*) FILTER (NOT list_has_any(reasons, ['BLOCKLISTED', 'AREA_OUT_OF_RANGE', 'ASPECT_OUT_OF_RANGE'])) AS after_aspect,
+  count(*) FILTER (NOT list_has_any(reasons, ['BLOCKLISTED', 'NO_REFERENCE', 'AREA_OUT_OF_RANGE'])) AS after_area,
+  count(*) FILTER (NOT list_has_any(reasons, ['BLOCKLISTED', 'NO_REFERENCE', 'AREA_OUT_OF_RANGE', 'ASPECT_OUT_OF_RANGE'])) AS after_aspect,
   count(*) FILTER (len(reasons) = 0) AS after_duplicate,
   count(*) FILTER (len(reasons) = 0) AS accepted
 FROM decided GROUP BY lang"""
@@ -126,7 +131,7 @@ def lower_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT d.doc_id, d.lang FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def containment_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    passages = [r.text for r in table(spark, sf_dir, "benchmark").select("text").collect()]
+    passages = table(spark, sf_dir, "benchmark").select("text")
     return lineage.with_containment(table(spark, sf_dir, "documents"), "text", passages).filter("contains_passage").select("doc_id", "lang")
 
 

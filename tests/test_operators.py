@@ -378,6 +378,22 @@ def test_secret_kinds(spark):
     assert got == {(1, "github_token"), (2, "hub_token"), (3, "openai_key"), (4, "google_api_key"), (5, "windows_user_path"), (8, "windows_user_path")}
 
 
+def test_long_chains_of_conflicts(spark):
+    n = 1000
+    rows = spark.createDataFrame([(i, i != 7) for i in range(n)] + [(5000, True)], "id long, eligible boolean")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(0, 400)], "a long, b long")
+    want, accepted = {5000}, set()
+    for i in range(n):
+        near = {i - 1} | ({0} if i == 400 else set())
+        if i != 7 and not near & accepted:
+            accepted.add(i)
+    got = {r.id for r in neardup.greedy_accept(rows, chain).filter("accepted").collect()}
+    assert got == want | accepted
+    few = rows.filter("id < 12 OR id > 4000")
+    got = {r.id for r in neardup.greedy_accept(few, chain, most=3).filter("accepted").collect()}
+    assert got == {i for i in want | accepted if i < 12 or i > 4000}
+
+
 def test_alias_resolution():
     assert replicate.resolve_alias("a", {"a": "b", "b": "c"}, ["c"]) == "c"
     with pytest.raises(ValueError, match="cycle"):
