@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,11 +38,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Only where that is unset (local tests) a temporary one is made."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one is made in a local session only.
+
+    Elsewhere executors would write to their own disks, so it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         existing = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = existing.get() if existing.isDefined() else None
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         folder = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="siftlake-shared-"))
         spark.sparkContext.setCheckpointDir(folder)
@@ -53,9 +59,21 @@ def shared_dir(spark: SparkSession) -> str:
 _written: dict[str, list[str]] = {}
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that this application has materialised; results that still read them must be done with."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+def written(spark: SparkSession) -> int:
+    """How many tables this application has materialised and not released: a mark for ``release``."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that this application has materialised since a mark, but for the last ``keep`` of them.
+
+    Results that still read them must be done with.
+    """
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    end = max(since, len(paths) - keep)
+    gone = paths[since:end]
+    del paths[since:end]
+    for path in gone:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 

@@ -114,10 +114,26 @@ def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.ward_by_group(k_sample(real, by=["g"], key="id", k=24, seed=42), by="g", id_col="id", vector="v")
 
 
-@query()
+#: The fit at a place is the largest, over all starts up to it, of the smallest mean from there to an end past it.
+@query(
+    """WITH p AS (SELECT l_returnflag, l_linenumber AS x, avg(l_quantity) AS y FROM lineitem GROUP BY ALL),
+t AS (SELECT l_returnflag, avg(l_quantity) AS t FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL),
+m AS (SELECT a.l_returnflag, a.x AS low, b.x AS high, avg(c.y) AS mean FROM p a JOIN p b ON a.l_returnflag = b.l_returnflag AND a.x <= b.x
+      JOIN p c ON c.l_returnflag = a.l_returnflag AND c.x BETWEEN a.x AND b.x GROUP BY ALL),
+l AS (SELECT m.l_returnflag, low, p.x, min(mean) AS least FROM m JOIN p ON p.l_returnflag = m.l_returnflag AND p.x BETWEEN low AND high GROUP BY ALL),
+f AS (SELECT l_returnflag, x, max(least) AS fit FROM l GROUP BY ALL),
+s AS (SELECT f.*, t, lead(x) OVER w AS next_x, lead(fit) OVER w AS next_fit, min(x) OVER g AS first_x, max(x) OVER g AS last_x, min(fit) OVER g AS first_fit, max(fit) OVER g AS last_fit
+      FROM f JOIN t ON f.l_returnflag = t.l_returnflag WINDOW w AS (PARTITION BY f.l_returnflag ORDER BY x), g AS (PARTITION BY f.l_returnflag)),
+r AS (SELECT l_returnflag, any_value(t) AS t, any_value(first_x) AS first_x, any_value(last_x) AS last_x, any_value(first_fit) AS first_fit, any_value(last_fit) AS last_fit,
+             max(CASE WHEN fit <= t THEN {'x': x, 'fit': fit, 'next_x': next_x, 'next_fit': next_fit} END) AS s FROM s GROUP BY l_returnflag)
+SELECT l_returnflag, round(CAST(CASE WHEN t < first_fit THEN first_x WHEN t > last_fit OR s.next_x IS NULL OR s.fit = t THEN coalesce(s.x, last_x)
+         ELSE s.x + (t - s.fit) / (s.next_fit - s.fit) * (s.next_x - s.x) END AS DOUBLE), 6) AS x,
+       CASE WHEN t < first_fit THEN 'below' WHEN t > last_fit THEN 'above' ELSE 'at' END AS relation FROM r"""
+)
 def isotonic_equivalent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At which order count of a line number the mean quantity of small orders is reached."""
     items = table(spark, sf_dir, "lineitem")
     points = items.groupBy("l_returnflag", "l_linenumber").agg(F.avg("l_quantity").alias("y"))
     target = items.filter("l_linenumber <= 2").groupBy("l_returnflag").agg(F.avg("l_quantity").alias("t"))
-    return cluster.equivalents(points.join(target, "l_returnflag"), by="l_returnflag", x="l_linenumber", y="y", target="t")
+    out = cluster.equivalents(points.join(target, "l_returnflag"), by="l_returnflag", x="l_linenumber", y="y", target="t")
+    return out.withColumn("x", F.round("x", 6))
