@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.cluster import materialise
+from siftlake.cluster import materialise, release, written
 from siftlake.llm import dedup_exact, mixing, packing, simhash_sets, toxicity
 
 
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage wrote for itself is deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = written(spark)
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, since=mark, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
