@@ -37,6 +37,13 @@ def set_difference_report(df: DataFrame, other: DataFrame, *keys: str) -> DataFr
     return extra.unionByName(missing(other, df, *keys).withColumn("side", F.lit("missing")))
 
 
+def subset_report(df: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    """One row: whether the keys of ``df`` are a ``subset`` of those of ``other``, and a ``strict`` one."""
+    sides = set_difference_report(df, other, *keys).agg(F.count_if(F.col("side") == "extra").alias("extra"), F.count_if(F.col("side") == "missing").alias("missing"))
+    subset = F.col("extra") == 0
+    return sides.select(subset.alias("subset"), (subset & (F.col("missing") > 0)).alias("strict"))
+
+
 def breaking(df: DataFrame, **rules: Column) -> DataFrame:
     """Rows for which a rule is not true, with the names of the rules they break."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import ahocorasick
@@ -22,6 +22,15 @@ def allowed(df: DataFrame, blocklist: DataFrame, key: str) -> DataFrame:
     return df.join(blocklist.select(key).distinct(), key, "left_anti")
 
 
+def where_given(df: DataFrame, equal: Mapping[str, object], least: Mapping[str, object]) -> DataFrame:
+    """Rows with the given values and at least the given values; a parameter that is None does not filter."""
+    for column, value in equal.items():
+        df = df if value is None else df.filter(F.col(column) == F.lit(value))
+    for column, value in least.items():
+        df = df if value is None else df.filter(F.col(column) >= F.lit(value))
+    return df
+
+
 @lru_cache(maxsize=2)
 def _automaton(passages: tuple[str, ...]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.functions.scalars import log_z
 from siftlake.operators import imaging, metrics, rules
 from siftlake.plans.common import SCORED, scored
 from siftlake.plans.registry import query
@@ -118,12 +119,35 @@ def distribution_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT source, array_to_string(list_filter([CASE WHEN max(n_chars) > 20000 THEN 'AREA_OUT_OF_RANGE' END, CASE WHEN min(n_chars) < 50 THEN 'SEAM_POOR' END], lambda x: x IS NOT NULL), ',') AS reasons FROM documents GROUP BY source"""
+    """WITH r AS (SELECT l_returnflag AS g, avg(ln(l_quantity)) AS am, stddev_samp(ln(l_quantity)) AS asd, quantile_cont(CAST(l_quantity AS DOUBLE), 0.05) AS p05, quantile_cont(CAST(l_quantity AS DOUBLE), 0.95) AS p95,
+  avg(ln(l_extendedprice)) AS pm, stddev_samp(ln(l_extendedprice)) AS psd FROM lineitem GROUP BY 1),
+d AS (SELECT array_to_string(list_filter([
+  CASE WHEN l_tax > 0.07 THEN 'ROI_OVERFLOW' END,
+  CASE WHEN abs((ln(l_quantity) - am) / asd) > 2.5 OR l_quantity < p05 OR l_quantity > p95 THEN 'AREA_OUT_OF_RANGE' END,
+  CASE WHEN abs((ln(l_extendedprice) - pm) / psd) > 2.5 THEN 'ASPECT_OUT_OF_RANGE' END,
+  CASE WHEN l_suppkey % 16 < 5 THEN 'PHASH_DUPLICATE' END,
+  CASE WHEN 1 - l_discount < 0.915 THEN 'NN_TOO_LOW' END,
+  CASE WHEN 1 - l_discount >= 0.98 THEN 'NN_TOO_HIGH_COPY' END,
+  CASE WHEN l_tax > 0.065 THEN 'EMBEDDING_OUTLIER' END,
+  CASE WHEN 1 - 2 * l_discount < 0.85 THEN 'SEAM_POOR' END], lambda x: x IS NOT NULL), ',') AS reasons FROM lineitem JOIN r ON l_returnflag = g)
+SELECT reasons, count(*) AS n FROM d GROUP BY reasons"""
 )
 def geometry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quality filter's six rules over score columns made from a source's extremes."""
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.max("n_chars").alias("most"), F.min("n_chars").alias("least"))
-    fixed = {"roi_containment": 1.0, "area_p05": 0.0, "area_p95": 1.0, "area_ratio": 0.5, "aspect_zscore": 0.0, "nn_score": 0.9, "tau_low": 0.5, "outlier_score": 0.1, "tau_outlier": 0.5}
-    scores = rows.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn("phash_min_dist", F.lit(None).cast("int"))
-    scores = scores.withColumn("area_zscore", F.when(F.col("most") > 20000, 3.0).otherwise(0.0)).withColumn("seam_score", F.when(F.col("least") < 50, 0.5).otherwise(0.9))
-    return rules.decide(scores, rules.geometry_rules()).select("source", F.array_join("reject_reasons", ",").alias("reasons"))
+    """How often each combination of the quality filter's eight reasons occurs, over score columns made from line items."""
+    items = table(spark, sf_dir, "lineitem")
+    reference = rules.log_reference(items, "l_returnflag", area="l_quantity", aspect="l_extendedprice")
+    rows = items.join(reference, "l_returnflag")
+    scores = {
+        "roi_containment": F.when(F.col("l_tax") > 0.07, 0.99).otherwise(1.0),
+        "area_ratio": F.col("l_quantity"),
+        "area_zscore": log_z(F.col("l_quantity"), F.col("area_mean_log"), F.col("area_std_log")),
+        "aspect_zscore": log_z(F.col("l_extendedprice"), F.col("aspect_mean_log"), F.col("aspect_std_log")),
+        "phash_min_dist": F.col("l_suppkey") % 16,
+        "nn_score": 1 - F.col("l_discount"),
+        "tau_low": F.lit(0.915),
+        "outlier_score": F.col("l_tax"),
+        "tau_outlier": F.lit(0.065),
+        "seam_score": 1 - 2 * F.col("l_discount"),
+    }
+    judged = rules.decide(rows.withColumns(scores), rules.geometry_rules())
+    return judged.groupBy(F.array_join("reject_reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from siftlake.plans import duplicates, filtering, measures, quality, relational, sampling, verdicts  # noqa: F401
+    from siftlake.plans import duplicates, filtering, measures, quality, relational, release, sampling, verdicts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

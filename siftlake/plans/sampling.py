@@ -231,12 +231,23 @@ def group_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT strength, ratio, row_number() OVER (ORDER BY CASE WHEN strength = 0.6 AND ratio = 1.5 THEN 0 ELSE 1 END, sha256('42:' || CAST(CAST(strength * 10 AS INTEGER) AS VARCHAR) || ':' || CAST(CAST(ratio * 10 AS INTEGER) AS VARCHAR))) - 1 AS place
-FROM (SELECT unnest([0.4::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE]) AS strength) CROSS JOIN (SELECT unnest([1.2::DOUBLE, 1.5::DOUBLE, 2.0::DOUBLE]) AS ratio)"""
+    """WITH RECURSIVE g AS (
+  SELECT strength, ratio, row_number() OVER (ORDER BY CASE WHEN strength = 0.6 AND ratio = 1.5 THEN 0 ELSE 1 END, sha256('42:' || CAST(CAST(strength * 10 AS INTEGER) AS VARCHAR) || ':' || CAST(CAST(ratio * 10 AS INTEGER) AS VARCHAR))) - 1 AS n
+  FROM (SELECT unnest([0.4::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE]) AS strength) CROSS JOIN (SELECT unnest([1.2::DOUBLE, 1.5::DOUBLE, 2.0::DOUBLE]) AS ratio)),
+k AS (
+  SELECT n, strength, ratio, TRUE AS taken, [strength] AS xs, [ratio] AS ys FROM g WHERE n = 0
+  UNION ALL
+  SELECT g.n, g.strength, g.ratio, NOT (list_contains(xs, g.strength) OR list_contains(ys, g.ratio)),
+         CASE WHEN list_contains(xs, g.strength) OR list_contains(ys, g.ratio) THEN xs ELSE list_append(xs, g.strength) END,
+         CASE WHEN list_contains(xs, g.strength) OR list_contains(ys, g.ratio) THEN ys ELSE list_append(ys, g.ratio) END
+  FROM k JOIN g ON g.n = k.n + 1),
+f AS (SELECT *, NOT taken AND ((NOT strength IN (SELECT strength FROM k WHERE taken) AND n = min(n) OVER (PARTITION BY strength))
+                               OR (NOT ratio IN (SELECT ratio FROM k WHERE taken) AND n = min(n) OVER (PARTITION BY ratio))) AS brings_one FROM k)
+SELECT strength, ratio, row_number() OVER (ORDER BY CASE WHEN taken THEN 0 WHEN brings_one THEN 1 ELSE 2 END, n) - 1 AS place FROM f"""
 )
 def candidate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small parameter grid: the baseline first, the others in seeded order."""
+    """A small parameter grid: the baseline first, then pairs with new values, ties in seeded order."""
     grid = spark.createDataFrame([(s, r) for s in (0.4, 0.6, 0.8) for r in (1.2, 1.5, 2.0)], "strength double, ratio double")
     name = F.concat_ws(":", F.lit(str(SEED)), F.round(F.col("strength") * 10).cast("int").cast("string"), F.round(F.col("ratio") * 10).cast("int").cast("string"))
     order = Window.orderBy(((F.col("strength") != 0.6) | (F.col("ratio") != 1.5)).cast("int"), F.sha2(name, 256))
-    return grid.withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+    return sampling.covering_order(grid.withColumn("n", F.row_number().over(order) - 1), axes=("strength", "ratio"), order="n").drop("n")
