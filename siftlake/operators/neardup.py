@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,33 +38,55 @@ def simhash(docs: DataFrame, *, id_col: str, text: str, keep: tuple[str, ...] =
     return counts.select("id", *keep, bits.alias("hash"))
 
 
-def banded_pairs(hashes: DataFrame, *, bits: int, threshold: int, by: str | None = None, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
-    """``a < b`` with ``distance <= threshold`` of rows of one ``by`` value: every such pair, once.
+def banded_pairs(
+    hashes: DataFrame, *, bits: int, threshold: int, by: str | None = None, id_col: str = "id", hash_col: str = "hash", together: int = 3
+) -> DataFrame:
+    """``g, a, b, distance`` of rows of one ``by`` value with ``a < b`` and ``distance <= threshold``: every such pair, once.
 
-    Hashes within the threshold agree in at least one of ``threshold + 1`` bands, so pairs come from an equi-join
-    on (group, band, value). A pair is reported by its first equal band only, which needs no distinct.
+    Hashes within the threshold agree in at least ``together`` of ``threshold + together`` bands, so pairs come from
+    an equi-join on (group, bands, values) for every choice of so many bands: with 60 bits and a threshold of 3, 20
+    keys of 30 bits a row. A pair is reported by its first equal bands only, which needs no distinct.
     """
-    bands = threshold + 1
+    bands = threshold + together
     edges = [round(i * bits / bands) for i in range(bands + 1)]
 
     def band(h: Column, i: int) -> Column:
         return F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
 
+    def value(h: Column, chosen: tuple[int, ...]) -> Column:
+        joined = F.lit(0).cast("long")
+        for i in chosen:
+            joined = F.shiftleft(joined, edges[i + 1] - edges[i]).bitwiseOR(band(h, i))
+        return joined
+
     group = F.col(by) if by else F.lit(0)
-    rows = hashes.select(group.alias("g"), F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
-    values = F.array(*[F.struct(F.lit(i).alias("band"), band(F.col("h"), i).alias("value")) for i in range(bands)])
-    rows = rows.filter(F.col("h").isNotNull()).select("g", "id", "h", F.inline(values))
+    rows = hashes.select(group.alias("g"), F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter(F.col("h").isNotNull())
+    choices = list(itertools.combinations(range(bands), together))
+    keys = F.array(*[F.struct(F.lit(sum(1 << i for i in c)).alias("bands"), value(F.col("h"), c).alias("value")) for c in choices])
+    rows = rows.select("g", "id", "h", F.inline(keys))
     a, b = rows.alias("a"), rows.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) if c == "g" else F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("g", "band", "value")]
+    same = F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.bands") == F.col("b.bands")) & (F.col("a.value") == F.col("b.value"))
     xor = F.col("a.h").bitwiseXOR(F.col("b.h"))
-    first = F.lit(True)
+    equal = F.lit(0)
     for i in range(bands):
-        first = first & ((F.col("a.band") <= i) | (band(xor, i) != 0))
+        equal = equal + F.when(band(xor, i) == 0, F.lit(1 << i)).otherwise(F.lit(0))
+    rest = equal
+    for _ in range(together):
+        rest = rest.bitwiseAND(rest - 1)  # without its lowest bit
+    first = equal - rest == F.col("a.bands")
     close = hamming(F.col("a.h"), F.col("b.h")) <= threshold
-    joined = a.join(b, same[0] & same[1] & same[2] & (F.col("a.id") < F.col("b.id")) & close & first)
+    joined = a.join(b, same & (F.col("a.id") < F.col("b.id")) & close & first)
     return joined.select(F.col("a.g").alias("g"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), hamming(F.col("a.h"), F.col("b.h")).alias("distance"))
 
 
+def class_pairs(hashes: DataFrame, *, bits: int, threshold: int, by: str) -> tuple[DataFrame, DataFrame]:
+    """Classes ``g, h, rep, n`` of rows with equal hashes in one ``by`` value, and the close pairs among their ``rep``."""
+    rows = hashes.select("id", F.col(by).alias("g"), F.col("hash").alias("h")).filter("h IS NOT NULL")
+    classes = materialise(rows.groupBy("g", "h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    pairs = banded_pairs(classes, bits=bits, threshold=threshold, by="g", id_col="rep", hash_col="h")
+    return classes, materialise(pairs, "class-pairs")
+
+
 def class_components(hashes: DataFrame, *, bits: int, threshold: int, by: str) -> DataFrame:
     """``id, component, nearest`` of all rows: as ``components`` of all close pairs, and the least distance to another row.
 
@@ -71,9 +94,7 @@ def class_components(hashes: DataFrame, *, bits: int, threshold: int, by: str) -
     so many copies make no pairs among themselves. Rows without a hash are groups of their own.
     """
     rows = hashes.select("id", F.col(by).alias("g"), F.col("hash").alias("h"))
-    classes = rows.filter("h IS NOT NULL").groupBy("g", "h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = materialise(classes, "classes")
-    pairs = materialise(banded_pairs(classes, bits=bits, threshold=threshold, by="g", id_col="rep", hash_col="h"), "class-pairs")
+    classes, pairs = class_pairs(hashes, bits=bits, threshold=threshold, by=by)
     ends = pairs.select(F.col("a").alias("end"), "distance").unionByName(pairs.select(F.col("b").alias("end"), "distance"))
     least = ends.groupBy("end").agg(F.min("distance").alias("least"))
     labels = components(classes.select(F.col("rep").alias("id")), pairs).withColumnRenamed("id", "root")

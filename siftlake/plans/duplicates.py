@@ -27,10 +27,6 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(neardup.simhash(table(spark, sf_dir, "documents"), id_col="doc_id", text="text", keep=("lang",)), "hashes")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return materialise(neardup.banded_pairs(rows, bits=60, threshold=THRESHOLD, by="lang"), "pairs")
-
-
 def _members(rows: DataFrame) -> DataFrame:
     return neardup.class_components(rows, bits=60, threshold=THRESHOLD, by="lang")
 
@@ -40,9 +36,16 @@ def simhash_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashes(spark, sf_dir).select("id", "hash")
 
 
-@query(f"WITH {PAIRS} SELECT a, b, CAST(distance AS INTEGER) AS distance FROM pairs")
+@query(
+    f"""WITH {HASHES}, classes AS (SELECT lang, hash, min(id) AS rep, count(*) AS n FROM hashes GROUP BY lang, hash)
+SELECT x.rep AS a, y.rep AS b, x.n AS a_size, y.n AS b_size, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance
+FROM classes x JOIN classes y ON x.lang = y.lang AND x.rep < y.rep AND bit_count(xor(x.hash, y.hash)) <= {THRESHOLD}"""
+)
 def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(hashes(spark, sf_dir)).select("a", "b", "distance")
+    """Close pairs among the first documents of each class of equal hashes; ``neardup_groups`` has the members."""
+    classes, pairs = neardup.class_pairs(hashes(spark, sf_dir), bits=60, threshold=THRESHOLD, by="lang")
+    sizes = [classes.select(F.col("rep").alias(end), F.col("n").alias(f"{end}_size")) for end in ("a", "b")]
+    return pairs.join(sizes[0], "a").join(sizes[1], "b").select("a", "b", "a_size", "b_size", "distance")
 
 
 GROUPS = f"""WITH RECURSIVE {PAIRS},
