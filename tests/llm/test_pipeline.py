@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import pytest
+
 import corpus_pipeline
+from tests.llm.common import ROWS, documents
 from tests.llm.test_near_and_licenses import lower, roots
 from tests.llm.test_simhash_sets import brute_links, brute_set
 
@@ -32,3 +35,18 @@ def test_stages_against_brute_force(spark, small, tmp_path):
             assert after.groupby("sequence_id")["length"].sum().max() <= 2048
             assert set(after["doc_id"]) == set(before["doc_id"])
         before = after
+
+
+@pytest.mark.parametrize("rows", [ROWS, []], ids=["odd", "empty"])
+def test_stages_take_odd_rows_and_empty_tables(spark, small, tmp_path, rows):
+    docs = documents(spark, rows, clash=bool(rows))
+    columns, ids = docs.columns, {r[0] for r in rows}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, small).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert {r.doc_id for r in docs.select("doc_id").collect()} <= ids
+        if name != "packing":
+            assert docs.columns == columns
+        if name == "near_dedup" and rows:
+            kept = sorted(r.doc_id for r in docs.select("doc_id").collect())
+            assert len(set(kept) & {4, 5, 12}) == len(set(kept) & {6, 14}) == 1
