@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from siftlake.llm import bitsliced, dedup_exact, langid, licenses, lm, mixing, packing, simhash, token_files, toxicity
+from siftlake.llm import bitsliced, dedup_exact, langid, licenses, lm, mixing, packing, repair, simhash, token_files, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_best_two_fit": packing.op8_best_two_fit,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
         "op10_toxicity_cnn": toxicity.op10_toxicity_cnn,
+        "op12_structure_repair": repair.op12_structure_repair,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_bitsliced_topk": bitsliced.OP1_SQL,
         "op7_exact_dedup": dedup_exact.OP7_SQL,
         "op9_pareto_mixing": mixing.OP9_SQL,
+        "op12_structure_repair": repair.OP12_SQL,
     }
