@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from siftlake.llm import bitsliced, dedup_exact, langid, licenses, lm, mixing, packing, repair, simhash, token_files, toxicity
+from siftlake.llm import bitsliced, dedup_exact, langid, licenses, lm, mixing, packing, prefix_trie, repair, simhash, token_files, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
         "op10_toxicity_cnn": toxicity.op10_toxicity_cnn,
         "op12_structure_repair": repair.op12_structure_repair,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": dedup_exact.OP7_SQL,
         "op9_pareto_mixing": mixing.OP9_SQL,
         "op12_structure_repair": repair.OP12_SQL,
+        "op13_prefix_trie": prefix_trie.OP13_SQL,
     }

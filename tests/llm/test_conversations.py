@@ -11,7 +11,7 @@ import zlib
 import duckdb
 import pytest
 
-from siftlake.llm import repair
+from siftlake.llm import prefix_trie, repair
 
 COLUMNS = "conv_id long, turn long, role string, text string, copies string, seg string"
 #: Nulls everywhere, ties, repeats, other roles, blank and long texts; the last two columns have the operators' own names.
@@ -138,13 +138,64 @@ def test_repair_keeps_conversations_without_rows(spark):
     assert repair.repaired(repair.damaged(conversations(spark, []))).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op12_structure_repair"])
+def plain_trie(rows):
+    """A row for each node, from lists of turns."""
+    own = {}
+    for conv, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        own.setdefault(conv, []).append((role or "", text or ""))
+    whole = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 6
+        block = c - (c % 100 if c >= 0 else -(-c % 100))
+        whole[c] = tuple(own.get(block, [])[:h] + own[c][h:])
+    members, ends = {}, {}
+    for c, turns in sorted(whole.items()):
+        ends.setdefault(turns, []).append(str(c))
+        for d in range(len(turns) + 1):
+            members.setdefault(turns[:d], []).append(c)
+    out = []
+    for node, convs in members.items():
+        below = [n for n in members if n[: len(node)] == node]
+        childless = [n for n in below if not any(len(m) == len(n) + 1 and m[:-1] == n for m in below)]
+        saved = sum((len(members[n]) - 1) * len(n[-1][1]) for n in below if n)
+        kids = sum(len(m) == len(node) + 1 for m in below)
+        digest = hashlib.sha256(",".join(ends.get(node, [])).encode()).hexdigest()
+        out.append((convs[0], len(node), members[node[:-1]][0] if node else None, len(convs), kids, len(childless), saved, digest))
+    return sorted(map(str, out))
+
+
+def trie_rows(df):
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    return sorted(str(tuple(r[n] for n in names)) for r in df.collect())
+
+
+def copies(seed):
+    """Conversations of which many share their first turns or are the same."""
+    rnd = random.Random(seed)
+    pools = [[("user", f"t{i} " + "é" * i) for i in range(9)], [("assistant", f"t{i}") for i in range(9)]]
+    return [(c, t, *rnd.choice(pools)[min(8, t + (rnd.random() < 0.2))]) for c in range(-150, 350, 7) for t in range(rnd.randrange(1, 9))]
+
+
+@pytest.mark.parametrize("chunk,prime", [(512, prefix_trie.PRIME), (2, prefix_trie.PRIME), (3, 5)])
+def test_trie_by_chunks_and_with_collisions(spark, chunk, prime):
+    rows = ODD + copies(chunk)
+    got = trie_rows(prefix_trie.conversation_trie(conversations(spark, rows), chunk=chunk, prime=prime))
+    assert got == plain_trie(rows)
+
+
+def test_trie_of_nothing(spark):
+    assert prefix_trie.conversation_trie(conversations(spark, [])).count() == 0
+    assert prefix_trie.conversation_trie(conversations(spark, [(None, 0, "user", "x")])).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op12_structure_repair", "op13_prefix_trie"])
 def test_query_equals_its_sql(spark, small, name):
     from siftlake.llm import queries
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{small}/conversations.parquet')")
-    got, want = queries.queries()[name](spark, small).toPandas(), con.sql(queries.oracle_sql()[name]).df()
-    assert sorted(got.columns) == sorted(want.columns) and len(got) > 0
-    got, want = (sorted(map(str, df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))) for df in (got, want))
-    assert got == want
+    df = queries.queries()[name](spark, small)
+    columns = sorted(df.columns)
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    got = [tuple(r[c] for c in columns) for r in df.collect()]
+    assert got and sorted(map(str, got)) == sorted(map(str, want))
