@@ -311,12 +311,13 @@ def repaired(rows: DataFrame, *, role_order: str = "role", text_order: str = "te
     """
     spark = rows.sparkSession
     ship(spark)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = in_order(rows, role_order, text_order, ["conv_id", "turn", "role", "text", "copies"])
     segments = materialise(ordered.mapInArrow(_segments(segment), SEGMENTS_SQL), "repair-segments")
     seen = segments.select("seg", F.posexplode("keys").alias("i", "key"))
     first = seen.groupBy("key").agg(F.min(F.struct("seg", "i")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    repeats = seen.join(first, "key").filter(F.struct("seg", "i") != F.col("first")).groupBy("seg").agg(F.collect_list("i").alias("repeats"))
-    parts = segments.select("conv_id", "seg", "kinds", "turns").join(repeats, "seg", "left")
+    repeats = seen.join(first, "key").filter(F.struct("seg", "i") != F.col("first")).repartition(tasks, "seg").groupBy("seg").agg(F.collect_list("i").alias("repeats"))
+    parts = segments.select("conv_id", "seg", "kinds", "turns").repartition(tasks, "seg").join(repeats, "seg", "left")
     parts = materialise(parts.mapInArrow(_pass, PART_SQL), "repair-parts")
     longest = parts.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
     while longest > 1:  # one round for every factor of fan
