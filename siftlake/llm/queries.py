@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from siftlake.llm import bitsliced, dedup_exact, langid, licenses, lm, mixing, packing, prefix_trie, repair, simhash, token_files, toxicity
+from siftlake.llm import bitsliced, dedup_exact, langid, licenses, lm, mixing, packing, prefix_trie, repair, secrets, simhash, token_files, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_best_two_fit": packing.op8_best_two_fit,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
         "op10_toxicity_cnn": toxicity.op10_toxicity_cnn,
+        "op11_secret_spans": secrets.op11_secret_spans,
         "op12_structure_repair": repair.op12_structure_repair,
         "op13_prefix_trie": prefix_trie.op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
