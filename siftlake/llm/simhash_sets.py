@@ -10,6 +10,10 @@ of each group of texts so linked the whole sets decide, so no dissimilar pair is
 Equal segments are more than the principle asks for, so a pair may be missed. ``layout`` takes as many segments as
 keep the probability of that near 0.002 at similarity 0.8, less above, and widens them with the number of documents,
 so that a key holds some hundred texts by chance at any size.
+
+The share of differing bits is that of large sets; a few shingles scatter more. So every pair with a set of at most
+``SMALL`` shingles is found exactly, by a prefix join: with shingles ordered by how many small sets hold them, sets of
+similarity s share one of the first n - ceil(s * n) + 1, and those that do are compared in full as well.
 """
 
 from __future__ import annotations
@@ -35,6 +39,9 @@ SHARE = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 BLOCK = 4096
 #: The expected number of chains from which a pair at the least similarity is matched, and the bits after the key.
 CHAINS, REST = 6.8, 48
+#: Sets up to which no pair may be missed, and the size of the largest sets that are similar to those.
+SMALL = 30
+PARTNERS = math.floor(SMALL / SIMILARITY)
 
 
 def layout(documents: int) -> tuple[int, int]:
@@ -76,8 +83,9 @@ def _prints(bits: int):
         for batch in batches:
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             fps = [fingerprint(s, bits).tobytes() if len(s) else None for s in sets]
-            columns = [batch.column("doc_id"), pa.array([_class(s) for s in sets], pa.int64()), pa.array(fps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "class", "print"])
+            small = [s.view(np.int64) if 0 < len(s) <= PARTNERS else None for s in sets]
+            columns = [batch.column("doc_id"), pa.array([_class(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(small, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "class", "print", "small"])
 
     return prints
 
@@ -198,20 +206,43 @@ def links(docs: DataFrame, classes: DataFrame, groups: DataFrame, *, block: int
     Members of a group (``node, component``, its smallest node not listed) are compared in full. Only their sets are read again. A group with
     more than ``block`` members is cut into blocks, and every pair of its blocks is a group of its own.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = groups.groupBy(F.col("component").alias("key")).agg((F.count(F.lit(1)) + 1).alias("n"))
     members = groups.select(F.col("node").alias("rep"), F.col("component").alias("key")).unionByName(sizes.select(F.col("key").alias("rep"), "key"))
     found = members.join(sizes, "key").join(classes.select("rep", "class"), "rep")
     found = materialise(found, "near-members")
     rows = marked(docs, found.select("rep")).filter("hit").select("id", F.col("row.text").alias("text"))
     sets = rows.mapInArrow(_sets, "id long, class long, hashes binary").groupBy("class", F.col("id").alias("rep")).agg(F.first("hashes").alias("hashes"))
+    return _compared(found, sets, ["class", "rep"], block)
+
+
+def _compared(members: DataFrame, sets: DataFrame, by: list[str], block: int) -> DataFrame:
+    """``a, b``: links among the ``rep`` of each ``key``, which has about ``n`` of them; ``sets`` has their ``hashes``."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.ceil(F.col("n") / (block // 2)).cast("int")
-    dealt = found.withColumn("blocks", F.when(F.col("n") > block, blocks)).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("class", "rep", "key", simhash.pairs_of_blocks(F.col("blocks"), F.col("own")))
-    dealt = dealt.join(sets, ["class", "rep"]).select("key", "pair", "rep", "hashes")
+    dealt = members.withColumn("blocks", F.when(F.col("n") > block, blocks)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.select(*by, "key", simhash.pairs_of_blocks(F.col("blocks"), F.col("own")))
+    dealt = dealt.join(sets, by).select("key", "pair", "rep", "hashes")
     return dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_links, "a long, b long")
 
 
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.array(s, np.int64).tobytes() for s in batch.column("small").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "hashes"])
+
+
+def small_links(classes: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """``a, b``: links between the ``rep`` of small sets (``rep, small``), exact; as many as keep the components whole."""
+    rows = classes.filter("rep IS NOT NULL AND small IS NOT NULL").select("rep", "small")
+    held = rows.select("rep", F.size("small").alias("size"), F.explode("small").alias("token"))
+    uses = held.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1")  # others are in no two sets
+    ordered = held.join(uses, "token").groupBy("rep", "size").agg(F.sort_array(F.collect_list(F.struct("uses", "token"))).alias("tokens"))
+    prefix = F.expr(f"size - (size * {round(10 * SIMILARITY)} + 9) div 10 + 1 - (size - size(tokens))")  # those in one set come first
+    keys = ordered.withColumn("take", prefix.cast("int")).filter("take > 0").select("rep", F.inline(F.slice("tokens", 1, F.col("take"))))
+    members = materialise(keys.select("rep", F.col("token").alias("key"), F.col("uses").alias("n")), "near-small")
+    return _compared(members, rows.mapInArrow(_bytes, "rep long, hashes binary"), ["rep"], block)
+
+
 def near_components(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """One row per document: ``doc_id, component_id``, the smallest doc_id that links reach.
 
@@ -223,11 +254,12 @@ def near_components(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width, count = layout(docs.count())
-    prints = materialise(rows.mapInArrow(_prints(width * count), "doc_id long, class long, print binary"), "near-prints")
-    classes = materialise(prints.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("print").alias("print")), "near-classes")
+    prints = materialise(rows.mapInArrow(_prints(width * count), "doc_id long, class long, print binary, small array<long>"), "near-prints")
+    classes = materialise(prints.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("print").alias("print"), F.first("small").alias("small")), "near-classes")
     matched = candidates(classes.filter("rep IS NOT NULL AND print IS NOT NULL"), width, count)
     groups = connected_components(materialise(matched, "near-candidates"))
-    joined = connected_components(materialise(links(docs, classes, groups, block=block), "near-links"))
+    found = links(docs, classes, groups, block=block).unionByName(small_links(classes, block=block))
+    joined = connected_components(materialise(found, "near-links"))
     moved = classes.select("class", "rep").join(joined, F.col("rep") == F.col("node"), "left")
     moved = materialise(moved.select("class", F.coalesce("component", "rep").alias("component_id")), "near-components")
     return prints.select("doc_id", "class").join(moved, "class").select("doc_id", "component_id")
