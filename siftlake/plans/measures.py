@@ -43,8 +43,8 @@ def region_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 THRESHOLDS = [i / 10 for i in range(1, 11)]
-_CURVE = f"""{SCORED}, curve AS (SELECT lang, t / 10.0::DOUBLE AS threshold, count(*) FILTER (quality = 1 AND score >= t / 10.0::DOUBLE) / CAST(sum(quality) AS DOUBLE) AS tpr,
-  count(*) FILTER (quality = 0 AND score >= t / 10.0::DOUBLE) / CAST(sum(1 - quality) AS DOUBLE) AS fpr FROM scored, range(1, 11) r(t) GROUP BY lang, t)"""
+_CURVE = f"""{SCORED}, curve AS (SELECT lang, t / 10.0::DOUBLE AS threshold, count(*) FILTER (quality = 1 AND score >= t / 10.0::DOUBLE) / nullif(CAST(sum(quality) AS DOUBLE), 0) AS tpr,
+  count(*) FILTER (quality = 0 AND score >= t / 10.0::DOUBLE) / nullif(CAST(sum(1 - quality) AS DOUBLE), 0) AS fpr FROM scored, range(1, 11) r(t) GROUP BY lang, t)"""
 
 
 @query(f"WITH {_CURVE} SELECT lang, threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM curve")
