@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from siftlake.cluster import materialise, ship
 from siftlake.functions.scalars import hamming
 from siftlake.operators.components import connected_components
+from siftlake.operators.hashes import text_bits
 from siftlake.operators.ordering import range_bucket, with_place
 
 
@@ -21,21 +24,11 @@ SIMHASH_BITS = 60
 def simhash(docs: DataFrame, *, id_col: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id, keep..., hash``: a 60-bit SimHash of the distinct lower-cased blank-separated words, from their MD5.
 
-    A bit is set if it is in more than half of the words' first 15 hex digits. Words become rows and bits sums, so
-    the counting is one aggregation that combines before it shuffles. Null texts have no hash and no row. Rows that
-    repeat an id are rows of their own.
+    A bit is set if it is in more than half of the words' first 15 hex digits. Texts are read once and not shuffled. Null
+    texts have no hash and no row. Rows that repeat an id are rows of their own.
     """
-    rows = docs.filter(F.col(text).isNotNull()).withColumn("hashed_row", F.monotonically_increasing_id())
-    words = rows.select(
-        "hashed_row", F.col(id_col).alias("id"), *keep, F.explode(F.array_distinct(F.split(F.lower(text), " "))).alias("word")
-    )
-    hashed = words.select("hashed_row", "id", *keep, F.conv(F.substring(F.md5(F.encode("word", "UTF-8")), 1, 15), 16, 10).cast("long").alias("h"))
-    sums = [F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(SIMHASH_BITS)]
-    counts = hashed.groupBy("hashed_row", "id", *keep).agg(F.count(F.lit(1)).alias("n"), *sums)
-    bits = F.lit(0).cast("long")
-    for i in range(SIMHASH_BITS):
-        bits = bits.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return counts.select("id", *keep, bits.alias("hash"))
+    weights = 1 << np.arange(SIMHASH_BITS - 1, -1, -1, dtype=np.int64)
+    return text_bits(docs, id_col=id_col, text=text, keep=keep, digest=lambda w: hashlib.md5(w).digest(), bits=SIMHASH_BITS, kind="long", pack=lambda bits: (bits @ weights).tolist())
 
 
 def banded_pairs(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise
-from siftlake.operators import imaging, neardup
+from siftlake.operators import hashes as wide, imaging, neardup
 from siftlake.operators.ordering import range_bucket, with_place
 from siftlake.plans.registry import query
 from siftlake.sources.readers import table
@@ -93,6 +93,31 @@ def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.greedy_dedupe(docs, hashes(spark, sf_dir), bits=60, threshold=THRESHOLD, by="lang")
 
 
+WIDE_THRESHOLD = 6
+WIDE = """w AS (SELECT doc_id, lang, unnest(list_distinct(string_split(lower(text), ' '))) AS word FROM documents),
+x AS (SELECT word, sha256(word) AS hex FROM (SELECT DISTINCT word FROM w)),
+d AS (SELECT word, i, CAST('0x' || substr(hex, i + 1, 1) AS INTEGER) AS digit FROM x, range(64) r(i)),
+c AS (SELECT doc_id, lang, i, count(*) AS n, sum(digit >> 3) AS b3, sum((digit >> 2) & 1) AS b2, sum((digit >> 1) & 1) AS b1, sum(digit & 1) AS b0 FROM w JOIN d USING (word) GROUP BY ALL),
+wide AS (SELECT doc_id AS id, lang, CAST(string_agg(CASE WHEN 2 * b3 > n THEN '1' ELSE '0' END || CASE WHEN 2 * b2 > n THEN '1' ELSE '0' END
+  || CASE WHEN 2 * b1 > n THEN '1' ELSE '0' END || CASE WHEN 2 * b0 > n THEN '1' ELSE '0' END, '' ORDER BY i) AS BIT) AS hash FROM c GROUP BY doc_id, lang)"""
+
+
+@query(
+    f"""WITH RECURSIVE {WIDE},
+dist AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.hash, y.hash)) AS d FROM wide x JOIN wide y ON x.lang = y.lang AND x.id <> y.id),
+e AS (SELECT a, b FROM dist WHERE d <= {WIDE_THRESHOLD}),
+reach AS (SELECT id, id AS other FROM wide UNION SELECT r.id, e.b FROM reach r JOIN e ON r.other = e.a),
+g AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+SELECT g.id, component, CAST(min(d) AS INTEGER) AS nearest, count(*) OVER (PARTITION BY component) AS group_size FROM g LEFT JOIN dist ON dist.a = g.id GROUP BY g.id, component"""
+)
+def wide_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by 256-bit hashes, and every document's distance to the nearest other one of its language."""
+    rows = materialise(wide.wide_simhash(table(spark, sf_dir, "documents"), id_col="doc_id", text="text", keep=("lang",)), "wide-hashes")
+    members = materialise(wide.wide_groups(rows, threshold=WIDE_THRESHOLD, by="lang"), "wide-members")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("group_size"))
+    return members.join(sizes, "component").select("id", "component", "nearest", "group_size")
+
+
 BOXES = """boxes AS (
   SELECT l_partkey AS g, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS id, CAST(l_orderkey * 7 % 200 AS INTEGER) AS x0, CAST(l_orderkey % 150 AS INTEGER) AS y0,
          CAST(l_orderkey * 7 % 200 + 4 + l_quantity AS INTEGER) AS x1, CAST(l_orderkey % 150 + 4 + l_quantity AS INTEGER) AS y1
