@@ -72,13 +72,16 @@ def band_keys(words: Column, bands: int) -> Column:
     return F.array(*out)
 
 
-def _met(left: DataFrame, right: DataFrame, radius: int, ordered: bool) -> DataFrame:
-    """``g, a, b, distance``: rows ``g, id, h`` of both sides within the radius, each pair once, at its first equal band."""
+def _met(left: DataFrame, right: DataFrame, radius: int, which: str) -> DataFrame:
+    """``g, a, b, distance``: rows ``g, id, h`` of both sides within the radius, each pair once, at its first equal band.
+
+    ``which`` rows of the right a row meets: ``other``, ``later`` or ``earlier`` ones by id.
+    """
     bands = next(b for b in BANDS if b > radius)
     keyed = [df.select("g", "id", "h", band_keys(F.col("h"), bands).alias("keys")).select("g", "id", "h", "keys", F.posexplode("keys").alias("band", "value")) for df in (left, right)]
     a, b = keyed[0].alias("a"), keyed[1].alias("b")
     same = F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value"))
-    other = F.col("a.id") < F.col("b.id") if ordered else F.col("a.id") != F.col("b.id")
+    other = {"other": F.col("a.id") != F.col("b.id"), "later": F.col("a.id") < F.col("b.id"), "earlier": F.col("a.id") > F.col("b.id")}[which]
     equal = F.array_position(F.zip_with("a.keys", "b.keys", lambda x, y: x == y), F.lit(True)) - 1
     d = hamming_words(F.col("a.h"), F.col("b.h"))
     return a.join(b, same & other & (equal == F.col("a.band")) & (d <= radius)).select(F.col("a.g").alias("g"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.alias("distance"))
@@ -92,7 +95,7 @@ def wide_classes(hashes: DataFrame, by: str) -> DataFrame:
 
 def wide_pairs(classes: DataFrame, *, threshold: int) -> DataFrame:
     """``g, a, b, distance`` of the classes' ids with ``a < b`` and a distance of at most ``threshold`` (up to 31)."""
-    return _met(classes, classes, threshold, ordered=True)
+    return _met(classes, classes, threshold, "later")
 
 
 def _blocks(rows: DataFrame, side: str, size: int) -> DataFrame:
@@ -102,43 +105,48 @@ def _blocks(rows: DataFrame, side: str, size: int) -> DataFrame:
     return packed.select(F.col("g").alias(f"{side}_g"), F.col("block").alias(f"{side}_block"), F.col("rows.id").alias(f"{side}_ids"), F.flatten("rows.h").alias(f"{side}_words"))
 
 
-def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row of a block the least distance to another row of the other block."""
+def _least(earlier: bool):
+    """For each row of a block the least distance to another (earlier) row of the other block."""
 
     def signs(batch: pa.RecordBatch, name: str) -> np.ndarray:
         words = batch.column(name).flatten().to_numpy().astype(">i8")
         return np.unpackbits(words.view(np.uint8)).reshape(-1, BITS).astype(np.float32) * 2 - 1
 
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            a, b = (row.column(f"{s}_ids").flatten().to_numpy() for s in "ab")
-            d = (BITS - signs(row, "a_words") @ signs(row, "b_words").T) / 2
-            d[a[:, None] == b[None, :]] = BITS + 1
-            least = d.min(axis=1, initial=BITS + 1).astype(np.int32)
-            some = least <= BITS
-            yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(least[some])], names=["id", "nearest"])
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                a, b = (row.column(f"{s}_ids").flatten().to_numpy() for s in "ab")
+                d = (BITS - signs(row, "a_words") @ signs(row, "b_words").T) / 2
+                d[a[:, None] <= b[None, :] if earlier else a[:, None] == b[None, :]] = BITS + 1
+                low = d.min(axis=1, initial=BITS + 1).astype(np.int32)
+                some = low <= BITS
+                yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(low[some])], names=["id", "nearest"])
 
+    return least
 
-def wide_nearest(classes: DataFrame, *, radii: tuple[int, ...] = RADII, block: int = BLOCK) -> DataFrame:
-    """``id, nearest``: the least distance from a class to another class of its ``g``; none without another class.
 
-    Each round joins the classes without a neighbour yet with all, within a wider radius; a class that has one within it is done, as
-    no nearer one can be outside. The rest meets all in pairs of blocks.
+def nearest_among(rows: DataFrame, others: DataFrame, *, earlier: bool = False, radii: tuple[int, ...] = RADII, block: int = BLOCK) -> DataFrame:
+    """``id, nearest``: the least distance of a row ``g, id, h`` to one of the others of its ``g``, but for itself.
+
+    ``earlier`` looks at those of smaller id only. Rows without any have none here. Each round joins the rows without a
+    neighbour yet with the others, within a wider radius; a row that has one within it is done, as no nearer one
+    can be outside. The rest meets all in pairs of blocks.
     """
-    ship(classes.sparkSession)
-    open_, found = classes.select("g", "id", "h"), []
+    ship(rows.sparkSession)
+    open_, found = rows.select("g", "id", "h"), []
     for radius in radii:
-        near = materialise(_met(open_, classes, radius, ordered=False).groupBy(F.col("a").alias("id")).agg(F.min("distance").alias("nearest")), "wide-near")
+        met = _met(open_, others, radius, "earlier" if earlier else "other")
+        near = materialise(met.groupBy(F.col("a").alias("id")).agg(F.min("distance").alias("nearest")), "wide-near")
         found.append(near)
         open_ = materialise(open_.join(near.select("id"), "id", "left_anti").select("g", "id", "h"), "wide-open")
         if open_.isEmpty():
             break
     else:
-        parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        a, b = _blocks(open_, "a", block), _blocks(classes.select("g", "id", "h"), "b", block)
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        a, b = _blocks(open_, "a", block), _blocks(others.select("g", "id", "h"), "b", block)
         met = a.join(b, F.col("a_g").eqNullSafe(F.col("b_g"))).select("a_block", "a_ids", "a_words", "b_block", "b_ids", "b_words")
-        rest = met.repartition(parts, "a_block", "b_block").mapInArrow(_least, "id long, nearest int")
+        rest = met.repartition(parts, "a_block", "b_block").mapInArrow(_least(earlier), "id long, nearest int")
         found.append(rest.groupBy("id").agg(F.min("nearest").alias("nearest")))
     out = found[0]
     for more in found[1:]:
@@ -146,6 +154,11 @@ def wide_nearest(classes: DataFrame, *, radii: tuple[int, ...] = RADII, block: i
     return out
 
 
+def wide_nearest(classes: DataFrame, *, radii: tuple[int, ...] = RADII, block: int = BLOCK) -> DataFrame:
+    """``id, nearest``: the least distance from a class to another class of its ``g``; none without another class."""
+    return nearest_among(classes, classes, radii=radii, block=block)
+
+
 def wide_groups(hashes: DataFrame, *, threshold: int, by: str, radii: tuple[int, ...] = RADII) -> DataFrame:
     """``id, component, nearest`` of all rows: groups linked within the threshold, and the least distance to another row.
 

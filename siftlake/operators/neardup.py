@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from siftlake.cluster import materialise, ship
 from siftlake.functions.scalars import hamming
 from siftlake.operators.components import connected_components
-from siftlake.operators.hashes import text_bits
+from siftlake.operators.hashes import nearest_among, text_bits, wide_pairs
 from siftlake.operators.ordering import range_bucket, with_place
+from siftlake.operators.rules import Rule, decide
 
 
 SIMHASH_BITS = 60
@@ -154,8 +155,7 @@ def greedy_accept(rows: DataFrame, conflicts: DataFrame, *, most: int = CONFLICT
     ``rows`` has ``id`` (unique whole numbers) and ``eligible`` (passed every other rule); a row is accepted if it is
     eligible and no accepted row with a smaller id conflicts with it. ``conflicts`` has ``a < b``. Rows that no chain
     of conflicts connects do not matter to each other, so each component of conflicts is decided by itself: those of
-    up to ``most`` conflicts in order by one task, larger ones in rounds, in each of which the rows whose earlier
-    neighbours are all decided are decided themselves, as many rounds as it takes.
+    up to ``most`` conflicts in order by one task, larger ones by stretches of so many, see ``_refused_in_stretches``.
     """
     ship(rows.sparkSession)
     able = rows.filter("eligible").select("id")
@@ -167,24 +167,91 @@ def greedy_accept(rows: DataFrame, conflicts: DataFrame, *, most: int = CONFLICT
     edges = materialise(edges.join(sizes, "component"), "conflicts-by-component")
     small = edges.filter(F.col("size") <= most).drop("size").repartition("component").sortWithinPartitions("component", "b", "a")
     refused = materialise(small.mapInArrow(_refused, "id long"), "refused")
-    large = edges.filter(F.col("size") > most).select("a", "b")
+    large = edges.filter(F.col("size") > most).drop("size")
     if not large.isEmpty():
-        refused = refused.unionByName(_refused_in_rounds(materialise(large, "conflicts-large")))
+        refused = refused.unionByName(_refused_in_stretches(large, most))
     kept = able.join(refused.distinct(), "id", "left_anti").withColumn("accepted", F.lit(True))
     return rows.select("id").join(kept, "id", "left").select("id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
-def _refused_in_rounds(edges: DataFrame) -> DataFrame:
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    state = materialise(nodes.select("id", F.lit(None).cast("boolean").alias("accepted")), "decisions")
-    while not state.filter("accepted IS NULL").isEmpty():
-        earlier = edges.join(state, F.col("a") == F.col("id")).groupBy("b").agg(
-            F.max(F.coalesce("accepted", F.lit(False))).alias("blocked"), F.max(F.col("accepted").isNull()).alias("waits")
-        )
-        verdict = F.when(F.coalesce("blocked", F.lit(False)), F.lit(False)).when(~F.coalesce("waits", F.lit(False)), F.lit(True))
-        joined = state.join(earlier, F.col("id") == F.col("b"), "left")
-        state = materialise(joined.select("id", F.coalesce("accepted", verdict).alias("accepted")), "decisions")
-    return state.filter("NOT accepted").select("id")
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Decide rows in order as far as the edges at hand allow.
+
+    Edges ``component, v, q, b, known`` come sorted by component and b; ``b`` is refused if ``v`` is accepted (``q``) or
+    is refused (not ``q``). ``known`` says what ``v`` is, if that is known. What one edge decides alone is ``v`` or its
+    opposite and is put in its place. Out come decisions, or the edges that are left of a ``b``.
+    """
+    component, value, at, left, refused = None, {}, None, set(), False
+
+    def close() -> list[tuple]:
+        if at is None:
+            return []
+        if refused or any((v, not q) in left for v, q in left):
+            value[at] = False
+        elif not left:
+            value[at] = True
+        elif len(left) == 1:
+            (v, q), *_ = left
+            value[at] = (v, not q)
+        decided = value.get(at)
+        return [(component, at, decided, None, None)] if isinstance(decided, bool) else [(component, at, None, v, q) for v, q in left]
+
+    for batch in batches:
+        out = []
+        for c, v, q, b, known in zip(*(batch.column(n).to_pylist() for n in ("component", "v", "q", "b", "known"))):
+            if (c, b) != (component, at):
+                out += close()
+                value = value if c == component else {}
+                component, at, left, refused = c, b, set(), False
+            if not refused:
+                known = value.get(v) if known is None else known
+                if known is None:
+                    left.add((v, q))
+                elif isinstance(known, tuple):
+                    left.add((known[0], known[1] == q))
+                else:
+                    refused = known == q
+        yield _settled(out)
+    yield _settled(close())
+
+
+def _settled(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["component", "b", "accepted", "v", "q"])
+
+
+def _refused_in_stretches(edges: DataFrame, most: int) -> DataFrame:
+    """``id`` of the refused ones of ``component, a, b``, decided by stretches of about ``most`` edges.
+
+    All stretches are decided at once as far as they can be without each other. What depends on one row of another stretch is
+    that row or its opposite, so the next round has only the rows that others depend on: chains of any length shrink
+    by a stretch's length a round. Rows that none depends on wait, and are decided in the end from those that are known.
+    """
+    rows = edges.select("component", F.col("a").alias("v"), F.lit(True).alias("q"), "b")
+    later = edges.select(F.col("b").alias("v")).distinct().withColumn("later", F.lit(True))
+    rows = rows.join(later, "v", "left").select("component", "v", "q", "b", F.when(F.col("later").isNull(), True).alias("known"))
+    rows, decided, waiting = materialise(rows, "stretches"), [], []
+    while True:
+        parts = max(1, -(-rows.count() // most))
+        order = ["component", "b"]
+        out = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_settle, "component long, b long, accepted boolean, v long, q boolean")
+        out = materialise(out, "settled")
+        decided.append(out.filter("accepted IS NOT NULL").select("b", "accepted"))
+        open_ = out.filter("accepted IS NULL")
+        if open_.isEmpty():
+            break
+        wanted = materialise(open_.select(F.col("v").alias("b")).distinct(), "wanted")
+        waiting.append(open_.join(wanted, "b", "left_anti").select("b", "v", "q"))
+        known = decided[-1].select(F.col("b").alias("v"), F.col("accepted").alias("known"))
+        rows = materialise(open_.join(wanted, "b", "left_semi").join(known, "v", "left").select("component", "v", "q", "b", "known"), "stretches")
+    known = decided[0]
+    for more in decided[1:]:
+        known = known.unionByName(more)
+    for rest in reversed(waiting):
+        known = materialise(known, "decided")
+        hit = rest.join(known.select(F.col("b").alias("v"), "accepted"), "v").groupBy("b").agg((~F.max(F.col("accepted") == F.col("q"))).alias("accepted"))
+        known = known.unionByName(hit)
+    return known.filter("NOT accepted").select(F.col("b").alias("id"))
 
 
 def greedy_dedupe(rows: DataFrame, hashes: DataFrame, *, bits: int, threshold: int, by: str) -> DataFrame:
@@ -200,3 +267,22 @@ def greedy_dedupe(rows: DataFrame, hashes: DataFrame, *, bits: int, threshold: i
     decided = greedy_accept(firsts.select("id", F.lit(True).alias("eligible")), pairs).filter("accepted").select("id")
     stays = decided.unionByName(able.filter("h IS NULL").select("id")).withColumn("stays", F.lit(True))
     return rows.select("id").join(stays, "id", "left").select("id", F.coalesce("stays", F.lit(False)).alias("accepted"))
+
+
+def filter_in_order(rows: DataFrame, rules: Sequence[Rule], *, least: int, score: str = "phash_min_dist") -> DataFrame:
+    """``rows`` with ``score``, ``reject_reasons`` and ``passed``, as a pass in order of ``id`` gives them that knows the accepted rows.
+
+    ``rows`` has ``g``, ``id`` (unique whole numbers), ``h`` (a 256-bit hash, or null) and what the rules read. ``score`` is
+    the least distance to an earlier row of the same ``g`` that passed every rule (null without one); the rules may refuse a
+    row whose score is under ``least``, and no other one by it. So a row joins the state if no other rule refuses it and no earlier one of
+    the state is that near, which is decided on the conflicts alone; the score of every row, refused ones too, is then
+    its distance to the state.
+    """
+    known = rows.withColumn(score, F.lit(None).cast("int"))
+    able = materialise(decide(known, rules).filter("passed").select("g", "id", "h"), "filter-able")
+    firsts = materialise(able.filter("h IS NOT NULL").groupBy("g", "h").agg(F.min("id").alias("id")), "filter-firsts")
+    conflicts = wide_pairs(firsts, threshold=least - 1)
+    state = greedy_accept(firsts.select("id", F.lit(True).alias("eligible")), conflicts).filter("accepted").select("id")
+    state = materialise(firsts.join(state, "id", "left_semi"), "filter-state")
+    near = nearest_among(rows.filter("h IS NOT NULL"), state, earlier=True).select(F.col("id").alias("near_id"), F.col("nearest").cast("int").alias(score))
+    return decide(rows.join(near, F.col("id") == F.col("near_id"), "left").drop("near_id"), rules)

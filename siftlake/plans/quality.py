@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise
-from siftlake.operators import cluster, vectors as ops
+from siftlake.functions.scalars import dot, log_z, unit
+from siftlake.operators import cluster, neardup, vectors as ops
+from siftlake.operators.rules import geometry_rules, log_reference
 from siftlake.plans import common
 from siftlake.plans.common import VECTORS
 from siftlake.plans.registry import query
@@ -105,6 +107,62 @@ def sanity_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.groupBy("g").agg(F.every(F.abs(F.col("similarity") - 1) <= 1e-6).alias("self_nn_ok"))
 
 
+#: Levels of a component that make four bits of a hash, and the distance under which an accepted vector is a copy.
+LEVELS, NEAR = (-0.3, -0.2, 0.2, 0.3), 10
+_JUDGED = f"""z AS (SELECT g, id, v, list_sum(list_transform(v, lambda x: abs(x))) AS area, list_max(v) / -list_min(v) AS aspect,
+         CAST(array_to_string(list_transform(v, lambda x: {" || ".join(f"CASE WHEN x > {t}::DOUBLE THEN '1' ELSE '0' END" for t in LEVELS)}), '') AS BIT) AS h FROM v),
+lr AS (SELECT g, avg(ln(area)) AS am, stddev_samp(ln(area)) AS asd, quantile_cont(area, 0.05) AS p05, quantile_cont(area, 0.95) AS p95, avg(ln(aspect)) AS pm, stddev_samp(ln(aspect)) AS psd
+       FROM z WHERE id % 10 = 0 GROUP BY g),
+sc AS (SELECT z.g, z.id, z.h, z.area, abs((ln(area) - am) / asd) > 2.5 OR area < p05 OR area > p95 AS bad_area, abs((ln(aspect) - pm) / psd) > 2.5 AS bad_aspect,
+         nn.similarity < tau_low AS low, nn.similarity >= 0.98 AS copy, 1 - list_cosine_similarity(z.v, c.c) > tau_outlier AS outlier
+       FROM z JOIN lr USING (g) JOIN nn ON nn.g = z.g AND nn.id = z.id JOIN cal ON cal.g = z.g JOIN c ON c.g = z.g WHERE z.id % 10 <> 0)"""
+_CALIBRATION = f"""loo AS (SELECT a.g, a.id, max(list_cosine_similarity(a.v, b.v)) AS s FROM ref a JOIN ref b ON a.g = b.g AND a.id <> b.id GROUP BY a.g, a.id),
+u AS (SELECT g, id, i, v[i] / sqrt(list_inner_product(v, v)) AS x FROM ref, range(1, 65) t(i)),
+c AS (SELECT g, list(m ORDER BY i) AS c FROM (SELECT g, i, avg(x) AS m FROM u GROUP BY g, i) GROUP BY g),
+o AS (SELECT r.g, 1 - list_cosine_similarity(r.v, c.c) AS d FROM ref r JOIN c ON r.g = c.g),
+cal AS (SELECT l.g, tau_low, tau_outlier FROM (SELECT g, quantile_cont(s, 0.05) AS tau_low FROM loo GROUP BY g HAVING count(*) >= 3) l JOIN (SELECT g, quantile_cont(d, 0.95) AS tau_outlier FROM o GROUP BY g) q ON l.g = q.g)"""
+
+
+@query(
+    f"""WITH RECURSIVE {VECTORS}, {_NN}, {_CALIBRATION}, {_JUDGED},
+o2 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id) AS n, NOT (bad_area OR bad_aspect OR low OR copy OR outlier) AS able FROM sc),
+kept AS (
+  SELECT DISTINCT g, CAST(0 AS BIGINT) AS n, CAST([] AS BIT[]) AS hs, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS dist FROM sc
+  UNION ALL
+  SELECT q.g, q.n, CASE WHEN able AND coalesce(d, 999) >= {NEAR} THEN list_append(hs, h) ELSE hs END, q.id, d
+  FROM (SELECT o2.*, k.hs, list_min(list_transform(k.hs, lambda x: bit_count(xor(x, o2.h)))) AS d FROM kept k JOIN o2 ON o2.g = k.g AND o2.n = k.n + 1) q)
+SELECT o2.id, CAST(dist AS INTEGER) AS phash_min_dist, array_to_string(list_filter([CASE WHEN bad_area THEN 'AREA_OUT_OF_RANGE' END, CASE WHEN bad_aspect THEN 'ASPECT_OUT_OF_RANGE' END,
+  CASE WHEN dist < {NEAR} THEN 'PHASH_DUPLICATE' END, CASE WHEN low THEN 'NN_TOO_LOW' END, CASE WHEN copy THEN 'NN_TOO_HIGH_COPY' END, CASE WHEN outlier THEN 'EMBEDDING_OUTLIER' END], lambda x: x IS NOT NULL), ',') AS reasons
+FROM o2 JOIN kept ON kept.id = o2.id"""
+)
+def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six-rule filter over generated vectors, whose accepted rows alone are what later ones may be copies of.
+
+    Thresholds come from the reference vectors: leave-one-out similarities, distances to the centroid, and logs of two
+    measures of size; a vector's hash has four bits a component, by the levels that it is above.
+    """
+    real, generated = common.vectors(spark, sf_dir)
+    measures = {"area": F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)), "aspect": F.array_max("v") / -F.array_min("v")}
+    reference = log_reference(real.withColumns(measures), "g", area="area", aspect="aspect")
+    thresholds = reference.join(ops.calibrate(real, by="g").drop("n"), "g").join(ops.centroids(real, by="g"), "g")
+    nearest = ops.nearest_neighbours(generated, real, by="g").select("g", "id", F.col("similarity").alias("nn_score"))
+    bits = F.array_join(F.transform("v", lambda x: F.concat(*[F.when(x > t, "1").otherwise("0") for t in LEVELS])), "")
+    word = lambda i: F.conv(F.substring(F.col("bits"), 64 * i + 1, 64), 2, -10).cast("long")
+    rows = generated.withColumns(measures | {"bits": bits}).join(thresholds, "g").join(nearest, ["g", "id"])
+    scores = {
+        "h": F.array(*[word(i) for i in range(4)]),
+        "roi_containment": F.lit(1.0),
+        "area_ratio": F.col("area"),
+        "area_zscore": log_z(F.col("area"), F.col("area_mean_log"), F.col("area_std_log")),
+        "aspect_zscore": log_z(F.col("aspect"), F.col("aspect_mean_log"), F.col("aspect_std_log")),
+        "outlier_score": 1 - dot(unit(F.col("v")), F.col("centroid")),
+        "seam_score": F.lit(1.0),
+    }
+    judged = materialise(rows.withColumns(scores).drop("v", "bits", "centroid"), "quality-scores")
+    out = neardup.filter_in_order(judged, geometry_rules(phash_min=NEAR), least=NEAR)
+    return out.select("id", "phash_min_dist", F.array_join("reject_reasons", ",").alias("reasons"))
+
+
 @query()
 def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ward clusters of up to 24 representatives of each label, taken in seeded order."""

@@ -94,3 +94,62 @@ def test_groups_with_nearest(spark):
         d = [(h ^ k).bit_count() for j, o, k in rows if j != i and o == g and h is not None and k is not None]
         assert got[i] == (part[i], min(d) if d else None)
     assert hashes.wide_groups(frame(spark, []), threshold=6, by="g").count() == 0
+
+
+def judged(rows, least):
+    """The pass in order, one row after another."""
+    state, out = {}, {}
+    for i, g, h, bad in rows:
+        near = [(h ^ k).bit_count() for k in state.get(g, [])] if h is not None else []
+        score = min(near) if near else None
+        reasons = [r for r, on in (("AREA_OUT_OF_RANGE", bad), ("PHASH_DUPLICATE", score is not None and score < least)) if on]
+        out[i] = (score, reasons)
+        if not reasons and h is not None:
+            state.setdefault(g, []).append(h)
+    return out
+
+
+@pytest.mark.parametrize("least,seed", [(5, 1), (8, 2), (15, 3)])
+def test_filter_whose_state_is_what_it_accepted(spark, least, seed):
+    from pyspark.sql import functions as F
+
+    from siftlake.operators.rules import Rule
+
+    rnd = random.Random(seed)
+    rows = [(i, g or "n", h, rnd.random() < 0.3) for i, g, h in made(seed)] + [(800, "n", None, False), (801, "n", None, True)]
+    df = spark.createDataFrame([(i, g, None if h is None else words_of(h), bad) for i, g, h, bad in rows], "id long, g string, h array<long>, bad boolean")
+    rules = [Rule("area", "AREA_OUT_OF_RANGE", F.col("bad")), Rule("phash", "PHASH_DUPLICATE", F.col("phash_min_dist") < least)]
+    got = {r.id: (r.phash_min_dist, r.reject_reasons) for r in neardup.filter_in_order(df, rules, least=least).collect()}
+    assert got == judged(rows, least)
+    assert any("PHASH_DUPLICATE" in r for _, r in got.values()) and any(s is not None and s > 40 for s, _ in got.values())
+
+
+def accepted(n, edges):
+    before, ok = {}, [True] * n
+    for a, b in edges:
+        before.setdefault(b, []).append(a)
+    for b in range(n):
+        ok[b] = not any(ok[a] for a in before.get(b, ()))
+    return ok
+
+
+def graphs():
+    rnd = random.Random(9)
+    shuffled = list(range(600))
+    rnd.shuffle(shuffled)
+    return {
+        "random": (200, sorted({tuple(sorted(rnd.sample(range(200), 2))) for _ in range(420)}), 60),
+        "ladder": (120, [(i, j) for i in range(120) for j in (i + 1, i + 2) if j < 120], 60),
+        "chain": (20_000, [(i, i + 1) for i in range(19_999)], 500),
+        "shuffled chain": (600, [tuple(sorted(e)) for e in zip(shuffled, shuffled[1:])], 40),
+        "star": (300, [(0, i) for i in range(1, 300)] + [(i, 299) for i in range(1, 299)], 50),
+    }
+
+
+@pytest.mark.parametrize("name", list(graphs()))
+def test_large_components_in_stretches(spark, name):
+    n, edges, most = graphs()[name]
+    rows = spark.range(n).selectExpr("id", "true AS eligible")
+    got = neardup.greedy_accept(rows, spark.createDataFrame(edges, "a long, b long"), most=most).collect()
+    ok = accepted(n, edges)
+    assert len(got) == n and all(r.accepted == ok[r.id] for r in got)
