@@ -67,7 +67,7 @@ def ledger_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     for part in (labels.filter("toxic = 1"), labels.filter("toxic <> 1 OR toxic IS NULL")):
         sinks.append_unique(signed(part), path, "doc_id")
-    return sinks.pending(signed(table(spark, sf_dir, "documents")), spark.read.parquet(path), "doc_id").select("doc_id")
+    return sinks.pending(signed(table(spark, sf_dir, "documents")), sinks.read_ledger(spark, path), "doc_id").select("doc_id")
 
 
 @query(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from siftlake.functions.scalars import portable_path
-from siftlake.operators.expect import ContractError, duplicates, require_none
+from siftlake.operators.expect import ContractError, duplicates, require_none, set_difference_report
+from siftlake.operators.file_order import PLACE, first_rows, located
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -36,15 +37,19 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return df
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, key: str | None = None) -> DataFrame:
-    """JSON lines with exactly the schema's top-level fields; a missing or further one, or a repeated key, is an error."""
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, key: str | None = None, *, places: bool = False) -> DataFrame:
+    """JSON lines with exactly the schema's top-level fields; a missing or further one, or a repeated key, is an error.
+
+    ``places`` adds the columns of ``file_order.located``.
+    """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = located(spark.read.text(path)).filter(F.trim("value") != "")
     names = F.array(*[F.lit(n) for n in sorted(schema.fieldNames())])
     odd = lines.filter(F.coalesce(F.array_sort(F.json_object_keys("value")) != names, F.lit(True)))
     require_none(odd.select(F.substring("value", 1, 200).alias("line")), f"{path}: other fields than declared")
-    rows = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    rows = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), *(PLACE if places else ()))
+    rows = rows.select("r.*", *(PLACE if places else ()))
     if key:
         require_none(duplicates(rows, key), f"{path}: repeated {key}")
     return rows
@@ -53,16 +58,68 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, key: st
 def read_inputs(
     spark: SparkSession, paths: Mapping[str, str], schema: StructType | str, *, key: str, keep=None, limit: int | None = None
 ) -> DataFrame:
-    """Several JSON-lines inputs with ``input_name``; ``keep`` filters first, then at most ``limit`` rows of each by key."""
+    """Several JSON-lines inputs with ``input_name``; ``keep`` filters first, then the first ``limit`` rows of each in file order."""
     out = None
     for name, path in paths.items():
-        rows = read_jsonl(spark, path, schema, key)
-        rows = rows.filter(keep) if keep is not None else rows
-        if limit is not None:
-            rows = rows.orderBy(key).limit(limit)
-        rows = rows.withColumn("input_name", F.lit(name))
+        rows = read_jsonl(spark, path, schema, key, places=True)
+        rows = (rows.filter(keep) if keep is not None else rows).withColumn("input_name", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out.drop(*PLACE) if limit is None else first_rows(out, limit, by=["input_name"])
+
+
+def exact_prefix(
+    spark: SparkSession, folder: str, schema: StructType | str, n: int, *, key: str, expected: DataFrame | None = None, keep=None
+) -> DataFrame:
+    """The first ``n`` JSON lines of a folder in file order, of those to ``keep``, with their ``ordinal``; fail closed.
+
+    ``expected`` holds ``path, sha256`` of all files (up to 2 GB each) as ``inventory`` gave them: other files or bytes are an error, and so
+    are fewer than ``n`` rows and a key that occurs twice among them. Lines after the prefix may repeat keys.
+    """
+    if expected is not None:
+        found = inventory(spark, folder)
+        require_none(set_difference_report(found, expected, "path", "sha256"), f"{folder}: not the expected files")
+    rows = read_jsonl(spark, folder, schema, places=True)
+    prefix = first_rows(rows.filter(keep) if keep is not None else rows, n, name="ordinal")
+    rows_found, keys_found = prefix.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+    if rows_found != n:
+        raise ContractError(f"{folder}: {n} rows wanted, {rows_found} found")
+    if keys_found != n:
+        raise ContractError(f"{folder}: repeated or null {key} among the first {n} rows")
+    return prefix
+
+
+def scan_jsonl(spark: SparkSession, path: str, schema: StructType | str, where=None) -> DataFrame:
+    """JSON lines through the built-in scan: conditions on top-level columns reach it, and only columns in use are parsed.
+
+    Fields beyond the schema are ignored and absent ones null; a line that is no JSON of these types is an error when read, unless
+    a condition has refused it by then. ``read_jsonl`` checks more and reads all.
+    """
+    rows = spark.read.schema(schema).json(path, mode="FAILFAST")
+    return rows.filter(where) if where is not None else rows
+
+
+def read_decisions(spark: SparkSession, path: str, schema: StructType | str, *, reasons: str = "reject_reasons") -> DataFrame:
+    """JSON lines of decisions; one without its array of ``reasons`` is an error when read. An empty array is none."""
+    rows = scan_jsonl(spark, path, schema)
+    lacking = F.raise_error(F.lit(f"{path}: a decision without {reasons}")).cast(dict(rows.dtypes)[reasons])
+    return rows.withColumn(reasons, F.when(F.col(reasons).isNull(), lacking).otherwise(F.col(reasons)))
+
+
+def read_sidecars(spark: SparkSession, folder: str, schema: StructType | str, *, record: str = "record", pattern: str = "*.json") -> DataFrame:
+    """One JSON document a file, anywhere below a folder: its fields, and the ``sidecar`` it came from.
+
+    A document of other types, or without its ``record``, is an error when read. Names not of the ``pattern`` are left unread;
+    so are files that a condition on ``sidecar`` excludes.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    rows = files.select(F.col("_metadata.file_path").alias("sidecar"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("sidecar", "r.*")
+    lacking = F.raise_error(F.concat(F.col("sidecar"), F.lit(f": no {record}"))).cast(dict(rows.dtypes)[record])
+    return rows.withColumn(record, F.when(F.col(record).isNull(), lacking).otherwise(F.col(record)))
+
+
+def sidecar_records(sidecars: DataFrame, order: Sequence[str], *, record: str = "record") -> DataFrame:
+    """The records of sidecars, sorted by ``order``, columns of the sidecar or fields of its record (``record.name``)."""
+    return sidecars.orderBy(*order).select(f"{record}.*")
 
 
 def read_document(spark: SparkSession, path: str, schema: StructType | str, sidecar: str | None = None) -> DataFrame:
