@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from siftlake.plans import duplicates, files, filtering, measures, quality, relational, release, sampling, segmentation, verdicts  # noqa: F401
+    from siftlake.plans import bundles, duplicates, files, filtering, measures, quality, relational, release, sampling, segmentation, verdicts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
