@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 #: Fixed patterns: kinds of findings in text lines.
 SECRETS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "github_token": r"gh[oprsu]_[A-Za-z0-9]{20,}",
-    "hub_token": r"hf_[A-Za-z0-9]{20,}",
+    "githuggingface_token": r"gh[oprsu]_[A-Za-z0-9]{20,}",
+    "huggingface_token": r"hf_[A-Za-z0-9]{20,}",
     "openai_key": r"sk-[A-Za-z0-9_-]{20,}",
     "google_api_key": r"AIza[0-9A-Za-z_-]{20,}",
     "aws_key": r"AKIA[0-9A-Z]{16}",

@@ -152,8 +152,8 @@ def personal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     _LINES
     + """ SELECT doc_id, line, kind FROM (
   SELECT doc_id, line, 'private_key' AS kind FROM l WHERE regexp_matches(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----')
-  UNION ALL SELECT doc_id, line, 'github_token' FROM l WHERE regexp_matches(t, 'gh[oprsu]_[A-Za-z0-9]{20,}')
-  UNION ALL SELECT doc_id, line, 'hub_token' FROM l WHERE regexp_matches(t, 'hf_[A-Za-z0-9]{20,}')
+  UNION ALL SELECT doc_id, line, 'githuggingface_token' FROM l WHERE regexp_matches(t, 'gh[oprsu]_[A-Za-z0-9]{20,}')
+  UNION ALL SELECT doc_id, line, 'huggingface_token' FROM l WHERE regexp_matches(t, 'hf_[A-Za-z0-9]{20,}')
   UNION ALL SELECT doc_id, line, 'openai_key' FROM l WHERE regexp_matches(t, 'sk-[A-Za-z0-9_-]{20,}')
   UNION ALL SELECT doc_id, line, 'google_api_key' FROM l WHERE regexp_matches(t, 'AIza[0-9A-Za-z_-]{20,}')
   UNION ALL SELECT doc_id, line, 'aws_key' FROM l WHERE regexp_matches(t, 'AKIA[0-9A-Z]{16}')

@@ -182,9 +182,12 @@ def nested_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.filter(F.size("turns") >= 3).select("conv_id", F.inline("turns"))
 
 
-@query("SELECT CAST(l_partkey AS VARCHAR) AS k, count(DISTINCT l_returnflag) AS n_pools FROM lineitem GROUP BY l_partkey")
+@query("SELECT CAST(k AS VARCHAR) AS k, count(*) AS n_pools FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT DISTINCT o_custkey FROM orders) GROUP BY k")
 def pool_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pools = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("k"), "l_returnflag", content_hash(F.col("l_partkey")).alias("origin")).distinct()
+    """Customers by themselves and as orders know them; the two must give a key the same name."""
+    named = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    pools = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_name").alias("origin"))
+    pools = pools.unionByName(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("k"), named.alias("origin")).distinct())
     return lineage.merged_pool(pools, key="k", origin="origin").select("k", "n_pools")
 
 

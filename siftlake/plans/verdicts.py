@@ -162,7 +162,8 @@ SELECT name, ok, name = 'unique_texts' AS waived, (SELECT bool_and(ok OR name =
 )
 def named_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    unique = docs.agg((F.count(F.lit(1)) == F.count_distinct("doc_id")).alias("unique_ids"), (F.count(F.lit(1)) == F.count_distinct("text")).alias("unique_texts"))
+    keys = docs.select("doc_id", F.sha2("text", 256).alias("sha"))  # texts are not shuffled
+    unique = keys.agg((F.count(F.lit(1)) == F.count_distinct("doc_id")).alias("unique_ids"), (F.count(F.lit(1)) == F.count_distinct("sha")).alias("unique_texts"))
     unique = unique.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("ok")) for c in unique.columns])))
     known = expect.missing(labels, docs, "doc_id").agg(F.lit("labels_known").alias("name"), (F.count(F.lit(1)) == 0).alias("ok"))
     return expect.named_checks(unique.unionByName(known), spark.createDataFrame([("unique_texts",)], "name string"))
