@@ -375,7 +375,7 @@ def test_secret_kinds(spark):
     lines = ["gho_" + "a" * 20, "hf_" + "b" * 20, "sk-" + "c-_" * 7, "AIza" + "d" * 20, r"see c:\\users\\jo doe\\x", "D:/Users/<name>/x", "gho_short", r"C:\Users\x\y"]
     df = spark.createDataFrame([(0, "\n".join(lines))], "id int, t string")
     got = {(r.line, r.kind) for r in scan.scan_lines(df, key="id", text="t", patterns=scan.SECRETS).collect()}
-    assert got == {(1, "githuggingface_token"), (2, "huggingface_token"), (3, "openai_key"), (4, "google_api_key"), (5, "windows_user_path"), (8, "windows_user_path")}
+    assert got == {(1, "github_token"), (2, "huggingface_token"), (3, "openai_key"), (4, "google_api_key"), (5, "windows_user_path"), (8, "windows_user_path")}
 
 
 def test_long_chains_of_conflicts(spark):
