@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise, ship
 from siftlake.functions.scalars import unit
+from siftlake.operators.quantiles import with_quantiles
 from siftlake.operators.vectors import BLOCK
 
 VIEWS, ALL, OBJECT_ALL = ("unfiltered", "filtered"), "__all__", "object_all"
@@ -226,8 +227,8 @@ def quality_bundle(generated: DataFrame, real: DataFrame, *, inputs: Sequence[st
     by_group = near.join(pairs, ["object", "input_name", "type", "passed", "real_type"]).groupBy("side", *GROUP, "id").agg(F.max("best").alias("best"))
     by_group = materialise(by_group.select("side", *GROUP, "id", (-F.col("best.minus")).alias("neighbour"), F.col("best.similarity").alias("similarity")), "bundle-near")
     mine = by_group.filter("side = 'x'")
-    quantiles = [F.percentile("similarity", F.lit(q)).alias(f"nn_{n}") for n, q in (("median", 0.5), ("p05", 0.05), ("p95", 0.95))]
-    neighbours = mine.groupBy(*GROUP).agg(F.avg("similarity").alias("nn_mean"), F.min("similarity").alias("nn_min"), *quantiles)
+    neighbours = mine.groupBy(*GROUP).agg(F.avg("similarity").alias("nn_mean"), F.min("similarity").alias("nn_min"))
+    neighbours = with_quantiles(neighbours, mine, by=GROUP, values={"nn": F.col("similarity")}, at={"median": 0.5, "p05": 0.05, "p95": 0.95})
     back = by_group.filter("side = 'r'").select(*GROUP, F.col("id").alias("neighbour"), F.col("neighbour").alias("id"))
     mutual = mine.join(back, [*GROUP, "id", "neighbour"]).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("mutual"))
 

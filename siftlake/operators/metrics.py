@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlake.operators.quantiles import with_quantiles
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -122,6 +124,6 @@ def per_region_curve(pixels: DataFrame, regions: DataFrame, thresholds: Sequence
 def score_summary(df: DataFrame, *, by: Sequence[str], score: str, inside: Column, threshold: float = 0.5) -> DataFrame:
     """Maximum, upper percentiles, counts over the threshold, and maxima and means inside and outside."""
     s = F.col(score)
-    quantiles = [F.percentile(s, F.lit(q)).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999))]
     parts = [f(F.when(c, s)).alias(f"{n}_{w}") for w, c in (("inside", inside), ("outside", ~inside)) for n, f in (("max", F.max), ("mean", F.avg))]
-    return df.groupBy(*by).agg(F.max(s).alias("max"), *quantiles, F.count_if(s >= threshold).alias("n_over"), *parts)
+    rows = df.groupBy(*by).agg(F.max(s).alias("max"), F.count_if(s >= threshold).alias("n_over"), *parts)
+    return with_quantiles(rows, df, by=by, values={"": s}, at={"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999})

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.operators.quantiles import with_quantiles
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -71,8 +73,8 @@ def log_reference(df: DataFrame, by: str, **columns: str) -> DataFrame:
     for name, column in columns.items():
         log = F.ln(F.col(column))
         out += [F.avg(log).alias(f"{name}_mean_log"), F.stddev_samp(log).alias(f"{name}_std_log")]
-        out += [F.percentile(F.col(column), F.lit(q)).alias(f"{name}_{p}") for p, q in (("p05", 0.05), ("p95", 0.95))]
-    return df.groupBy(by).agg(*out)
+    values = {name: F.col(column) for name, column in columns.items()}
+    return with_quantiles(df.groupBy(by).agg(*out), df, by=[by], values=values, at={"p05": 0.05, "p95": 0.95})
 
 
 def lower_quantile(values: Column, q: float) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise, ship
 from siftlake.functions.scalars import dot, unit
+from siftlake.operators.quantiles import group_quantiles, with_quantiles
 
 BLOCK = 2048
 
@@ -165,8 +166,8 @@ def frechet_distance(real: DataFrame, generated: DataFrame, *, by: str, vector:
 
 def neighbour_summary(nearest: DataFrame) -> DataFrame:
     """Mean, median, p05 and p95 of similarities by group."""
-    q = {f"nn_{n}": F.percentile("similarity", F.lit(p)) for n, p in (("median", 0.5), ("p05", 0.05), ("p95", 0.95))}
-    return nearest.groupBy("g").agg(F.avg("similarity").alias("nn_mean"), *[c.alias(n) for n, c in q.items()])
+    means = nearest.groupBy("g").agg(F.avg("similarity").alias("nn_mean"))
+    return with_quantiles(means, nearest, by=["g"], values={"nn": F.col("similarity")}, at={"median": 0.5, "p05": 0.05, "p95": 0.95})
 
 
 def centroids(df: DataFrame, *, by: str, vector: str = "v") -> DataFrame:
@@ -183,8 +184,10 @@ def calibrate(reference: DataFrame, *, by: str, id_col: str = "id", vector: str
     1 - cosine to the centroid.
     """
     nearest = nearest_neighbours(reference, reference, by=by, id_col=id_col, vector=vector, skip_self=True)
-    lows = nearest.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile("similarity", F.lit(low)).alias("tau_low"))
+    nearest = materialise(nearest.select("g", "similarity"), "calibration-nearest")
+    counts = nearest.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    lows = with_quantiles(counts, nearest, by=["g"], values={"tau": F.col("similarity")}, at={"low": low})
     center = materialise(centroids(reference, by=by, vector=vector), "centroids")
     rows = reference.select(F.col(by).cast("string").alias("g"), unit(F.col(vector)).alias("v")).join(center, "g")
-    highs = rows.groupBy("g").agg(F.percentile(1 - dot(F.col("v"), F.col("centroid")), F.lit(high)).alias("tau_outlier"))
+    highs = group_quantiles(rows, by=["g"], values={"tau": 1 - dot(F.col("v"), F.col("centroid"))}, at={"outlier": high})
     return lows.filter("n >= 3").join(highs, "g")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftlake.cluster import materialise
 from siftlake.functions.scalars import log_z
 from siftlake.operators import lineage, rules, scan
+from siftlake.operators.quantiles import with_quantiles
 from siftlake.plans.common import SAMPLES, samples
 from siftlake.plans.registry import query
 from siftlake.sources.readers import table
@@ -111,8 +112,10 @@ def log_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(quantile_cont(CAST(n_chars AS DOUBLE), 0.95), 6) AS p95, max(n_chars) AS most FROM documents GROUP BY lang"""
 )
 def linear_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quantiles = [F.round(F.percentile("n_chars", F.lit(q)), 6).alias(n) for n, q in (("p05", 0.05), ("median", 0.5), ("p95", 0.95))]
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.min("n_chars").alias("least"), *quantiles, F.max("n_chars").alias("most"))
+    docs, at = table(spark, sf_dir, "documents"), {"p05": 0.05, "median": 0.5, "p95": 0.95}
+    ends = docs.groupBy("lang").agg(F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    rows = with_quantiles(ends, docs, by=["lang"], values={"": F.col("n_chars")}, at=at)
+    return rows.select("lang", "least", *[F.round(n, 6).alias(n) for n in at], "most")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions.scalars import content_hash, is_close
 from siftlake.operators import expect, lineage, replicate
+from siftlake.operators.quantiles import group_quantiles
 from siftlake.plans.common import RUNS, SAMPLES, runs, samples
 from siftlake.plans.registry import query
 from siftlake.sources import sinks
@@ -42,7 +43,7 @@ SELECT doc_id, d.lang, n_chars FROM documents d JOIN b ON d.lang = b.lang WHERE
 )
 def band_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    bands = docs.groupBy("lang").agg(F.percentile("n_chars", F.lit(0.25)).alias("low"), F.percentile("n_chars", F.lit(0.75)).alias("high"))
+    bands = group_quantiles(docs, by=["lang"], values={"": F.col("n_chars")}, at={"low": 0.25, "high": 0.75})
     return docs.join(bands, "lang").filter(F.col("n_chars").between(F.col("low"), F.col("high"))).select("doc_id", "lang", "n_chars")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftlake.functions.scalars import derived_seed
 from siftlake.operators import replicate, sampling
 from siftlake.operators.ordering import range_bucket, with_place
+from siftlake.operators.quantiles import group_quantiles
 from siftlake.plans.common import SCORED, scored
 from siftlake.plans.registry import query
 from siftlake.sources.readers import table
@@ -149,7 +150,7 @@ SELECT arm, lang, doc_id FROM r, m WHERE nth <= m.n"""
 )
 def matched_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
-    bands = docs.groupBy("lang").agg(F.percentile("n_chars", F.lit(0.4)).alias("low"), F.percentile("n_chars", F.lit(0.6)).alias("high"))
+    bands = group_quantiles(docs, by=["lang"], values={"": F.col("n_chars")}, at={"low": 0.4, "high": 0.6})
     return sampling.matched_arms(docs, bands, by="lang", key="doc_id", value="n_chars", seed=SEED).select("arm", "lang", "doc_id")
 
 
