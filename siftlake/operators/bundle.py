@@ -11,120 +11,30 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise, ship
 from siftlake.functions.scalars import unit
+from siftlake.operators.kernels import PARTIALS, SUM_SQL, added, places, taken
 from siftlake.operators.quantiles import with_quantiles
 from siftlake.operators.vectors import BLOCK
 
 VIEWS, ALL, OBJECT_ALL = ("unfiltered", "filtered"), "__all__", "object_all"
 SEGMENT = ("object", "input_name", "type", "passed")
 GROUP = ("view", "input_name", "object", "defect_type")
-#: Dimensions up to which third moments are taken (357,760 features), segments a task adds up at once, and partial sums of
-#: a segment before they are added up by group. Features go in pieces: up to degree 2, then ``PIECE`` at a time.
-LARGEST, HELD, PARTIALS, PIECE = 128, 64, 64, 4096
-
-
-@lru_cache(maxsize=2)
-def _places(d: int) -> tuple[np.ndarray, ...]:
-    """Row, column (and depth) of the distinct entries of symmetric tensors of degree 2 and 3, and every feature's weight.
-
-    The kernel (x.y / d + 1)^3 is the inner product of the monomials up to degree 3 with the square of these weights.
-    """
-    i2, j2 = np.triu_indices(d)
-    i3, j3, k3 = (np.concatenate(c) for c in zip(*[(np.full((d - i) * (d - i + 1) // 2, i), *(t + i for t in np.triu_indices(d - i))) for i in range(d)]))
-    orders2 = np.where(i2 == j2, 1, 2)
-    equal = (i3 == j3).astype(int) + (j3 == k3) + (i3 == k3)
-    orders3 = np.select([equal == 3, equal == 1], [1, 3], 6)
-    weight = np.sqrt(np.concatenate([[1.0], np.full(d, 3 / d), 3 * orders2 / d**2, orders3 / d**3]))
-    return i2, j2, i3, j3, k3, weight
-
-
-def features(x: np.ndarray) -> np.ndarray:
-    """The sum of the kernel's features over the rows of a matrix; ``features(x) @ features(y)`` is the sum over all pairs."""
-    n, d = x.shape
-    i2, j2, *_, weight = _places(d)
-    second = x.T @ x
-    third = [((x * x[:, i : i + 1]).T @ x[:, i:])[i:] for i in range(d)]
-    third = [t[np.triu_indices(d - i)] for i, t in enumerate(third)]
-    return np.concatenate([[n], x.sum(axis=0), second[i2, j2], *third]) * weight
-
-
 KEY = ("side", *SEGMENT)
 KEY_SQL = "side string, object string, input_name string, type string, passed boolean"
-SUM_SQL = "piece int, diagonal double, features array<double>"
-TYPES = {"passed": pa.bool_(), "piece": pa.int32(), "diagonal": pa.float64(), "features": pa.list_(pa.float64())}
-
-
-def _rows(rows: list[tuple], names: Sequence[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, TYPES.get(n, pa.string())) for n, c in zip(names, zip(*rows))], names=list(names))
-
-
-def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's sums of features for each segment, in pieces. The kernel's diagonal goes with the first piece."""
-    held: dict[tuple, list] = {}
-
-    def emit() -> Iterator[pa.RecordBatch]:
-        for key, (diagonal, f, d) in held.items():
-            low = 1 + d + d * (d + 1) // 2
-            cuts = [0, *range(low, len(f), PIECE), len(f)]
-            yield _rows([(*key, i, 0.0 if i else diagonal, f[b:e]) for i, (b, e) in enumerate(zip(cuts, cuts[1:]))], (*KEY, "piece", "diagonal", "features"))
-        held.clear()
-
-    for batch in batches:
-        x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-        d = x.shape[1]
-        if d > LARGEST:
-            raise ValueError(f"vectors of {d} dimensions, at most {LARGEST} are taken")
-        order: dict[tuple, list[int]] = {}
-        for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in KEY))):
-            order.setdefault(key, []).append(i)
-        for key, own in order.items():
-            part = x[own]
-            entry = held.setdefault(key, [0.0, 0.0, d])
-            entry[0] += float((((part**2).sum(axis=1) / d + 1) ** 3).sum())
-            entry[1] = entry[1] + features(part)
-        if len(held) > HELD:
-            yield from emit()
-    yield from emit()
-
-
-def _folded(names: Sequence[str]):
-    """Add up rows that come sorted by ``names`` and piece."""
-
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, diagonal, total, columns = None, 0.0, 0.0, (*names, "piece", "diagonal", "features")
-        for batch in batches:
-            out, f = [], batch.column("features")
-            for i, (*key, d) in enumerate(zip(*(batch.column(n).to_pylist() for n in (*names, "piece", "diagonal")))):
-                if key != now and now is not None:
-                    out.append((*now, diagonal, total))
-                if key != now:
-                    now, diagonal, total = key, 0.0, 0.0
-                diagonal, total = diagonal + d, total + f.slice(i, 1).flatten().to_numpy(zero_copy_only=False)
-            if out:
-                yield _rows(out, columns)
-        if now is not None:
-            yield _rows([(*now, diagonal, total)], columns)
-
-    return folded
-
-
-def _added(rows: DataFrame, names: Sequence[str], sql: str, parts: int, *salt: Column) -> DataFrame:
-    dealt = rows.select(*names, "piece", "diagonal", "features").repartition(parts, *names, "piece", *salt).sortWithinPartitions(*names, "piece")
-    return dealt.mapInArrow(_folded(names), f"{sql}, {SUM_SQL}")
 
 
 def _fid(x: np.ndarray, r: np.ndarray) -> float | None:
     """Of two sums of features up to the second degree."""
     d = round(math.sqrt(2 * len(x) + 0.25) - 1.5)
-    i2, j2, *_, weight = _places(d)
+    i2, j2, *_, weight = places(d)
     found = []
     for f in (x / weight[: len(x)], r / weight[: len(r)]):
         n, mean, second = f[0], f[1 : d + 1] / f[0], np.zeros((d, d))
@@ -203,7 +113,7 @@ def quality_bundle(generated: DataFrame, real: DataFrame, *, inputs: Sequence[st
 
     none = [F.lit("").alias("input_name"), "type", F.lit(True).alias("passed")]
     vectors = x.select(F.lit("x").alias("side"), *SEGMENT, "v").unionByName(r.select(F.lit("r").alias("side"), "object", *none, "v"))
-    sums = _added(vectors.mapInArrow(_taken, f"{KEY_SQL}, {SUM_SQL}"), KEY, KEY_SQL, parts, F.spark_partition_id() % PARTIALS)
+    sums = added(vectors.mapInArrow(taken(KEY), f"{KEY_SQL}, {SUM_SQL}"), KEY, KEY_SQL, parts, F.spark_partition_id() % PARTIALS)
     sums = materialise(sums, "bundle-sums")
 
     known = materialise(sums.filter("piece = 0").select(*KEY).distinct(), "bundle-segments")
@@ -232,9 +142,9 @@ def quality_bundle(generated: DataFrame, real: DataFrame, *, inputs: Sequence[st
     back = by_group.filter("side = 'r'").select(*GROUP, F.col("id").alias("neighbour"), F.col("neighbour").alias("id"))
     mutual = mine.join(back, [*GROUP, "id", "neighbour"]).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("mutual"))
 
-    x_sums = _added(sums.filter("side = 'x'").join(members, list(SEGMENT)), (*GROUP, "real_scope"), "view string, input_name string, object string, defect_type string, real_scope string", parts)
+    x_sums = added(sums.filter("side = 'x'").join(members, list(SEGMENT)), (*GROUP, "real_scope"), "view string, input_name string, object string, defect_type string, real_scope string", parts)
     r_sums = sums.filter("side = 'r'").withColumnRenamed("type", "real_type").join(scopes, ["object", "real_type"])
-    r_sums = materialise(_added(r_sums, ("object", "real_scope"), "object string, real_scope string", parts), "bundle-references")
+    r_sums = materialise(added(r_sums, ("object", "real_scope"), "object string, real_scope string", parts), "bundle-references")
     r_sums = r_sums.withColumnsRenamed({"diagonal": "r_diagonal", "features": "r_features"})
     products = x_sums.join(r_sums, ["object", "real_scope", "piece"]).mapInArrow(_products, "view string, input_name string, object string, defect_type string, diagonal double, r_diagonal double, " + ", ".join(f"{c} double" for c in PRODUCTS))
     kernels = products.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in ("diagonal", "r_diagonal", *PRODUCTS[:-1])], F.max("fid").alias("fid"))

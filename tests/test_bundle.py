@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.operators import bundle
+from siftlake.operators import bundle, kernels
 
 SCHEMA = "object string, input_name string, type string, passed boolean, id long, v array<double>"
 
@@ -65,8 +65,8 @@ def same(found, want):
 def test_features_are_the_kernel(d):
     draw = np.random.default_rng(d)
     x, y = draw.normal(size=(7, d)), draw.normal(size=(9, d))
-    assert bundle.features(x) @ bundle.features(y) == pytest.approx(((x @ y.T / d + 1) ** 3).sum(), rel=1e-12)
-    assert len(bundle.features(x)) == (d + 1) * (d + 2) * (d + 3) // 6
+    assert kernels.features(x) @ kernels.features(y) == pytest.approx(((x @ y.T / d + 1) ** 3).sum(), rel=1e-12)
+    assert len(kernels.features(x)) == (d + 1) * (d + 2) * (d + 3) // 6
 
 
 @pytest.mark.parametrize("biased, block, d", [(False, 4, 6), (True, 2048, 6), (False, 2048, 40)])

@@ -225,7 +225,8 @@ def test_distances_against_formulas(spark, monkeypatch):
     k = lambda a, b: (a @ b.T / a.shape[1] + 1) ** 3
     off = lambda m: (m.sum() - np.trace(m)) / (len(m) * (len(m) - 1))
     real, generated = embeddings(spark, x), embeddings(spark, y)
-    for size in (4, 2048):
+    for largest, size in ((5, 2048), (4, 2048), (4, 4)):  # from sums of features, and from pairs of blocks
+        monkeypatch.setattr(vectors, "LARGEST", largest)
         monkeypatch.setattr(vectors.blocks, "__defaults__", (size,))
         assert abs(vectors.kernel_distance(real, generated, by="k").first().kid - (off(k(x, x)) + off(k(y, y)) - 2 * k(x, y).mean())) < 1e-9
         biased = vectors.kernel_distance(real, generated, by="k", biased=True).first().kid
@@ -237,6 +238,14 @@ def test_distances_against_formulas(spark, monkeypatch):
     assert abs(vectors.frechet_distance(real, generated, by="k").first().fid - want) < 1e-6
 
 
+def test_kernel_distance_of_odd_sets(spark):
+    real = spark.createDataFrame([("a", 1, [1.0, 2.0]), ("a", 2, None), (None, 3, [1.0, 1.0]), ("b", 4, [0.0, 1.0]), ("b", 5, [0.0, 1.0])], "k string, id long, v array<double>")
+    other = spark.createDataFrame([("a", 1, [0.0, 2.0]), ("a", 6, [1.0, 0.0]), ("b", 7, [0.0, 1.0]), ("b", 8, [0.0, 1.0]), ("c", 9, [1.0, 1.0])], "k string, id long, v array<double>")
+    got = {r.g: r for r in vectors.kernel_distance(real, other, by="k").collect()}
+    assert set(got) == {"a", "b"} and (got["a"].n_real, got["a"].n_generated, got["a"].kid) == (1, 2, None) and abs(got["b"].kid) < 1e-12
+    assert vectors.kernel_distance(real.limit(0), other, by="k").count() == 0
+
+
 def test_calibration(spark):
     v = np.random.default_rng(1).normal(0, 1, (8, 3))
     u = v / np.linalg.norm(v, axis=1)[:, None]
