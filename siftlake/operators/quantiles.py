@@ -63,8 +63,7 @@ def group_quantiles(df: DataFrame, *, by: Sequence[str], values: Mapping[str, Co
     state = ranks.select(*keys, "q_rank", F.col("q_rank").alias("q_left"), F.lit(0).cast("long").alias("q_bin"), F.col("q_n").alias("q_size"))
     rows = rows.filter("q_x IS NOT NULL")
 
-    found = []
-    state, before = materialise(state, "quantile-ranks"), None
+    found, before = [], None
     for shift in (*SHIFTS, None):
         bin_at = F.lit(0).cast("long") if before is None else F.shiftright("q_key", before)
         binned = rows.withColumn("q_bin", bin_at)
@@ -89,12 +88,10 @@ def group_quantiles(df: DataFrame, *, by: Sequence[str], values: Mapping[str, Co
         state = state.select(*keys, "q_rank", (F.col("q_left") - F.col("q_below")).alias("q_left"), F.col("q_next").alias("q_bin"), F.col("q_count").alias("q_size"))
         state, before = materialise(state, "quantile-ranks"), shift
 
-    known = materialise(reduce(DataFrame.unionByName, found), "quantile-found")
-    low = known.withColumnsRenamed({"q_rank": "q_floor", "q_value": "q_low"})
-    high = known.withColumnsRenamed({"q_rank": "q_ceil", "q_value": "q_high"})
-    wanted = wanted.withColumns({"q_floor": F.floor("q_place"), "q_ceil": F.ceil("q_place")})
-    met = _joined(_joined(wanted, low, [*keys, "q_floor"]), high, [*keys, "q_ceil"])
-    between = (F.col("q_ceil") - F.col("q_place")) * F.col("q_low") + (F.col("q_place") - F.col("q_floor")) * F.col("q_high")
+    ends = wanted.select(*keys, "q_label", "q_place", F.explode(F.array(F.floor("q_place"), F.ceil("q_place"))).alias("q_rank"))
+    met = _joined(ends, reduce(DataFrame.unionByName, found), [*keys, "q_rank"]).groupBy(*keys, "q_label", "q_place")
+    met = met.agg(F.min("q_value").alias("q_low"), F.max("q_value").alias("q_high"))
+    between = (F.ceil("q_place") - F.col("q_place")) * F.col("q_low") + (F.col("q_place") - F.floor("q_place")) * F.col("q_high")
     met = met.select(*keys, "q_label", F.when(F.col("q_low") == F.col("q_high"), F.col("q_low")).otherwise(between).alias("q_value"))
     own = lambda n, label: (F.col("q_what") == n) & (F.col("q_label") == label)
     out = [F.max(F.when(own(n, label), F.col("q_value"))).alias(f"{n}_{label}" if n else label) for n in values for label in at]
