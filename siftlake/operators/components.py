@@ -54,7 +54,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``a, b`` edges (whole numbers); the component is its smallest node.
 
     First every task joins what its own edges connect, a bounded number of nodes at a time; few edges are settled by
@@ -65,10 +65,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ship(edges.sparkSession)
     ordered = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
     current = materialise(ordered.mapInArrow(_contract, "u long, v long"), "components")
-    for _ in range(max_rounds):
+    while True:
         open_ = current.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low <> high").select("u")
         above = current.select(F.col("v").alias("u")).distinct().join(current, "u", "left_semi")
         if open_.unionByName(above).isEmpty():  # every node has one neighbour, and that one has none below it
             return current.distinct().select(F.col("u").alias("node"), F.col("v").alias("component"))
         current = materialise(_star(_star(current, large=True), large=False), "components")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
