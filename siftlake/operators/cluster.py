@@ -1,4 +1,4 @@
-"""Small-group clustering and fits: a group is a handful of representatives, never the rows of a corpus."""
+"""Plain clustering of one small matrix, which ``ward`` does for groups of any size, and fits of a few points a group."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from siftlake.cluster import ship
 
-#: More rows than this in one group are an error: hierarchical clustering is for few representatives.
-MOST_ROWS = 2000
-
 
 def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
     """Agglomerative clustering by the least growth of within-cluster variance; labels by smallest member."""
@@ -69,21 +66,6 @@ def balanced_features(*parts: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def ward_by_group(df: DataFrame, *, by: str, id_col: str, vector: str, most: int = 6, least_size: int = 3) -> DataFrame:
-    """``by, id, cluster, silhouette`` for each group of few rows."""
-    ship(df.sparkSession)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MOST_ROWS:
-            raise ValueError(f"{len(rows)} rows in one group; at most {MOST_ROWS} are clustered")
-        rows = rows.sort_values("id")
-        labels, score = choose_clusters(balanced_features(np.stack(rows["v"].to_numpy()).astype(float)), most, least_size)
-        return pd.DataFrame({"g": rows["g"], "id": rows["id"], "cluster": labels.astype("int32"), "silhouette": score})
-
-    rows = df.select(F.col(by).cast("string").alias("g"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    return rows.groupBy("g").applyInPandas(run, "g string, id long, cluster int, silhouette double").withColumnRenamed("g", by)
-
-
 def isotonic(y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
     """The closest non-decreasing sequence, by pooling adjacent violators."""
     pools: list[list[float]] = []

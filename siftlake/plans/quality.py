@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise
 from siftlake.functions.scalars import dot, log_z, unit
-from siftlake.operators import cluster, neardup, vectors as ops
+from siftlake.operators import cluster, neardup, ward, vectors as ops
 from siftlake.operators.rules import geometry_rules, log_reference
 from siftlake.plans import common
 from siftlake.plans.common import VECTORS
@@ -165,11 +165,9 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ward clusters of up to 24 representatives of each label, taken in seeded order."""
-    from siftlake.operators.sampling import k_sample
-
-    real, _ = common.vectors(spark, sf_dir)
-    return cluster.ward_by_group(k_sample(real, by=["g"], key="id", k=24, seed=42), by="g", id_col="id", vector="v")
+    """Ward clusters of all vectors of each label."""
+    real, generated = common.vectors(spark, sf_dir)
+    return ward.ward_clusters(real.unionByName(generated), by="g")
 
 
 #: The fit at a place is the largest, over all starts up to it, of the smallest mean from there to an end past it.
