@@ -77,7 +77,7 @@ def box_conflicts(boxes: DataFrame, *, by: str, id_col: str = "id", cell: int =
     for c in "xy":
         near = near & (F.col(f"a.{c}0") < F.col(f"b.{c}1") + m) & (F.col(f"b.{c}0") < F.col(f"a.{c}1") + m)
         near = near & (F.col(f"a.c{c}") == F.floor((F.greatest(f"a.{c}0", f"b.{c}0") - m) / cell))
-    return a.join(b, same & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return a.join(b.hint("merge"), same & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def perceptual_hash(pixels: np.ndarray, size: int = 8, factor: int = 4) -> int:

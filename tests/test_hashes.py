@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftlake.operators import hashes, neardup
 
@@ -153,3 +154,11 @@ def test_large_components_in_stretches(spark, name):
     got = neardup.greedy_accept(rows, spark.createDataFrame(edges, "a long, b long"), most=most).collect()
     ok = accepted(n, edges)
     assert len(got) == n and all(r.accepted == ok[r.id] for r in got)
+
+
+def test_keyed_rows_are_not_broadcast(spark):
+    """A table that is small without its keys is not taken for small with them."""
+    rows = spark.range(500).select("id", F.lit("a").alias("g"), F.xxhash64("id").bitwiseAND(F.lit(2**60 - 1)).alias("hash"))
+    pairs = neardup.banded_pairs(rows, bits=60, threshold=3, by="g")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
