@@ -145,6 +145,7 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = {"area": F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)), "aspect": F.array_max("v") / -F.array_min("v")}
     reference = log_reference(real.withColumns(measures), "g", area="area", aspect="aspect")
     thresholds = reference.join(ops.calibrate(real, by="g").drop("n"), "g").join(ops.centroids(real, by="g"), "g")
+    thresholds = materialise(thresholds, "quality-thresholds")  # a row a group: Spark sees the size and need not shuffle the vectors by it
     nearest = ops.nearest_neighbours(generated, real, by="g").select("g", "id", F.col("similarity").alias("nn_score"))
     bits = F.array_join(F.transform("v", lambda x: F.concat(*[F.when(x > t, "1").otherwise("0") for t in LEVELS])), "")
     word = lambda i: F.conv(F.substring(F.col("bits"), 64 * i + 1, 64), 2, -10).cast("long")

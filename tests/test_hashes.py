@@ -162,3 +162,12 @@ def test_keyed_rows_are_not_broadcast(spark):
     pairs = neardup.banded_pairs(rows, bits=60, threshold=3, by="g")
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_row_is_shuffled_a_fixed_number_of_times(spark):
+    from siftlake.operators.cells import BLOCKS, cells
+
+    for n in (3000, 9000):
+        rows = spark.range(n).select("id", F.lit("a").alias("g"), F.array(F.col("id")).alias("h"))
+        assert cells(rows, None, ["h"], one=100).count() == BLOCKS * n
+        assert cells(rows, rows.limit(10), ["h"], one=100).count() == BLOCKS * (n + 10)
