@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.cluster import materialise
 from siftlake.functions.scalars import log_z
 from siftlake.operators import imaging, metrics, rules
 from siftlake.plans.common import SCORED, scored
@@ -136,6 +137,7 @@ def geometry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each combination of the quality filter's eight reasons occurs, over score columns made from line items."""
     items = table(spark, sf_dir, "lineitem")
     reference = rules.log_reference(items, "l_returnflag", area="l_quantity", aspect="l_extendedprice")
+    reference = materialise(reference, "geometry-reference")  # a row a flag: Spark sees the size and need not shuffle the items by it
     rows = items.join(reference, "l_returnflag")
     scores = {
         "roi_containment": F.when(F.col("l_tax") > 0.07, 0.99).otherwise(1.0),

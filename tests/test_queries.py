@@ -42,3 +42,10 @@ def test_other_queries_run(spark, small, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_items_are_not_shuffled_by_their_few_flags(spark, small):
+    from siftlake.plans import measures
+
+    plan = measures.geometry_rules(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(l_returnflag" not in plan
