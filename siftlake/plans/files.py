@@ -72,8 +72,8 @@ def sidecar_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for every supplier, gathered into sorted metadata, which is read back in its order."""
     folder, metadata = scratch(spark, "sidecars"), scratch(spark, "metadata")
     record = F.struct(F.col("s_nationkey").cast("string").alias("object"), F.col("s_name").alias("sample_id"), F.col("s_acctbal").alias("balance"))
-    documents = table(spark, sf_dir, "supplier").select("s_suppkey", F.to_json(F.struct((F.col("s_suppkey") % 7).alias("placement_index"), record.alias("record"))).alias("value"))
-    documents.write.partitionBy("s_suppkey").text(folder)
+    documents = table(spark, sf_dir, "supplier").select(F.to_json(F.struct((F.col("s_suppkey") % 7).alias("placement_index"), record.alias("record"))).alias("value"))
+    sinks.write_documents(documents.select("value"), folder)
     sidecars = readers.read_sidecars(spark, folder, "placement_index int, record struct<object: string, sample_id: string, balance: double>", pattern="*.txt")
     sinks.write_jsonl(readers.sidecar_records(sidecars, ["record.object", "placement_index", "record.sample_id"]), metadata)
     return ordinals(readers.read_jsonl(spark, metadata, "balance double, object string, sample_id string", places=True))

@@ -132,6 +132,13 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(path)
 
 
+def write_documents(df: DataFrame, folder: str) -> None:
+    """A file for each row of one text column, in one folder, written by all tasks; tasks put their own files in place."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(parts, F.xxhash64(*df.columns))  # a small table is one split, and its task would write all files
+    dealt.write.options(**{"maxRecordsPerFile": "1", "mapreduce.fileoutputcommitter.algorithm.version": "2"}).mode("errorifexists").text(folder)
+
+
 def freeze(df: DataFrame, path: str) -> str:
     """Write once with a digest beside it; writing the same relation again changes nothing, another is an error."""
     spark = df.sparkSession

@@ -165,3 +165,11 @@ def test_two_writers_at_once(spark, tmp_path, monkeypatch, apart):
     else:
         assert len(raised) == 1 and "key is in the ledger" in raised[0] and keys in (list(range(10)), list(range(9, 19)))
         assert len(list((tmp_path / "ledger").glob("data-*"))) == 1
+
+
+def test_documents_are_written_by_all_tasks(spark, tmp_path):
+    folder = tmp_path / "documents"
+    sinks.write_documents(spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("value")), str(folder))
+    files = list(folder.glob("*.txt"))
+    assert sorted(int(f.read_text()) for f in files) == list(range(40))
+    assert len({f.name.split("-")[1] for f in files}) > 1
