@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.cluster import materialise
+from siftlake.cluster import materialise, ship
 
 #: Rows up to which a group is one block, blocks of a larger one, and rows that a block should hold at most.
 ONE, BLOCKS, HELD = 2048, 6, 1 << 17
@@ -33,6 +33,7 @@ class Cell:
 def cells(left: DataFrame, right: DataFrame | None, columns: Sequence[str], *, one: int = ONE, held: int = HELD) -> DataFrame:
     """``g, a_block, b_block, side, id, columns...`` for ``compared``: rows ``g, id, columns...`` of the left with those of the right of
     their group, or, without a right, each two rows of the left once. Null is a group."""
+    ship(left.sparkSession)
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sides = [df.select("g", "id", *columns) for df in ((left,) if right is None else (left, right))]
     sizes = [df.groupBy("g").agg(F.count(F.lit(1)).alias("n")) for df in sides]
