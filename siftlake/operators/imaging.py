@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.cluster import ship
+from siftlake.cluster import materialise, ship
+from siftlake.operators.neardup import greedy_accept
 
 
 def label_components(mask: np.ndarray, least_area: int = 1) -> np.ndarray:
@@ -80,6 +82,52 @@ def box_conflicts(boxes: DataFrame, *, by: str, id_col: str = "id", cell: int =
     return a.join(b.hint("merge"), same & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+#: Boxes of a background up to which one task places them in order.
+PLACED = 20_000
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by background and id; a box is accepted if it overlaps none accepted before. Only a background's accepted ones are held."""
+    background, placed = None, []
+    for batch in batches:
+        out = []
+        for g, x0, y0, x1, y1 in zip(*(batch.column(c).to_pylist() for c in ("g", "x0", "y0", "x1", "y1"))):
+            if g != background:
+                background, placed = g, []
+            if None in (x0, y0, x1, y1):  # overlaps nothing, as in SQL
+                out.append(True)
+                continue
+            for a0, b0, a1, b1 in placed:
+                if x0 < a1 and a0 < x1 and y0 < b1 and b0 < y1:
+                    out.append(False)
+                    break
+            else:
+                placed.append((x0, y0, x1, y1))
+                out.append(True)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.bool_())], names=["id", "accepted"])
+
+
+def place_in_order(boxes: DataFrame, *, by: str, id_col: str = "id", most: int = PLACED) -> DataFrame:
+    """``id, accepted``: boxes (``x0, y0, x1, y1``, ends excluded) of one background in order of id, each accepted if it overlaps no accepted one.
+
+    A background of up to ``most`` boxes is decided by one task that sees each box once: no pairs are made. Larger ones are decided
+    from their overlapping pairs, see ``greedy_accept``. ``boxes`` is read more than once; ids are unique whole numbers. A box with a
+    null corner or without a background is accepted.
+    """
+    ship(boxes.sparkSession)
+    rows = boxes.select(F.col(by).alias("g"), F.col(id_col).cast("long").alias("id"), "x0", "y0", "x1", "y1")
+    large = rows.filter("g IS NOT NULL").groupBy(F.col("g").alias("large_g")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("large_g")
+    large = materialise(large, "large-backgrounds")
+    few = rows.join(large, F.col("g") == F.col("large_g"), "left_anti").filter("g IS NOT NULL")
+    parts = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = few.repartition(parts, "g").sortWithinPartitions("g", "id").mapInArrow(_place, "id long, accepted boolean")
+    out = out.unionByName(rows.filter("g IS NULL").select("id", F.lit(True).alias("accepted")))
+    if large.isEmpty():
+        return out
+    many = rows.join(large, F.col("g") == F.col("large_g"), "left_semi")
+    return out.unionByName(greedy_accept(many.select("id", F.lit(True).alias("eligible")), box_conflicts(many, by="g")))
+
+
 def perceptual_hash(pixels: np.ndarray, size: int = 8, factor: int = 4) -> int:
     """Signs of the low two-dimensional cosine frequencies against their median, as one integer."""
     n = size * factor

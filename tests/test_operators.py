@@ -485,3 +485,26 @@ def test_all_boxes_are_placed_in_order(spark, small):
         if want[r.id]:
             own.append(r)
     assert got == want and len(got) == spark.read.parquet(f"{small}/lineitem.parquet").count()
+
+
+def test_boxes_are_placed_without_pairs(spark, small, monkeypatch):
+    from siftlake.plans import duplicates
+
+    df = duplicates.boxes(spark, small).withColumn("g", F.when(F.col("g") % 5 > 0, F.col("g") % 5)).withColumn("x1", F.when(F.col("id") % 97 > 0, F.col("x1"))).cache()
+    placed: dict[int, list] = {}
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: r.id):
+        own = placed.setdefault(r.g, [])
+        want[r.id] = r.g is None or r.x1 is None or not any(r.x0 < o.x1 and o.x0 < r.x1 and r.y0 < o.y1 and o.y0 < r.y1 for o in own)
+        if want[r.id] and r.x1 is not None:
+            own.append(r)
+    sizes = {r.g: r["count"] for r in df.groupBy("g").count().collect()}
+    got = imaging.place_in_order(df, by="g", most=sorted(n for g, n in sizes.items() if g is not None)[1]).collect()  # small and large ones
+    assert len(got) == len(want) and {r.id: r.accepted for r in got} == want
+
+    def none(*args, **kwargs):
+        raise AssertionError("pairs of a small background")
+
+    monkeypatch.setattr(imaging, "box_conflicts", none)
+    assert {r.id: r.accepted for r in imaging.place_in_order(df, by="g").collect()} == want
+    assert duplicates.nonoverlapping_boxes(spark, small).count() == len(want)
