@@ -1,7 +1,8 @@
 """Ward clustering of groups of any size, and the number of clusters with the best silhouette.
 
 Ward's distance is reducible: two clusters that are each other's nearest are merged in the end whatever else is merged first. So
-every round merges all such pairs of all groups, found in pairs of blocks; a group of few clusters is finished by one task.
+every round merges all such pairs of all groups, found in cells, so that a cluster is shuffled a fixed number of times; a group of few
+clusters is finished by one task.
 The merges are the whole tree, and a cut leaves out the highest ones.
 """
 
@@ -16,9 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.cluster import materialise, ship
+from siftlake.operators.cells import Cell, cells, compared
 from siftlake.operators.components import connected_components
 
-#: Clusters of a group that one task merges to the end; rows of a block.
+#: Clusters of a group that one task merges to the end; rows of a tile (a group of two tiles is not cut in blocks).
 FEW, BLOCK = 1000, 1024
 MERGES = "g string, step int, a long, b long, height double"
 
@@ -38,41 +40,42 @@ def standardised(rows: DataFrame) -> DataFrame:
     return rows.join(fits, "g").select("g", "id", scaled.alias("v"))
 
 
-def _blocks(rows: DataFrame, side: str, columns: list[str], block: int) -> DataFrame:
-    counts = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = rows.join(counts, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    packed = dealt.groupBy("g", "block").agg(F.sort_array(F.collect_list(F.struct("id", *columns, "v"))).alias("rows"))
-    return packed.select("g", F.col("block").alias(f"{side}_block"), *[F.col(f"rows.{c}").alias(f"{side}_{c}") for c in ("id", *columns)], F.flatten("rows.v").alias(f"{side}_v"))
+def _tiles(cell: Cell, block: int) -> Iterator[tuple[slice, slice]]:
+    """Tiles of a cell that hold each two of its rows once; of one block with itself those on the diagonal hold them twice."""
+    for i in range(0, len(cell.a["id"]), block):
+        for j in range(i if cell.same else 0, len(cell.b["id"]), block):
+            yield slice(i, i + block), slice(j, j + block)
 
 
-def _met(rows: DataFrame, columns: list[str], block: int) -> DataFrame:
-    """Each two blocks of a group once."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a, b = _blocks(rows, "a", columns, block), _blocks(rows, "b", columns, block)
-    return a.join(b, "g").filter("a_block <= b_block").repartition(parts, "g", "a_block", "b_block")
+def _nearest(block: int):
+    """Both ways, so that two clusters see the same distance; ties go to the smaller id, as the rows of a cell are sorted by it."""
 
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in compared(batches, ["n", "v"], both=False):
+            sides = [(s["id"], np.full(len(s["id"]), np.inf), np.zeros(len(s["id"]), np.int64)) for s in ((cell.a,) if cell.same else (cell.a, cell.b))]
 
-def _side(row: pa.RecordBatch, side: str, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, own = (row.column(f"{side}_{c}").flatten().to_numpy() for c in ("id", column))
-    return ids, own, row.column(f"{side}_v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-
-
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both ways, so that two clusters see the same distance; ties go to the smaller id, as blocks are sorted by it."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            (a, n, x), (b, m, y) = _side(row, "a", "n"), _side(row, "b", "n")
-            d, same = ward_distances(x, n, y, m), a[:, None] == b[None, :]
-            if same.any():
-                d = (d + d.T) / 2
-                d[same] = np.inf
-            for own, other, found in ((a, b, d),) if same.any() else ((a, b, d), (b, a, d.T)):
+            def closer(side: tuple, rows: slice, others: np.ndarray, found: np.ndarray) -> None:
+                _, low, other = side
                 best = found.argmin(axis=1)
-                low = found[np.arange(len(own)), best]
+                height, ids = found[np.arange(len(found)), best], others[best]
+                better = (height < low[rows]) | (height == low[rows]) & (ids < other[rows])
+                low[rows], other[rows] = np.where(better, height, low[rows]), np.where(better, ids, other[rows])
+
+            for i, j in _tiles(cell, block):
+                d = ward_distances(cell.a["v"][i], cell.a["n"][i], cell.b["v"][j], cell.b["n"][j])
+                if cell.same and i == j:
+                    d = (d + d.T) / 2
+                    np.fill_diagonal(d, np.inf)
+                    closer(sides[0], i, cell.b["id"][j], d)
+                else:
+                    closer(sides[0], i, cell.b["id"][j], d)
+                    closer(sides[-1], j, cell.a["id"][i], d.T)
+            for ids, low, other in sides:
                 some = np.isfinite(low)
-                g = pa.array([row.column("g")[0].as_py()] * int(some.sum()), pa.string())
-                yield pa.RecordBatch.from_arrays([g, pa.array(own[some]), pa.array(other[best[some]]), pa.array(low[some])], names=["g", "id", "other", "height"])
+                g = pa.array([cell.g] * int(some.sum()), pa.string())
+                yield pa.RecordBatch.from_arrays([g, pa.array(ids[some]), pa.array(other[some]), pa.array(low[some])], names=["g", "id", "other", "height"])
+
+    return nearest
 
 
 def _to_the_end(rows: pd.DataFrame) -> pd.DataFrame:
@@ -106,7 +109,7 @@ def ward_merges(rows: DataFrame, *, few: int = FEW, block: int = BLOCK) -> DataF
         small = nodes.join(counts.filter(F.col("clusters") <= few).select("g"), "g", "left_semi").withColumn("step", F.lit(step))
         done.append(materialise(small.groupBy("g").applyInPandas(_to_the_end, MERGES), "ward-merges"))
         nodes = nodes.join(counts.filter(F.col("clusters") > few).select("g"), "g", "left_semi")
-        found = _met(nodes, ["n"], block).mapInArrow(_nearest, "g string, id long, other long, height double")
+        found = cells(nodes, None, ["n", "v"], one=2 * block).mapInArrow(_nearest(block), "g string, id long, other long, height double")
         best = found.groupBy("g", "id").agg(F.min(F.struct("height", "other")).alias("best"))
         best = materialise(best.select("g", "id", F.col("best.other").alias("other"), F.col("best.height").alias("height")), "ward-nearest")
         back = best.select("g", F.col("other").alias("id"), F.col("id").alias("other"))
@@ -145,19 +148,24 @@ def _cuts(most: int):
     return cuts
 
 
-def _sums(most: int):
+def _sums(most: int, block: int):
     """Each row's distances to the rows of the other block, added up by their finest cluster."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                (a, p, x), (b, q, y) = _side(row, "a", "place"), _side(row, "b", "place")
-                d, same = np.sqrt(ward_distances(x, np.ones(len(a)), y, np.ones(len(b)))), a[:, None] == b[None, :]
-                d[same] = 0
-                for own, place, found in ((a, q, d),) if same.any() else ((a, q, d), (b, p, d.T)):
-                    by_place = found @ np.eye(most)[place]
-                    yield pa.RecordBatch.from_arrays([pa.array(own), *[pa.array(c) for c in by_place.T.copy()]], names=["id", *[f"s{f}" for f in range(most)]])
+        for cell in compared(batches, ["place", "v"], both=False):
+            sides = (cell.a,) if cell.same else (cell.a, cell.b)
+            added, one = [np.zeros((len(s["id"]), most)) for s in sides], np.eye(most)
+            for i, j in _tiles(cell, block):
+                x, y = cell.a["v"][i], cell.b["v"][j]
+                d = np.sqrt(ward_distances(x, np.ones(len(x)), y, np.ones(len(y))))
+                if cell.same and i == j:
+                    d = (d + d.T) / 2
+                    np.fill_diagonal(d, 0)
+                else:
+                    added[-1][j] += d.T @ one[cell.a["place"][i]]
+                added[0][i] += d @ one[cell.b["place"][j]]
+            for side, by_place in zip(sides, added):
+                yield pa.RecordBatch.from_arrays([pa.array(side["id"]), *[pa.array(c) for c in by_place.T.copy()]], names=["id", *[f"s{f}" for f in range(most)]])
 
     return sums
 
@@ -192,7 +200,7 @@ def ward_clusters(rows: DataFrame, *, by: str, id_col: str = "id", vector: str =
     placed = rows.join(roots.select("id", "root"), "id").join(finest.select("g", "root", "place"), ["g", "root"]).select("g", "id", "place", "v")
     placed = materialise(placed, "ward-placed")
     sums = [f"s{f}" for f in range(most)]
-    added = _met(placed, ["place"], block).mapInArrow(_sums(most), "id long, " + ", ".join(f"{s} double" for s in sums))
+    added = cells(placed, None, ["place", "v"], one=2 * block).mapInArrow(_sums(most, block), "id long, " + ", ".join(f"{s} double" for s in sums))
     added = added.groupBy("id").agg(*[F.sum(s).alias(s) for s in sums])
     judged = placed.select("g", "id", "place").join(added, "id").join(cuts, "g")
     label = F.get("labels", F.col("place"))

@@ -47,3 +47,19 @@ def test_copies_and_no_rows(spark):
         got = {r.id: (r.cluster, r.silhouette) for r in ward.ward_clusters(df, by="g", few=few, block=5).collect()}
         assert len(got) == 26 and all(got[i][0] == i % 2 and abs(got[i][1] - 1) < 1e-6 for i in range(20))
     assert ward.ward_clusters(df.limit(0), by="g").count() == 0
+
+
+def test_rows_are_not_shuffled_by_block(spark, monkeypatch):
+    made, dealt = {"rows": 0}, ward.cells
+
+    def counted(rows, *args, **kwargs):
+        out = dealt(rows, *args, **kwargs)
+        made["rows"] = max(made["rows"], out.count() / max(1, rows.count()))
+        return out
+
+    monkeypatch.setattr(ward, "cells", counted)
+    x = np.random.default_rng(2).normal(0, 1, (200, 3))
+    df = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "g string, id long, v array<double>")
+    labels, score = cluster.choose_clusters(cluster.balanced_features(x))
+    got = {r.id: (r.cluster, r.silhouette) for r in ward.ward_clusters(df, by="g", few=20, block=4).collect()}
+    assert made["rows"] == 6 and [got[i][0] for i in range(200)] == labels.tolist() and abs(got[0][1] - score) < 1e-9
