@@ -34,7 +34,7 @@ def _with_ones(h: np.ndarray) -> np.ndarray:
 def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A stable order of symbols or classes, which are below 2**16, and the sorted values."""
     order = np.argsort(x.astype(np.uint16), kind="stable")
-    return order, x[order]
+    return order, x.take(order)
 
 
 def _softmax(logits: np.ndarray, tame: bool) -> np.ndarray:
@@ -105,19 +105,37 @@ class Gru:
         """Whether no logit can be far from zero, as no part of a state exceeds one."""
         return max(np.abs(self.classes).sum(axis=0).max(), np.abs(self.outputs).sum(axis=1).max(initial=0)) < 60
 
+    def read(self, symbols: np.ndarray) -> np.ndarray:
+        """What the gates get from symbols: 3 planes of symbols x ``HIDDEN``, so that every gate is contiguous."""
+        return np.ascontiguousarray(self.inputs.take(symbols, axis=0).reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+
+    def planes(self) -> np.ndarray:
+        """The recurrent weights of the three gates."""
+        return np.ascontiguousarray(self.recurrent.reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+
     def step(self, h: np.ndarray, symbols: np.ndarray):
-        g, u = self.inputs[symbols], h @ self.recurrent
-        gates = _sigmoid(g[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        new = np.tanh(g[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        return new + z * (h - new), z, r, new, u[:, 2 * HIDDEN :]
+        return self.advance(h, self.read(symbols), self.planes())
+
+    def advance(self, h: np.ndarray, g: np.ndarray, planes: np.ndarray):
+        """One step from states ``h``: the new states, then what they were made of. Overwrites ``g``."""
+        u = np.matmul(h, planes)
+        gates = g[:2]
+        gates += u[:2]
+        z, r = _sigmoid(gates)
+        new = r * u[2]
+        new += g[2]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= z
+        out += new
+        return out, z, r, new, u[2]
 
     def log_probability(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each symbol: of the word, or of its class if it is not frequent."""
         tame = self.tame()
         order, classes = _sorted(self.targets(symbols))
         edges = np.searchsorted(classes, np.arange(self.word_classes + 1)).tolist()
-        h, symbols = _with_ones(h[order]), symbols[order]
+        h, symbols = _with_ones(h.take(order, axis=0)), symbols.take(order)
         found = np.concatenate([_log_softmax_at(h[i : i + ROWS] @ self.classes, classes[i : i + ROWS], tame) for i in range(0, len(h), ROWS)])
         for c in range(self.word_classes):
             own = slice(edges[c], edges[c + 1])
@@ -152,23 +170,24 @@ class Gru:
         previous = np.concatenate([[self.start], flat[:-1]])
         previous[starts] = self.start
         scores = np.zeros(len(flat))
-        h = np.zeros((slots, HIDDEN), np.float32)
+        h, inputs, planes = np.zeros((slots, HIDDEN), np.float32), self.read(np.arange(self.start + 1)), self.planes()
         active = np.searchsorted(-load, -np.arange(int(load[0])), "left").tolist()
         for at in range(0, int(load[0]), STEPS):
             held, places = [], []
             for step in range(at, min(at + STEPS, int(load[0]))):
                 n = active[step]
                 place = begins[:n] + step
-                symbols = previous[place]
-                fresh = symbols == self.start
-                state = h[:n]
-                if fresh.any():
-                    state = np.where(fresh[:, None], np.float32(0), state)
-                h[:n] = self.step(state, symbols)[0]
-                held.append(h[:n].copy())
+                symbols = previous.take(place)
+                h = h[:n]
+                fresh = np.flatnonzero(symbols == self.start)
+                if len(fresh):
+                    h = h.copy()
+                    h[fresh] = 0
+                h = self.advance(h, inputs.take(symbols, axis=1), planes)[0]
+                held.append(h)
                 places.append(place)
             places = np.concatenate(places)
-            scores[places] = self.log_probability(np.concatenate(held), flat[places])
+            scores[places] = self.log_probability(np.concatenate(held), flat.take(places))
         out = np.zeros(len(docs))
         out[docs_in_order] = np.add.reduceat(scores, starts)
         return out
@@ -200,28 +219,31 @@ class Gru:
     def _learn(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """One update from a window: symbols read ``x`` and to come ``y``, steps x streams."""
         steps, streams = x.shape
-        fresh = x == self.start
-        before, hs, z, r, new, u, d_new = np.empty((7, steps, streams, HIDDEN), h.dtype)
+        fresh = [np.flatnonzero(row == self.start) for row in x]
+        before, hs, z, r, new, u = np.empty((6, steps, streams, HIDDEN), h.dtype)
+        inputs, planes = self.read(x.ravel()).reshape(3, steps, streams, HIDDEN), self.planes()
         for t in range(steps):
             before[t] = h
-            before[t][fresh[t]] = 0
-            h, z[t], r[t], new[t], u[t] = self.step(before[t], x[t])
+            if len(fresh[t]):
+                before[t][fresh[t]] = 0
+            h, z[t], r[t], new[t], u[t] = self.advance(before[t], inputs[:, t], planes)
             hs[t] = h
         back, grads = self._output_gradients(hs.reshape(-1, HIDDEN), y.ravel())
         back = back.reshape(steps, streams, HIDDEN) / streams
-        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), u * r * (1 - r)
-        d_gates = np.empty((steps, streams, 3 * HIDDEN), h.dtype)  # of the recurrent part
+        by_new = (1 - z) * (1 - new * new)
+        by = np.stack([(before - new) * z * (1 - z), by_new * u * r * (1 - r), by_new * r], axis=1)  # of the recurrent part
+        d_gates, d_new, turned = np.empty_like(by), np.empty_like(by_new), np.ascontiguousarray(planes.transpose(0, 2, 1))
         dh = np.zeros((streams, HIDDEN), h.dtype)
         for t in reversed(range(steps)):
             dh += back[t]
             np.multiply(dh, by_new[t], out=d_new[t])
-            d = d_gates[t]
-            np.multiply(dh, by_z[t], out=d[:, :HIDDEN])
-            np.multiply(d_new[t], by_r[t], out=d[:, HIDDEN : 2 * HIDDEN])
-            np.multiply(d_new[t], r[t], out=d[:, 2 * HIDDEN :])
-            dh = dh * z[t] + d @ self.recurrent.T
-            dh[fresh[t]] = 0
-        d_gates = d_gates.reshape(-1, 3 * HIDDEN)
+            through = np.matmul(np.multiply(dh, by[t], out=d_gates[t]), turned)
+            dh = dh * z[t]
+            for part in through:
+                dh += part
+            if len(fresh[t]):
+                dh[fresh[t]] = 0
+        d_gates = d_gates.transpose(0, 2, 1, 3).reshape(-1, 3 * HIDDEN)
         grads = {name: g / streams for name, g in grads.items()}
         grads["recurrent"] = before.reshape(-1, HIDDEN).T @ d_gates
         for name, g in grads.items():
@@ -229,7 +251,7 @@ class Gru:
         d_gates[:, 2 * HIDDEN :] = d_new.reshape(-1, HIDDEN)  # from here on of the input part
         order, read = _sorted(x.ravel())
         edges = np.flatnonzero(np.diff(read, prepend=-1))
-        self._update("inputs", read[edges], np.add.reduceat(d_gates[order], edges, axis=0))
+        self._update("inputs", read[edges], np.add.reduceat(d_gates.take(order, axis=0), edges, axis=0))
         return h
 
     def _update(self, name: str, rows, g: np.ndarray) -> None:
@@ -243,7 +265,7 @@ class Gru:
         tame = self.tame()
         order, classes = _sorted(self.targets(symbols))
         edges = np.searchsorted(classes, np.arange(self.word_classes + 1)).tolist()
-        hs, symbols = _with_ones(hs[order]), symbols[order]
+        hs, symbols = _with_ones(hs.take(order, axis=0)), symbols.take(order)
         back, d_classes, d_outputs = np.empty_like(hs), np.zeros_like(self.classes), np.zeros_like(self.outputs)
         for i in range(0, len(hs), ROWS):
             some = slice(i, i + ROWS)

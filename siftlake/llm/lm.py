@@ -15,12 +15,12 @@ the probabilities of all words add up to one.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,39 +36,55 @@ ROUNDS, PER_REPLICA = 8, 192
 #: Tasks that add up the replicas' states; the driver gets a row of each.
 ADDERS = 4
 COUNTED_WORDS = 500_000
+#: Bytes of text, and those of one more document, that are cut into words at once.
+PIECE_BYTES = 4_000_000
 #: Symbols of the documents that a task trains on or scores at once.
 TRAIN_SYMBOLS, GROUP_SYMBOLS = 1_000_000, 1_500_000
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return (text or "").encode().lower().split()
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """Words between ASCII white space, A-Z lower-cased, and one end of every text."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    ended = pc.if_else(pc.equal(trimmed, ""), trimmed, pc.binary_join_element_wise(trimmed, "", " "))
+    return pc.ascii_split_whitespace(ended)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about ``PIECE_BYTES`` bytes of text, as words take more room than texts."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        runs = np.cumsum(sizes.astype(np.int64)) // PIECE_BYTES
+        edges = [*np.flatnonzero(np.diff(runs, prepend=-1)).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts of a task; it hands them on whenever it holds ``COUNTED_WORDS`` words."""
-    counts: Counter[bytes] = Counter()
 
-    def emit() -> pa.RecordBatch:
-        columns = [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts.update(words_of(text))
-        counts[END] += batch.num_rows
-        if len(counts) > COUNTED_WORDS:
-            yield emit()
-            counts.clear()
-    if counts:
-        yield emit()
+    held, rows = [], 0
+    for piece in _pieces(batches):
+        found = words_of(piece.column("text")).flatten().value_counts()
+        held.append(pa.table([found.field("values").cast(pa.binary()), found.field("counts")], names=["word", "n"]))
+        rows += len(found)
+        if rows > 2 * COUNTED_WORDS:
+            held = [summed(held)]
+            rows = len(held[0])
+            if rows > COUNTED_WORDS:
+                yield from held[0].to_batches()
+                held, rows = [], 0
+    if held:
+        yield from summed(held).to_batches()
 
 
 @dataclass
 class Vocabulary:
     """What a worker needs to know of the words: symbols and log10(count + 1) of the listed ones, and the classes."""
 
-    places: dict[bytes, int]  # word -> place in the two arrays
+    words: pa.Array  # a word's place here is its place in the two arrays
     symbols: np.ndarray
     logs: np.ndarray
     endings: dict[bytes, int]
@@ -80,8 +96,14 @@ class Vocabulary:
     types: int
     known: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
 
-    def other_class(self, word: bytes) -> int:
-        return ending_class(word, self.endings)
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Places of words in the lists; -1: not listed."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+
+    def other_classes(self, words: pa.Array) -> np.ndarray:
+        ends = pc.binary_slice(words, -2, None).dictionary_encode()
+        classes = [ending_class(end, self.endings) for end in ends.dictionary.to_pylist()]
+        return np.array(classes, np.int32)[ends.indices.to_numpy()]
 
 
 def ending_class(word: bytes, endings: dict[bytes, int]) -> int:
@@ -137,7 +159,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     symbols = np.array([i if i < f else f + ending_class(w, endings) for i, (w, _) in enumerate(words)], np.int32)
     values = np.array([n for _, n in words], np.float64)
     return Vocabulary(
-        {w: i for i, (w, _) in enumerate(words)},
+        pa.array([w for w, _ in words], pa.binary()),
         symbols,
         np.log10(values + 1),
         endings,
@@ -155,16 +177,6 @@ def network(v: Vocabulary) -> Gru:
     return Gru(v.first, v.frequent_counts, 10.0**v.class_logs)
 
 
-def encode(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of a document's words and its end, and the places of words in the lists (-1: not listed)."""
-    get = v.places.get
-    places = np.array([get(w, -1) for w in words] + [v.places[END]], np.int64)
-    symbols = v.symbols[places]
-    for i in np.flatnonzero(places < 0).tolist():
-        symbols[i] = v.frequent + v.other_class(words[i])
-    return symbols, places
-
-
 ENCODED_SQL = (
     "row long, doc_id long, round int, symbols binary, n_tokens long, known long, base double, outside double, "
     "rare array<struct<word:binary,n:int>>"
@@ -186,21 +198,36 @@ def _encode(shared: Broadcast):
         v = shared.value
         row = TaskContext.get().partitionId() << 33
         unseen = np.log10(v.tokens + v.types + 1)
-        for batch in batches:
-            rows = []
-            for doc_id, round_, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "round", "text"))):
-                words = words_of(text)
-                symbols, places = encode(v, words)
-                listed, outside = places >= 0, symbols >= v.frequent
-                logs = np.where(listed, v.logs[places], 0.0)
-                out = logs[outside].sum() - v.class_logs[symbols[outside] - v.frequent].sum()
-                rare = Counter(words[i] for i in np.flatnonzero(~listed).tolist())
-                rare = [{"word": w, "n": n} for w, n in rare.items()]
-                known = int(v.known[places[listed]].sum())
-                rows.append((row, doc_id, round_, symbols.astype(np.uint16).tobytes(), len(places), known, logs.sum() - len(places) * unseen, out, rare))
-                row += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ENCODED.types)], schema=_ENCODED)
+        for piece in _pieces(batches):
+            lists = words_of(piece.column("text"))
+            n, edges = len(lists), lists.offsets.to_numpy()
+            begins, lengths = edges[:-1], np.diff(edges).astype(np.int64)
+            tokens = lists.flatten().dictionary_encode()
+            words, codes = tokens.dictionary.cast(pa.binary()), tokens.indices.to_numpy()
+            # Of every distinct word:
+            places = v.places(words)
+            listed, unlisted = places >= 0, np.flatnonzero(places < 0)
+            symbols = v.symbols[places]
+            symbols[unlisted] = v.frequent + v.other_classes(words.take(pa.array(unlisted)))
+            logs = np.where(listed, v.logs[places], 0.0)
+            outside = symbols >= v.frequent
+            out = np.zeros(len(words))
+            out[outside] = logs[outside] - v.class_logs[symbols[outside] - v.frequent]
+            known = (listed & v.known[places]).astype(np.int64)
+            # Of every document, each of which has its end at least:
+            data = symbols.astype(np.uint16)[codes]
+            written = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges.astype(np.int32) * 2), pa.py_buffer(data)])
+            known, base, out = (np.add.reduceat(x[codes], begins) for x in (known, logs, out))
+            at = np.flatnonzero(~listed[codes])
+            keys = np.repeat(np.arange(n), lengths)[at] * len(words) + codes[at]
+            keys, times = np.unique(keys, return_counts=True)
+            rare = [words.take(pa.array(keys % len(words))), pa.array(times, pa.int32())]
+            rare = pa.StructArray.from_arrays(rare, fields=list(_RARE.value_type))
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(keys, np.arange(n + 1) * len(words)), pa.int32()), rare, type=_RARE)
+            columns = [np.arange(row, row + n), piece.column("doc_id"), piece.column("round"), written, lengths]
+            columns += [known, base - lengths * unseen, out, rare]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_ENCODED)
+            row += n
 
     return encoded
 

@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import math
 import random
+import sys
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from siftlake.llm import bitsliced, gru, langid, lm, toxicity
 from tests.llm.common import ROWS, documents
@@ -213,6 +216,87 @@ def test_lm_odd_rows(spark):
     assert lm.score(documents(spark, [], clash=False), F.lit(True)).count() == 0
 
 
+def plain_words(text):
+    return [*(text or "").encode().lower().split(), b""]
+
+
+def calls_of(work):
+    """Calls of Python and C functions that some work makes."""
+    made = [0]
+
+    def count(_frame, event, _arg):
+        made[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        work()
+    finally:
+        sys.setprofile(None)
+    return made[0]
+
+
+def lm_batch(texts):
+    n = len(texts)
+    return pa.record_batch([pa.array(range(n), pa.int64()), pa.array([i % 8 for i in range(n)], pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "round", "text"])
+
+
+def lm_vocabulary(counts):
+    """As ``lm.vocabulary`` without Spark; the least frequent words are not listed."""
+    words = [(b"", counts[b""])] + sorted(((w, n) for w, n in counts.items() if w), key=lambda x: (-x[1], x[0]))[: len(counts) // 2]
+    f = max(1, len(words) // 2)
+    words = sorted(words[:f], key=lambda x: (-x[1], x[0])) + words[f:]
+    endings = {e: i for i, e in enumerate(sorted({w[-2:] for w in counts})[::2])}
+    symbols = [i if i < f else f + lm.ending_class(w, endings) for i, (w, _) in enumerate(words)]
+    values = np.array([n for _, n in words], np.float64)
+    logs = np.log10(np.arange(2.0, 2 + len(endings) + lm.REST_CLASSES))
+    return lm.Vocabulary(
+        pa.array([w for w, _ in words], pa.binary()), np.array(symbols, np.int32), np.log10(values + 1), endings, f, logs,
+        values[:f], lm.word_classes(values[:f]), sum(counts.values()), len(counts), values > 0,
+    )
+
+
+def test_lm_counts_and_symbols_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 1)))
+    rng = random.Random(5)
+    odd = [None, "", "  ", " \t\na", "A\x1cB \x85 x y  Z ", "ÄPFEL äpfel Öl", " rare rare rare end ", "a\x0bb\x0cc\rd", "日本語　x \x00"]
+    texts = odd + [" ".join(f"W{int(rng.paretovariate(0.6))}x" for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    docs = [plain_words(t) for t in texts]
+    want = Counter(w for doc in docs for w in doc)
+    v = lm_vocabulary(Counter(w for doc in docs[9:] for w in doc))
+    place = {w: i for i, w in enumerate(v.words.to_pylist())}
+    for piece_bytes, counted in ((1 << 22, 500_000), (100, 20), (1, 1)):
+        monkeypatch.setattr(lm, "PIECE_BYTES", piece_bytes)
+        monkeypatch.setattr(lm, "COUNTED_WORDS", counted)
+        got = Counter()
+        for batch in lm._count(iter([lm_batch(texts[:50]), lm_batch([]), lm_batch(texts[50:])])):
+            for word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                got[word] += n
+        assert got == want
+        rows = [r for b in lm._encode(SimpleNamespace(value=v))(iter([lm_batch(texts)])) for r in b.to_pylist()]
+        assert [(r["row"], r["doc_id"], r["round"]) for r in rows] == [((1 << 33) + i, i, i % 8) for i in range(len(texts))]
+        for r, doc in zip(rows, docs):
+            at = [place.get(w) for w in doc]
+            symbols = [v.frequent + lm.ending_class(w, v.endings) if p is None else v.symbols[p] for p, w in zip(at, doc)]
+            logs = [0.0 if p is None else v.logs[p] for p in at]
+            assert np.frombuffer(r["symbols"], np.uint16).tolist() == symbols and r["n_tokens"] == len(doc)
+            assert r["known"] == sum(p is not None and bool(v.known[p]) for p in at)
+            assert {e["word"]: e["n"] for e in r["rare"]} == Counter(w for p, w in zip(at, doc) if p is None)
+            assert math.isclose(r["base"], sum(logs) - len(doc) * math.log10(v.tokens + v.types + 1), rel_tol=1e-9, abs_tol=1e-9)
+            outside = sum(g - v.class_logs[s - v.frequent] for g, s in zip(logs, symbols) if s >= v.frequent)
+            assert math.isclose(r["outside"], outside, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_lm_handles_words_by_batch_not_one_by_one(monkeypatch):
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    few = ["one two three four"] * 10
+    many = ["one two three four " * 50] * 1000
+    counts = Counter(w for t in few for w in plain_words(t))
+    shared = SimpleNamespace(value=lm_vocabulary(counts))
+    for work in (lm._count, lm._encode(shared)):
+        calls = [calls_of(lambda: list(work(iter([lm_batch(texts)])))) for texts in (few, many)]
+        assert calls[1] < 2 * calls[0]
+
+
 def labelled(n, seed=0):
     rng = random.Random(seed)
     syllables = ["ka", "lo", "mi", "ter", "an", "us", "pra", "do"]
