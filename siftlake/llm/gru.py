@@ -14,7 +14,7 @@ WINDOW, STREAMS, UPDATES = 24, 256, 24
 #: Adagrad: step size, bound of a gradient, and what the sums of squares begin with.
 RATE, CLIP, FIRST_SUM = 0.07, 1.0, 1e-7
 #: Documents are dealt over so many streams for scoring, and outputs are computed for so many steps at once.
-SLOTS, STEPS = 384, 32
+SLOTS, STEPS = 384, 128
 #: Rows of a softmax at once, so that they stay in a core's cache.
 ROWS = 1024
 
