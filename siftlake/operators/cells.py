@@ -1,7 +1,8 @@
 """All pairs of rows of a group in cells, so that a row is shuffled a fixed number of times however many rows there are.
 
 The rows of a group are dealt by a hash into a fixed number of blocks, more only where a block would hold more rows than a task should.
-A cell is two blocks of one group; one task reads its rows and compares them tile by tile.
+A cell is two blocks of one group; one task reads its rows and compares them tile by tile. The cells of a group are numbered and go to the
+partitions in turn, so that none gets two where another gets none.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def cells(left: DataFrame, right: DataFrame | None, columns: Sequence[str], *, o
         return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def placed(df: DataFrame, a: str, b: str, side: int) -> DataFrame:
-        return df.select("g", F.col(a).alias("a_block"), F.col(b).alias("b_block"), F.lit(side).alias("side"), "id", *columns)
+        return df.select("g", F.col(a).alias("a_block"), F.col(b).alias("b_block"), F.lit(side).alias("side"), "id", *columns, "blocks")
 
     if right is None:
         rows = dealt(left)
@@ -56,7 +57,10 @@ def cells(left: DataFrame, right: DataFrame | None, columns: Sequence[str], *, o
     else:
         mine, theirs = placed(dealt(left), "own", "other", 0), placed(dealt(right), "other", "own", 1)
     keys = ["g", "a_block", "b_block"]
-    return mine.unionByName(theirs).repartition(parts, *keys).sortWithinPartitions(*keys, "side", "id")
+    x, y, size = (F.col(c).cast("long") for c in ("a_block", "b_block", "blocks"))
+    number = x * size + y if right is not None else x * size - (x * (x + 1) / 2).cast("long") + y
+    rows = mine.unionByName(theirs).withColumn("part", F.pmod(F.pmod(F.xxhash64("g"), F.lit(parts)) + number, F.lit(parts)).cast("int"))
+    return rows.repartitionById(parts, "part").drop("blocks", "part").sortWithinPartitions(*keys, "side", "id")
 
 
 def _side(parts: list[pa.RecordBatch], columns: Sequence[str]) -> dict[str, np.ndarray]:

@@ -171,3 +171,71 @@ def test_a_row_is_shuffled_a_fixed_number_of_times(spark):
         rows = spark.range(n).select("id", F.lit("a").alias("g"), F.array(F.col("id")).alias("h"))
         assert cells(rows, None, ["h"], one=100).count() == BLOCKS * n
         assert cells(rows, rows.limit(10), ["h"], one=100).count() == BLOCKS * (n + 10)
+
+
+def cell_of(rows, a_block, b_block, side):
+    import pyarrow as pa
+
+    n = len(rows)
+    columns = [pa.array(["a"] * n), *(pa.array([v] * n, pa.int32()) for v in (a_block, b_block, side)), pa.array([i for i, _ in rows], pa.int64()), pa.array([words_of(h) for _, h in rows], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["g", "a_block", "b_block", "side", "id", "h"])
+
+
+@pytest.mark.parametrize("tile", [(12, 8), (7, 5), (1152, 1024)])
+def test_differing_bits_by_products(monkeypatch, tile):
+    """Three rows in one number, with the sparsest and fullest hashes and opposites among them."""
+    monkeypatch.setattr(hashes, "TILE", tile)
+    monkeypatch.setattr(hashes, "PACKED", 2)
+    rnd, full = random.Random(5), 2**256 - 1
+    made_ = {0, full, 1, full - 1, 2**128 - 1, full - 2**128 + 1, 2**64, full - 2**64, *(near(rnd, full, d) for d in (2, 3, 9)), *(near(rnd, 0, d) for d in (2, 3, 9))}
+    made_ |= {near(rnd, c, d) for c in [rnd.getrandbits(256) for _ in range(9)] for d in (0, 1, 4, 6, 7)} | {full ^ h for h in list(made_)[:9]}
+    rows = list(enumerate(rnd.sample(sorted(made_), len(made_))))
+    a, b = rows[::2], rows[1::2]
+    far = lambda h, k: (h ^ k).bit_count()
+
+    def run(batches, threshold, **how):
+        out = [r for t in hashes._close(threshold, True, **how)(iter(batches)) for r in t.to_pylist()]
+        least = {}
+        for r in out:
+            if r["b"] is None:
+                least[r["a"]] = min(least.get(r["a"], 999), r["distance"])
+        return sorted((r["a"], r["b"], r["distance"]) for r in out if r["b"] is not None), least
+
+    want = sorted((i, j, far(h, k)) for i, h in rows for j, k in rows if i < j and far(h, k) <= 6)
+    assert run([cell_of(rows, 1, 1, 0)], 6) == (want, {i: min(far(h, k) for j, k in rows if j != i) for i, h in rows})
+    least = {i: min(far(h, k) for _, k in y) for x, y in ((a, b), (b, a)) for i, h in x}
+    pairs = sorted((min(i, j), max(i, j), far(h, k)) for i, h in a for j, k in b if far(h, k) <= 7)
+    assert run([cell_of(a, 1, 2, 0), cell_of(b, 1, 2, 1)], 7) == (pairs, least)
+    both = [cell_of(rows, 0, 0, 0), cell_of(b, 0, 0, 1)]
+    assert run(both, None, both=True) == ([], {i: min(far(h, k) for j, k in b if j != i) for i, h in rows})
+    earlier = {i: min(far(h, k) for j, k in b if j < i) for i, h in rows if i > b[0][0]}
+    assert run(both, None, both=True, earlier=True) == ([], earlier)
+    assert max(far(h, k) for _, h in rows for _, k in rows) == 256
+
+
+def test_bits_of_long_texts(monkeypatch):
+    """Counts of more words than a byte counts, and words that are unpacked in several goes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(hashes, "UNPACKED", 600)
+    words = [f"w{i}é" for i in range(1200)]
+    texts = [" ".join(words[:n] * 2) for n in (1, 254, 255, 256, 510, 511, 1200)] + ["", " ", "same " * 700]
+    for bits, digest in ((256, lambda w: hashlib.sha256(w).digest()), (60, lambda w: hashlib.md5(w).digest()), (8, lambda w: b"\xf0" * 32)):
+        got = hashes.majority_bits(pa.array(texts), digest, bits)
+        for text, row in zip(texts, got):
+            seen = [int.from_bytes(digest(w.encode()), "big") >> (8 * len(digest(b"")) - bits) for w in set(text.split(" "))]
+            assert row.tolist() == [2 * sum(s >> (bits - 1 - i) & 1 for s in seen) > len(seen) for i in range(bits)]
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_cells_of_a_group_are_dealt_in_turn(spark, two):
+    """A group's cells are as many in every partition, but for one."""
+    from siftlake.operators.cells import BLOCKS, cells
+
+    rows = spark.range(4000).select("id", F.lit("a").alias("g"), F.array(F.col("id")).alias("h"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = cells(rows, rows if two else None, ["h"], one=100)
+    held = found.select(F.spark_partition_id().alias("p"), "a_block", "b_block").distinct().groupBy("p").count().collect()
+    count = BLOCKS * BLOCKS if two else BLOCKS * (BLOCKS + 1) // 2
+    assert sum(r["count"] for r in held) == count and len(held) == min(parts, count)
+    assert max(r["count"] for r in held) == -(-count // parts)
